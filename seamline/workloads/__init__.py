@@ -3,6 +3,8 @@
 from importlib import import_module
 
 FAMILIES = [
+    "sources",
+    "sinks",
     "projections",
     "joins",
     "aggregations",

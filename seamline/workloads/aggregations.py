@@ -213,7 +213,7 @@ def dataset_profile(spark, sf):
 WEIGHTED_SQL = " + ".join(f"{m} * {w}" for m, w in fixed.COMPONENT_WEIGHTS.items())
 
 
-@query("g17_composite_score", f"SELECT entity_id, round({WEIGHTED_SQL}, 6) AS score FROM entity_components")
+@query("g17_composite_score", f"SELECT entity_id, round({WEIGHTED_SQL}, 9) AS score FROM entity_components", digits=9)
 def composite_score(spark, sf):
     return st.entity_components(spark, sf).select("entity_id", agg.weighted_score().alias("score"))
 

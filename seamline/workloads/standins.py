@@ -171,3 +171,104 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         (F.length("text") % 500).cast("bigint").alias("response_ms"),
         (dates.stamp("2024-01-01") + offset).alias("created_at"),
     )
+
+
+def _joined_text(head: str, items, tail: str):
+    """Array of texts as one JSON fragment."""
+    return F.concat(F.lit(head), F.array_join(items, ","), F.lit(tail))
+
+
+def _item(template: str, *cols):
+    return F.format_string(template, *cols)
+
+
+def feed_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw feed responses in five shapes.
+
+    Points are first reduced to (country, year, series); a response then holds
+    at most one point per year or country.
+    """
+    points = (
+        table(spark, sf, "orders")
+        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(nations(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("n_name").alias("country"), F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("series"))
+        .agg(F.count("*").alias("n"), F.sum(F.floor("o_totalprice")).alias("amount"))
+    )
+    by_country = points.groupBy("country", "y").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+    by_series = points.groupBy("series", "y").agg(F.sum("n").alias("n"))
+
+    def collect(df, key, *item):
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*item))).alias("p"))
+
+    def render(fn):
+        return F.transform("p", fn)
+
+    none = F.lit(None).cast("string")
+
+    def envelope(df, source, data, dataset=none, indicator=none, series_id=none, commodity=none, country=none, year=F.lit(None)):
+        return df.select(
+            F.lit(source).alias("source"), dataset.alias("dataset"), indicator.alias("indicator"), series_id.alias("series_id"),
+            commodity.alias("commodity_code"), country.alias("country"), year.cast("bigint").alias("year"), data.alias("data"),
+        )
+
+    country, series = F.col("country"), F.col("series")
+    iea = render(lambda p: _item('{"country":"%s","product":"COAL","year":%d,"value":%d,"unit":"orders"}', country, p["y"], p["n"]))
+    eia = render(lambda p: _item('{"period":"%d","seriesId":"%s","value":%d,"units":"orders"}', p["y"], series, p["n"]))
+    bank = render(lambda p: _item(
+        '{"indicator":{"id":"NY.GDP.MKTP.CD","value":"GDP"},"country":{"id":"%s","value":"%s"},'
+        '"countryiso3code":"%s","date":"%d","value":%d,"unit":"USD"}', country, country, country, p["y"], p["amount"]))
+    trade = render(lambda p: _item(
+        '{"period":"%d","reporterCode":"%s","cmdCode":"2701","flowCode":"X","tradeValue":%d,"netWeight":%d}',
+        F.col("y"), p["country"], p["amount"], p["n"]))
+    imf = render(lambda p: _item('{"year":%d,"value":%d}', p["y"], p["n"]))
+    per_country = collect(by_country, "country", "y", "n", "amount")
+    frames = [
+        envelope(
+            per_country, "IEA", F.when(country == "NATION_3", '{"status":"error"}').otherwise(
+                _joined_text('{"data":[', iea, '],"status":"success"}')), dataset=F.lit("COALPROD"), country=country),
+        envelope(collect(by_series, "series", "y", "n"), "EIA", _joined_text('{"response":{"data":[', eia, "]}}"), series_id=series),
+        envelope(
+            per_country, "WorldBank", F.when(country == "NATION_5", "[null]").otherwise(_joined_text("[null,[", bank, "]]")),
+            indicator=F.lit("NY.GDP.MKTP.CD"), country=country),
+        envelope(
+            collect(by_country, "y", "country", "amount", "n"), "UNComtrade", _joined_text('{"data":[', trade, "]}"),
+            commodity=F.lit("2701"), year=F.col("y")),
+        envelope(
+            per_country, "IMF", F.concat(_item('{"values":{"ENDA":{"%s":[', country), F.array_join(imf, ","), F.lit("]}}}")),
+            indicator=F.lit("ENDA"), country=country),
+    ]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def reference_notes(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+
+    def note(divisor, *parts):
+        return F.when(size % divisor == 0, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])).otherwise("")
+
+    details = F.concat(
+        F.lit("USGS table "), "p_name", note(2, " R/P Ratio"), note(3, ". Reskilling Cost about ", size, "00 USD"),
+        note(5, ". learning rate is ", size, ".5% and HHI current ", size * 3),
+        note(7, ". Patents FiveYearCAGR ", size, "%; Asset Life Remaining ", size, " years"),
+    )
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("definition_id"), details.alias("details"))
+
+
+def site_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawled responses, a hundred consecutive sites at most per page."""
+    items = F.transform(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))),
+        lambda p: _item('{"name":"%s","site":%d}', p["s_name"], p["s_suppkey"]),
+    )
+    pages = _sites(spark, sf).groupBy(F.col("n_name").alias("country"), F.floor(F.col("s_suppkey") / 100).alias("page")).agg(items.alias("p"))
+    country, joined = F.col("country"), F.array_join("p", ",")
+    payload = (
+        F.when(country.isin("NATION_2", "NATION_4"), F.concat(F.lit("["), joined, F.lit("]")))
+        .when(country == "NATION_6", '{"other":1}')
+        .otherwise(F.concat(F.lit('{"mines":['), joined, F.lit("]}")))
+    )
+    return pages.select("country", "page", payload.alias("payload"))

@@ -57,13 +57,13 @@ FORMULA_INPUTS = {
 # The ten component scores (0-100) of an order, from its line items.
 COMPONENTS = {
     "necessity_score": "avg(l_quantity) * 2",
-    "resource_scarcity_score": "least(100, avg(l_extendedprice) / 1000)",
+    "resource_scarcity_score": "least(100, avg(l_extendedprice) / 1049)",
     "artificial_support_score": "avg(l_discount) * 1000",
     "emissions_score": "avg(l_tax) * 1250",
     "ecological_score": "avg(l_linenumber) * 14",
-    "workforce_transition_score": "100 - avg(l_quantity) * 2",
-    "infrastructure_repurposing_score": "100 - avg(l_discount) * 1000",
-    "monopoly_control_score": "greatest(0, 100 - avg(l_extendedprice) / 1000)",
+    "workforce_transition_score": "100 - avg(l_quantity) * 1.7",
+    "infrastructure_repurposing_score": "100 - avg(l_discount) * 900",
+    "monopoly_control_score": "greatest(0, 100 - avg(l_extendedprice) / 947)",
     "economic_score": "avg(abs(l_quantity - 25)) * 4",
     "technological_disruption_score": "avg(abs(l_linenumber - 4)) * 30",
 }
@@ -154,4 +154,34 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 9000"""
     "messages": """SELECT conv_id, turn, role, text, CAST(length(text) % 500 AS BIGINT) AS response_ms,
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(conv_id * 3600 + turn * 30 AS BIGINT)) AS created_at
 FROM conversations""",
+    "feed_points": """SELECT n_name AS country, CAST(year(o_orderdate) AS BIGINT) AS y, o_orderstatus AS series,
+    count(*) AS n, CAST(sum(floor(o_totalprice)) AS BIGINT) AS amount
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""",
+    "feed_payloads": """SELECT 'IEA' AS source, 'COALPROD' AS dataset, NULL::VARCHAR AS indicator, NULL::VARCHAR AS series_id,
+    NULL::VARCHAR AS commodity_code, country, NULL::BIGINT AS year, CASE WHEN country = 'NATION_3' THEN '{"status":"error"}' ELSE
+    concat('{"data":[', string_agg(concat('{"country":"', country, '","product":"COAL","year":', y, ',"value":', n,
+      ',"unit":"orders"}'), ',' ORDER BY y), '],"status":"success"}') END AS data
+  FROM (SELECT country, y, CAST(sum(n) AS BIGINT) AS n FROM feed_points GROUP BY 1, 2) GROUP BY country
+UNION ALL SELECT 'EIA', NULL, NULL, series, NULL, NULL, NULL, concat('{"response":{"data":[', string_agg(concat('{"period":"', y,
+      '","seriesId":"', series, '","value":', n, ',"units":"orders"}'), ',' ORDER BY y), ']}}')
+  FROM (SELECT series, y, CAST(sum(n) AS BIGINT) AS n FROM feed_points GROUP BY 1, 2) GROUP BY series
+UNION ALL SELECT 'WorldBank', NULL, 'NY.GDP.MKTP.CD', NULL, NULL, country, NULL, CASE WHEN country = 'NATION_5' THEN '[null]' ELSE
+    concat('[null,[', string_agg(concat('{"indicator":{"id":"NY.GDP.MKTP.CD","value":"GDP"},"country":{"id":"', country,
+      '","value":"', country, '"},"countryiso3code":"', country, '","date":"', y, '","value":', amount, ',"unit":"USD"}'), ',' ORDER BY y), ']]') END
+  FROM (SELECT country, y, CAST(sum(amount) AS BIGINT) AS amount FROM feed_points GROUP BY 1, 2) GROUP BY country
+UNION ALL SELECT 'UNComtrade', NULL, NULL, NULL, '2701', NULL, y, concat('{"data":[', string_agg(concat('{"period":"', y,
+      '","reporterCode":"', country, '","cmdCode":"2701","flowCode":"X","tradeValue":', amount, ',"netWeight":', n, '}'), ',' ORDER BY country), ']}')
+  FROM (SELECT country, y, CAST(sum(amount) AS BIGINT) AS amount, CAST(sum(n) AS BIGINT) AS n FROM feed_points GROUP BY 1, 2) GROUP BY y
+UNION ALL SELECT 'IMF', NULL, 'ENDA', NULL, NULL, country, NULL, concat('{"values":{"ENDA":{"', country, '":[',
+      string_agg(concat('{"year":', y, ',"value":', n, '}'), ',' ORDER BY y), ']}}}')
+  FROM (SELECT country, y, CAST(sum(n) AS BIGINT) AS n FROM feed_points GROUP BY 1, 2) GROUP BY country""",
+    "reference_notes": """SELECT p_partkey AS definition_id, concat('USGS table ', p_name, CASE WHEN p_size % 2 = 0 THEN ' R/P Ratio' ELSE '' END,
+    CASE WHEN p_size % 3 = 0 THEN concat('. Reskilling Cost about ', p_size, '00 USD') ELSE '' END,
+    CASE WHEN p_size % 5 = 0 THEN concat('. learning rate is ', p_size, '.5% and HHI current ', p_size * 3) ELSE '' END,
+    CASE WHEN p_size % 7 = 0 THEN concat('. Patents FiveYearCAGR ', p_size, '%; Asset Life Remaining ', p_size, ' years') ELSE '' END) AS details
+FROM part""",
+    "site_payloads": """SELECT country, page, CASE WHEN country IN ('NATION_2', 'NATION_4') THEN concat('[', items, ']')
+    WHEN country = 'NATION_6' THEN '{"other":1}' ELSE concat('{"mines":[', items, ']}') END AS payload
+FROM (SELECT n_name AS country, s_suppkey // 100 AS page, string_agg(concat('{"name":"', s_name, '","site":', s_suppkey, '}'), ',' ORDER BY s_suppkey) AS items
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)""",
 }
