@@ -270,6 +270,11 @@ HEALTH_THRESHOLDS = {
     "error_rate": (2.0, 5.0),
 }
 
+# Character class of blanks, Unicode ones included.
+BLANK = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
 # Namespace of path-derived document ids (RFC 4122, DNS).
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 

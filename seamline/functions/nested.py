@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,3 +108,12 @@ def feature_type_column(name: Column) -> Column:
         hit = F.lower(name) == key
         out = F.when(hit, dtype.simpleString()) if out is None else out.when(hit, dtype.simpleString())
     return out.otherwise(T.DoubleType().simpleString())
+
+
+def to_long(df: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
+    return df.unpivot(ids, columns, name, value)
+
+
+def to_wide(df: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
+    """Long to wide for a known column list, so no pass is spent on finding it."""
+    return df.groupBy(*ids).pivot(name, columns).agg(F.first(value))

@@ -80,7 +80,7 @@ def flag_from_text(text: Column, words=("true", "yes", "1", "y")) -> Column:
 def clean_lines(text: Column) -> Column:
     """Trim every line, drop the blank ones and squeeze runs of spaces."""
     lines = F.filter(
-        F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")),
+        F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"^{fixed.BLANK}+|{fixed.BLANK}+$", "")),
         lambda x: x != "",
     )
     return F.regexp_replace(F.array_join(lines, "\n"), " {2,}", " ")
@@ -89,7 +89,7 @@ def clean_lines(text: Column) -> Column:
 def _is_heading(line: Column) -> Column:
     has_letter = F.lower(line) != F.upper(line)
     capitals = has_letter & (F.upper(line) == line)
-    numbered = line.rlike("^[0-9]") & (F.instr(F.substring(line, 1, 10), ".") > 0)
+    numbered = line.rlike(r"^\p{Nd}") & (F.instr(F.substring(line, 1, 10), ".") > 0)
     return (F.length(line) < 100) & (capitals | numbered)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamline import fixed
+
 
 def zip_positions(df: DataFrame, left: str, right: str) -> DataFrame:
     """Items of two array columns side by side, up to the shorter one."""
@@ -15,7 +17,7 @@ def zip_positions(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(text, f"{fixed.BLANK}+"), lambda x: x != "")
 
 
 def word_chunks(text: Column, size: int = 512, overlap: int = 50) -> Column:

@@ -37,16 +37,20 @@ def information_gain(df: DataFrame, features: list[str], target: str, bins: int
     """Mutual information of each feature with the target over equal-width bins.
 
     One scan finds the ranges, one counts the joint cells; what is shuffled is
-    the bounded histogram (features × bins²), never the rows. Gains are scaled
-    by the greatest one.
+    the bounded histogram (features × bins²), never the rows. A missing feature
+    counts as 0 and a missing target as the mean. Gains are scaled by the
+    greatest one.
     """
-    ranges = df.agg(F.struct(*[
-        F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in [*features, target]
+    columns = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}
+    columns[target] = F.col(target).cast("double")
+    ranges = df.agg(F.struct(F.avg(target).alias("_mean"), *[
+        F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias(c) for c, x in columns.items()
     ])).scalar()
+    columns[target] = F.coalesce(columns[target], ranges.getField("_mean"))
 
     def bin_of(c: str) -> Column:
         lo, hi = ranges.getField(c).getField("lo"), ranges.getField(c).getField("hi")
-        place = F.floor(F.try_divide(F.col(c) - lo, hi - lo) * bins)
+        place = F.floor(F.try_divide(columns[c] - lo, hi - lo) * bins)
         return F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
 
     cells = df.select(
@@ -150,8 +154,11 @@ def gain_by_feature(gold: DataFrame, features: list[str], score: str, bins: int
     """Gain of each feature about the score change, end to end inside Spark."""
     targets = win.deltas(gold, "mine_id", "feature_date", score).select("mine_id", "feature_date", "delta")
     rows = gold.join(targets, ["mine_id", "feature_date"]).where(F.col("delta").isNotNull())
+    long = rows.unpivot([], features, "metric", "value")
+    medians = exact_percentiles(long, "value", [0.5], ["metric"], ["median"])
+    by_name = medians.agg(F.map_from_entries(F.collect_list(F.struct("metric", "median")))).scalar()  # one per feature
     filled = rows.withColumns({
-        c: F.coalesce(F.col(c), exact_percentiles(rows, c, [0.5], names=["m"]).scalar(), F.lit(0.0)) for c in features
+        c: F.coalesce(F.col(c), F.try_element_at(by_name, F.lit(c)), F.lit(0.0)) for c in features
     })
     return information_gain(filled, features, "delta", bins)
 

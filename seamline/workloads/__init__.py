@@ -10,6 +10,7 @@ FAMILIES = [
     "aggregations",
     "windows",
     "ordering",
+    "scalars",
 ]
 
 

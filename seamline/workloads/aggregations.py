@@ -179,7 +179,7 @@ def most_active_entities(spark, sf):
 
 @query("g14_ingestion_summary", """
 WITH d AS (SELECT CASE WHEN trim(text) <> '' THEN 'processed' ELSE 'failed' END AS status,
-  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents)
+  len(list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda x: x <> '')) AS n_words FROM documents)
 SELECT status, count(*) AS files, CAST(sum(CAST(ceil(n_words / 462.0) AS BIGINT)) AS BIGINT) AS chunks FROM d GROUP BY status
 """)
 def ingestion_summary(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seamline import fixed
 from seamline.workloads.views import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,10 +42,10 @@ def _with_views(sql: str) -> str:
                 needed.append(name)
 
     visit(sql)
-    sql = sql.strip()
+    sql = sql.strip().replace("{BLANK}", fixed.BLANK)
     if not needed:
         return sql
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
+    ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed).replace("{BLANK}", fixed.BLANK)
     if sql[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{sql[5:]}"
     return f"WITH {ctes}\n{sql}"

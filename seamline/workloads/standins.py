@@ -272,3 +272,10 @@ def site_payloads(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"mines":['), joined, F.lit("]}")))
     )
     return pages.select("country", "page", payload.alias("payload"))
+
+
+def chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    openers = ["Please EXPLAIN this: ", "What if coal falls? ", "Compare emissions: ", "Forecast economic output: ",
+               "Best ten: ", "Which methodology? ", "", ""]
+    opener = F.get(F.array(*[F.lit(o) for o in openers]), (F.col("turn") % 8).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.concat(opener, "text").alias("message"))

@@ -184,4 +184,11 @@ FROM part""",
     WHEN country = 'NATION_6' THEN '{"other":1}' ELSE concat('{"mines":[', items, ']}') END AS payload
 FROM (SELECT n_name AS country, s_suppkey // 100 AS page, string_agg(concat('{"name":"', s_name, '","site":', s_suppkey, '}'), ',' ORDER BY s_suppkey) AS items
   FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)""",
+    "chat_prompts": """SELECT conv_id, turn, role, concat(CASE turn % 8 WHEN 0 THEN 'Please EXPLAIN this: ' WHEN 1 THEN 'What if coal falls? '
+    WHEN 2 THEN 'Compare emissions: ' WHEN 3 THEN 'Forecast economic output: ' WHEN 4 THEN 'Best ten: ' WHEN 5 THEN 'Which methodology? '
+    ELSE '' END, text) AS message FROM conversations""",
+    "clean_documents": """SELECT doc_id, source, regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+    lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda x: x <> ''), chr(10)), ' {2,}', ' ', 'g') AS clean FROM documents""",
+    "centroid": """SELECT list(m ORDER BY i) AS centre FROM (SELECT i, avg(v) AS m FROM (SELECT unnest(embedding)::DOUBLE AS v,
+    unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY i)""",
 }
