@@ -90,8 +90,8 @@ def percentile_summary(df: DataFrame, value: str, keys: list[str] | None = None)
     moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     if keys:
         return moments.join(marks, keys)
-    both = marks.select(F.struct("*")).scalar()
-    return moments.withColumns({c: both.getField(c) for c in marks.columns})
+    both = moments.withColumn("_m", marks.select(F.struct("*")).scalar())
+    return both.select("mean", "std", "_m.*")
 
 
 def data_quality(dimensions: list[str]) -> list[Column]:

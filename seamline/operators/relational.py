@@ -92,7 +92,8 @@ def with_group_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> Da
 def with_frame_stats(df: DataFrame, **aggregates: Column) -> DataFrame:
     """Attach whole-frame aggregates, computed once as a one-row subquery."""
     stats = df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()]).alias("s")).scalar()
-    return df.withColumns({n: stats.getField(n) for n in aggregates})
+    attached = df.withColumn("_stats", stats)
+    return attached.select(*df.columns, *[F.col("_stats").getField(n).alias(n) for n in aggregates])
 
 
 def snapshot_diff(current: DataFrame, previous: DataFrame, key: list[str], digest: str) -> DataFrame:

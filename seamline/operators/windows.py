@@ -155,11 +155,10 @@ def outliers(df: DataFrame, value: str, method: str) -> DataFrame:
     v = F.col(value)
     if method == "iqr":
         q = exact_percentiles(df, value, [0.25, 0.75], names=["q1", "q3"])
-        bounds = q.select(F.struct(
-            (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
-            (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"),
-        )).scalar()
-        return df.where((v < bounds.getField("lo")) | (v > bounds.getField("hi")))
+        reach = 1.5 * (F.col("q3") - F.col("q1"))
+        bounds = q.select(F.struct((F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))).scalar()
+        checked = df.withColumn("_b", bounds)
+        return checked.where((v < F.col("_b.lo")) | (v > F.col("_b.hi"))).drop("_b")
     if method == "z_score":
         scored = with_frame_stats(df, _mean=F.avg(v), _std=F.stddev_pop(v))
         return scored.where(F.abs(F.try_divide(v - F.col("_mean"), F.col("_std"))) > 3).drop("_mean", "_std")
@@ -167,8 +166,9 @@ def outliers(df: DataFrame, value: str, method: str) -> DataFrame:
         median = exact_percentiles(df, value, [0.5], names=["m"]).scalar()
         gap = df.where(v.isNotNull()).select(F.abs(v - median).alias("gap"))
         mad = exact_percentiles(gap, "gap", [0.5], names=["m"]).scalar()
-        score = F.abs(F.try_divide(0.6745 * (v - median), mad))
-        return df.where(F.when(mad == 0, v != median).otherwise(score > 3.5))
+        score = F.abs(F.try_divide(0.6745 * (v - F.col("_median")), F.col("_mad")))
+        checked = df.withColumns({"_median": median, "_mad": mad})
+        return checked.where(F.when(F.col("_mad") == 0, v != F.col("_median")).otherwise(score > 3.5)).drop("_median", "_mad")
     raise ValueError(f"unknown outlier method {method}")
 
 
@@ -191,3 +191,28 @@ def top_contributions(long: DataFrame, key: str, feature: str, value: str, k: in
     """
     w = Window.partitionBy(key).orderBy(F.abs(value).desc(), feature)
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def fill_and_normalise(df: DataFrame, columns: list[str], fill: str, method: str) -> DataFrame:
+    """Fill, then scale several columns; all moments come from one aggregate pass.
+
+    With mean filling, the filled column's range and mean follow from the
+    moments of the gappy one, so no second pass is needed for them.
+    """
+    if fill not in ("mean", "zero") or method != "min_max":
+        for c in columns:
+            df = normalise(fill_missing(df, c, fill, c), c, method, c)
+        return df
+    value = {c: F.col(c) for c in columns}
+    if fill == "zero":
+        value = {c: F.coalesce(x, F.lit(0.0)) for c, x in value.items()}
+    stats = df.agg(F.struct(*[
+        F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean")).alias(c) for c, x in value.items()
+    ])).scalar()
+    out = {}
+    for c, x in value.items():
+        s = F.col("_stats").getField(c)
+        filled = F.coalesce(x, s.getField("mean"), F.lit(0.0))
+        lo, hi = (F.coalesce(s.getField(k), F.lit(0.0)) for k in ("lo", "hi"))
+        out[c] = numeric.min_max_100(filled, lo, hi)
+    return df.withColumn("_stats", stats).withColumns(out).drop("_stats")

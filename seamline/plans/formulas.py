@@ -22,6 +22,8 @@ class FormulaError(ValueError):
     """The text is not an arithmetic formula over known names."""
 
 
+STATS = "_moments"
+
 _ARITHMETIC: dict[type, Callable[[Column, Column], Column]] = {
     ast.Add: operator.add,
     ast.Sub: operator.sub,
@@ -65,7 +67,6 @@ class FrameFormulas:
     def __init__(self, df: DataFrame):
         self.df = df
         self._standardised: dict[str, Column] = {}
-        self._stats: Column | None = None
 
     def compile(self, formulas: dict[str, str]) -> dict[str, Column]:
         """name -> column; a formula with an unknown input becomes NULL."""
@@ -93,7 +94,7 @@ class FrameFormulas:
             parts = []
             for i, x in enumerate(arguments.values()):
                 parts += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
-            self._stats = self.df.agg(F.struct(*parts).alias("stats")).scalar()
+            self.df = self.df.withColumn(STATS, self.df.agg(F.struct(*parts).alias("stats")).scalar())
 
     def _column(self, node: ast.expr) -> Column:
         if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
@@ -110,7 +111,7 @@ class FrameFormulas:
             if node.func.id == "zscore":
                 key = ast.dump(node.args[0])
                 i = list(self._standardised).index(key)
-                stat = self._stats.getField
+                stat = F.col(STATS).getField
                 return numeric.z_score(self._standardised[key], stat(f"m{i}"), stat(f"s{i}"), stat(f"n{i}"))
             if node.func.id in _FUNCTIONS:
                 return _FUNCTIONS[node.func.id](*[self._column(a) for a in node.args])
@@ -124,7 +125,10 @@ def catalogue(sheets: list[str] | None = None) -> dict[str, str]:
 
 
 def with_formulas(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
-    return df.withColumns(FrameFormulas(df).compile(formulas))
+    """Adds one column per formula; the moments travel as one struct column."""
+    compiler = FrameFormulas(df)
+    columns = compiler.compile(formulas)
+    return compiler.df.withColumns(columns).drop(STATS)
 
 
 def sheet_metrics(df: DataFrame, sheet: str) -> DataFrame:

@@ -11,6 +11,7 @@ from seamline.functions import text as tx
 from seamline.operators import relational as rel
 from seamline.operators import windows as win
 from seamline.operators.segments import exact_percentiles
+from seamline.session import cut_lineage
 
 DEFAULT_WEIGHT = 0.5
 
@@ -46,14 +47,14 @@ def information_gain(df: DataFrame, features: list[str], target: str, bins: int
     ranges = df.agg(F.struct(F.avg(target).alias("_mean"), *[
         F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias(c) for c, x in columns.items()
     ])).scalar()
-    columns[target] = F.coalesce(columns[target], ranges.getField("_mean"))
+    columns[target] = F.coalesce(columns[target], F.col("_ranges._mean"))
 
     def bin_of(c: str) -> Column:
-        lo, hi = ranges.getField(c).getField("lo"), ranges.getField(c).getField("hi")
+        lo, hi = F.col(f"_ranges.{c}.lo"), F.col(f"_ranges.{c}.hi")
         place = F.floor(F.try_divide(columns[c] - lo, hi - lo) * bins)
         return F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
 
-    cells = df.select(
+    cells = df.withColumn("_ranges", ranges).select(
         bin_of(target).alias("y"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), bin_of(c).alias("x")) for c in features])).alias("cell"),
     )
@@ -154,13 +155,14 @@ def gain_by_feature(gold: DataFrame, features: list[str], score: str, bins: int
     """Gain of each feature about the score change, end to end inside Spark."""
     targets = win.deltas(gold, "mine_id", "feature_date", score).select("mine_id", "feature_date", "delta")
     rows = gold.join(targets, ["mine_id", "feature_date"]).where(F.col("delta").isNotNull())
+    rows = cut_lineage(rows.select("delta", *features))  # read three times below
     long = rows.unpivot([], features, "metric", "value")
     medians = exact_percentiles(long, "value", [0.5], ["metric"], ["median"])
     by_name = medians.agg(F.map_from_entries(F.collect_list(F.struct("metric", "median")))).scalar()  # one per feature
-    filled = rows.withColumns({
-        c: F.coalesce(F.col(c), F.try_element_at(by_name, F.lit(c)), F.lit(0.0)) for c in features
+    filled = rows.withColumn("_medians", by_name).withColumns({
+        c: F.coalesce(F.col(c), F.try_element_at("_medians", F.lit(c)), F.lit(0.0)) for c in features
     })
-    return information_gain(filled, features, "delta", bins)
+    return information_gain(filled.drop("_medians"), features, "delta", bins)
 
 
 def by_horizon(weights: DataFrame, horizons: list[str] = fixed.HORIZONS) -> DataFrame:

@@ -11,6 +11,8 @@ FAMILIES = [
     "windows",
     "ordering",
     "scalars",
+    "metrics",
+    "weighting",
 ]
 
 

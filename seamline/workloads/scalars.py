@@ -468,7 +468,8 @@ def health_bands(spark, sf):
         (100 * total("production_mt") / total("capacity_mt")).alias("disk"),
         (10.0 * total("incidents") / total("n_events")).alias("error_rate"),
     )
-    long = wide.unpivot("mine_id", list(fixed.HEALTH_THRESHOLDS), "metric", "value")
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in fixed.HEALTH_THRESHOLDS])
+    long = wide.select("mine_id", F.inline(pairs))
     moderate, high = (
         F.element_at(tx.lit_map({m: t[i] for m, t in fixed.HEALTH_THRESHOLDS.items()}), F.col("metric")) for i in (0, 1)
     )
