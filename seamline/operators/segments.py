@@ -30,21 +30,32 @@ def range_segments(df: DataFrame, order: list[str], segments: int | None = None)
     )
 
 
-def _segment_starts(totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Running total before each segment; at most one row per key and segment."""
+def segment_starts(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Running total before each segment, and the total of the key.
+
+    There is one row per key and segment it touches, so even a hot key has no
+    more rows here than there are segments.
+    """
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*keys, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return totals.select(
+        *keys, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"),
+    )
+
+
+def with_starts(seg: DataFrame, weight: Column, keys: list[str]) -> DataFrame:
+    """Attach ``_start`` and ``_size`` to the rows of range segments."""
+    starts = segment_starts(seg.groupBy(*keys, "_seg").agg(F.sum(weight).alias("_n")), keys)
+    if keys:
+        return join_null_safe(seg, starts, [*keys, "_seg"])
+    return seg.join(F.broadcast(starts), "_seg")  # one row per segment
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """1-based position of each row in the total order."""
     seg = range_segments(df, order)
-    starts = _segment_starts(seg.groupBy("_seg").agg(F.count("*").alias("_n")), [])
-    return (
-        seg.join(F.broadcast(starts), "_seg")  # one row per segment
-        .withColumn(name, F.col("_start") + F.col("_pos") + 1)
-        .drop("_seg", "_pos", "_start")
-    )
+    placed = with_starts(seg, F.lit(1), [])
+    return placed.withColumn(name, F.col("_start") + F.col("_pos") + 1).drop("_seg", "_pos", "_start", "_size")
 
 
 def exact_percentiles(
@@ -59,15 +70,8 @@ def exact_percentiles(
     names = names or [f"p{round(p * 100):02d}" for p in probabilities]
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     seg = range_segments(counted, [*keys, "_v"])
-    totals = seg.groupBy(*keys, "_seg").agg(F.sum("_c").alias("_n"))
-    starts = _segment_starts(totals, keys)
-    sizes = totals.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     inside = Window.partitionBy(*keys, "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = seg.withColumn("_in", F.sum("_c").over(inside))
-    if keys:
-        placed = join_null_safe(join_null_safe(placed, starts, [*keys, "_seg"]), sizes, keys)
-    else:
-        placed = placed.join(F.broadcast(starts), "_seg").withColumn("_size", sizes.select("_size").scalar())
+    placed = with_starts(seg, F.col("_c"), keys).withColumn("_in", F.sum("_c").over(inside))
     end = F.col("_start") + F.col("_in")
     begin = end - F.col("_c")
 

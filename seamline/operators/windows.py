@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import numeric
 from seamline.operators.relational import join_null_safe, with_frame_stats, with_group_stats
-from seamline.operators.segments import carry_forward, exact_percentiles, global_row_number, range_segments
+from seamline.operators.segments import carry_forward, exact_percentiles, global_row_number, range_segments, with_starts
 
 
 def deltas(df: DataFrame, key: str, order: str, value: str, threshold: float = 0.1,
@@ -99,15 +99,9 @@ def percent_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     """
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     seg = range_segments(counted, [*keys, value])
-    totals = seg.groupBy(*keys, "_seg").agg(F.sum("_c").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    sizes = totals.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     inside = Window.partitionBy(*keys, "_seg").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = join_null_safe(
-        join_null_safe(seg.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))), starts, [*keys, "_seg"]),
-        sizes, keys,
-    ).select(
+    placed = with_starts(seg, F.col("_c"), keys).withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    ranked = placed.select(
         *keys, value,
         F.when(F.col("_size") > 1, (F.col("_start") + F.col("_in")) / (F.col("_size") - 1) * 100).otherwise(F.lit(0.0)).alias(name),
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.operators.segments import range_segments, _segment_starts
+from seamline.operators.segments import range_segments, with_starts
 
 PAGE_TURNS = 1000
 
@@ -17,10 +17,9 @@ def ordered(messages: DataFrame) -> DataFrame:
     messages is numbered by many tasks.
     """
     seg = range_segments(messages, ["conv_id", "created_at", "turn"])
-    totals = seg.groupBy("conv_id", "_seg").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
-    starts = _segment_starts(totals, ["conv_id"]).join(totals.drop("_n"), ["conv_id", "_seg"])
-    ordinal = F.col("_start") + F.col("_pos") - F.col("_first") + 1
-    return seg.join(starts, ["conv_id", "_seg"]).withColumn("ordinal", ordinal).drop("_seg", "_pos", "_start", "_first")
+    inside = Window.partitionBy("conv_id", "_seg").orderBy("_pos")
+    ordinal = F.col("_start") + F.row_number().over(inside)
+    return with_starts(seg, F.lit(1), ["conv_id"]).withColumn("ordinal", ordinal).drop("_seg", "_pos", "_start", "_size")
 
 
 def nested(messages: DataFrame, page_turns: int = PAGE_TURNS) -> DataFrame:

@@ -81,7 +81,12 @@ class FrameFormulas:
         }
 
     def _collect_standardised(self, trees: list[ast.expr]) -> None:
-        """One aggregate for every z-score argument of every formula."""
+        """One aggregate for every z-score argument of every formula.
+
+        It yields the mean and the reciprocal deviation (0 for a column that is
+        constant or has one value), so a row costs one subtraction and one
+        multiplication.
+        """
         arguments = {}
         for tree in trees:
             for node in ast.walk(tree):
@@ -93,7 +98,9 @@ class FrameFormulas:
         if arguments:
             parts = []
             for i, x in enumerate(arguments.values()):
-                parts += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
+                std, n = F.stddev_samp(x), F.count(x)
+                scale = F.when((n <= 1) | (std == 0), 0.0).otherwise(1 / std)
+                parts += [F.avg(x).alias(f"m{i}"), scale.alias(f"k{i}")]
             self.df = self.df.withColumn(STATS, self.df.agg(F.struct(*parts).alias("stats")).scalar())
 
     def _column(self, node: ast.expr) -> Column:
@@ -112,7 +119,7 @@ class FrameFormulas:
                 key = ast.dump(node.args[0])
                 i = list(self._standardised).index(key)
                 stat = F.col(STATS).getField
-                return numeric.z_score(self._standardised[key], stat(f"m{i}"), stat(f"s{i}"), stat(f"n{i}"))
+                return (self._standardised[key] - stat(f"m{i}")) * stat(f"k{i}")
             if node.func.id in _FUNCTIONS:
                 return _FUNCTIONS[node.func.id](*[self._column(a) for a in node.args])
         raise FormulaError(f"not allowed in a formula: {ast.unparse(node)}")

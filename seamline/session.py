@@ -23,6 +23,17 @@ def local_session(cores: str = "8", app: str = "seamline") -> SparkSession:
     )
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Runtime options wide projections rely on.
+
+    The JIT skips methods above 8000 bytes of bytecode. Past that limit Spark
+    shall generate code per expression, which the JIT does compile, instead of
+    one large method that would be interpreted.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 

@@ -73,9 +73,9 @@ def regression_quality(spark, sf):
 
 @query("g06_entity_totals", """
 SELECT mine_id, round(sum(production_mt), 4) AS total_production, count(*) AS n,
-  round(avg(feature_freshness_score), 4) AS mean_trust, round(avg(esg_score) * 100, 4) AS mean_quality
+  round(avg(feature_freshness_score), 9) AS mean_trust, round(avg(esg_score) * 100, 9) AS mean_quality
 FROM gold_features GROUP BY mine_id
-""", digits=4)
+""", digits={"total_production": 4, "mean_trust": 9, "mean_quality": 9})
 def entity_totals(spark, sf):
     return st.gold_features(spark, sf).groupBy("mine_id").agg(
         F.sum("production_mt").alias("total_production"), F.count("*").alias("n"),

@@ -61,6 +61,9 @@ def _digits(name):
     return 4 if "OVER" in FORMULA_SQL[name] else 6
 
 
+DIGITS = {n: _digits(n) for n in FORMULA_SQL}
+
+
 def _cells(names):
     return ", ".join(f"round({FORMULA_SQL[n]}, {_digits(n)}) AS {n}" for n in names)
 
@@ -70,11 +73,11 @@ def _rounded(names):
 
 
 def _register_formula(name: str, text: str) -> None:
-    @query(f"formula_{name.removeprefix('f_')}", f"SELECT l_orderkey, l_linenumber, {_cells([name])} FROM formula_inputs")
+    @query(f"formula_{name.removeprefix('f_')}", f"SELECT l_orderkey, l_linenumber, {_cells([name])} FROM formula_inputs", digits={name: _digits(name)})
     def one_formula(spark, sf):
         inputs = formulas.variables(text)
         frame = st.formula_inputs(spark, sf).select("l_orderkey", "l_linenumber", *inputs)
-        return formulas.with_formulas(frame, {name: text}).select("l_orderkey", "l_linenumber", *_rounded([name]))
+        return formulas.with_formulas(frame, {name: text}).select("l_orderkey", "l_linenumber", name)
 
 
 for _name, _text in formulas.catalogue().items():
@@ -84,16 +87,16 @@ for _name, _text in formulas.catalogue().items():
 SHEET_04 = [n for n in FORMULA_SQL if n.startswith("f_04")]
 
 
-@query("p01_one_sheet", f"SELECT l_orderkey, l_linenumber, {_cells(SHEET_04[1:])}, CAST(NULL AS DOUBLE) AS f_04_co2_intensity FROM formula_inputs")
+@query("p01_one_sheet", f"SELECT l_orderkey, l_linenumber, {_cells(SHEET_04[1:])}, CAST(NULL AS DOUBLE) AS f_04_co2_intensity FROM formula_inputs", digits=DIGITS)
 def one_sheet(spark, sf):
     """An input column is missing: its formula gives NULL, the others go on."""
     frame = formulas.sheet_metrics(st.formula_inputs(spark, sf).drop("CO2_t_per_MWh"), "04")
-    return frame.select("l_orderkey", "l_linenumber", *_rounded(SHEET_04))
+    return frame.select("l_orderkey", "l_linenumber", *SHEET_04)
 
 
-@query("p02_all_sheets", f"SELECT l_orderkey, l_linenumber, {_cells(FORMULA_SQL)} FROM formula_inputs")
+@query("p02_all_sheets", f"SELECT l_orderkey, l_linenumber, {_cells(FORMULA_SQL)} FROM formula_inputs", digits=DIGITS)
 def all_sheets(spark, sf):
-    return formulas.all_metrics(st.formula_inputs(spark, sf)).select("l_orderkey", "l_linenumber", *_rounded(FORMULA_SQL))
+    return formulas.all_metrics(st.formula_inputs(spark, sf)).select("l_orderkey", "l_linenumber", *FORMULA_SQL)
 
 
 @query("p03_user_formula", """
@@ -311,11 +314,11 @@ def standard_names(spark, sf):
 JOB = [n for n in FORMULA_SQL if n.startswith(("f_11", "f_20"))]
 
 
-@query("p18_metric_job", f"WITH m AS (SELECT l_orderkey, l_linenumber, {_cells(JOB)} FROM formula_inputs) SELECT *, '{','.join(JOB)}' AS feature_list FROM m")
+@query("p18_metric_job", f"WITH m AS (SELECT l_orderkey, l_linenumber, {_cells(JOB)} FROM formula_inputs) SELECT *, '{','.join(JOB)}' AS feature_list FROM m", digits=DIGITS)
 def metric_job(spark, sf):
     frame = formulas.sheet_metrics(formulas.sheet_metrics(st.formula_inputs(spark, sf), "11"), "20")
     made = rel.columns_with_prefix(frame, "f_")
-    return frame.select("l_orderkey", "l_linenumber", *_rounded(made), F.lit(",".join(made)).alias("feature_list"))
+    return frame.select("l_orderkey", "l_linenumber", *made, F.lit(",".join(made)).alias("feature_list"))
 
 
 @query("u01_user_expression", "SELECT score_id, round(100 / (1 + exp(-score)), 6) AS result FROM composite_scores")

@@ -5,24 +5,33 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamline import fixed
+from seamline.session import tuned
 from seamline.workloads.views import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def canonical(df: DataFrame, digits: int = 6) -> DataFrame:
+def _rounded(c: Column, digits: int) -> Column:
+    """Half up, in plain double arithmetic that keeps the generated code small."""
+    scale = F.lit(10.0**digits)
+    return F.floor(c * scale + 0.5) / scale
+
+
+def canonical(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
     """Output form of every query: rounded doubles, 64-bit integers."""
     out = []
+    per_column = digits if isinstance(digits, dict) else {}
+    common = 6 if per_column else digits
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = _rounded(c.cast("double"), per_column.get(field.name, common))
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(field.dataType, T.DateType):
@@ -51,13 +60,13 @@ def _with_views(sql: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
-def query(name: str, oracle: str | None = None, digits: int = 6):
+def query(name: str, oracle: str | None = None, digits: int | dict[str, int] = 6):
     """Register a query; ``oracle`` is the equivalent SQL."""
 
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf: canonical(fn(spark, sf), digits)
+        QUERIES[name] = lambda spark, sf: canonical(fn(tuned(spark), sf), digits)
         if oracle is not None:
             ORACLES[name] = _with_views(oracle)
         return fn
