@@ -99,3 +99,13 @@ def most_active(gold: DataFrame, n: int, days: int = 30, freshness: float = 0.7)
     days_seen = recent.where(F.col("feature_freshness_score") >= freshness).select("mine_id", "feature_date").distinct()
     counts = days_seen.groupBy("mine_id").agg(F.count("*").alias("active_days"))
     return counts.orderBy(F.col("active_days").desc(), "mine_id").limit(n)
+
+
+def entity_matrix(gold: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """Latest features of the n most active entities as columns x1, x2, …; 0 when missing."""
+    chosen = most_active(gold, n)
+    latest = rel.first_per_key(rel.where_keys_in(gold, "mine_id", chosen), ["mine_id"], [F.col("feature_date")])
+    cells = [
+        (F.coalesce(F.col(c), F.lit(0.0)) if c in gold.columns else F.lit(0.0)).alias(f"x{i + 1}") for i, c in enumerate(order)
+    ]
+    return latest.select("mine_id", *cells)

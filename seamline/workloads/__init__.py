@@ -13,6 +13,7 @@ FAMILIES = [
     "scalars",
     "metrics",
     "weighting",
+    "modelling",
 ]
 
 
