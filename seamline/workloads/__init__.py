@@ -14,6 +14,8 @@ FAMILIES = [
     "metrics",
     "weighting",
     "modelling",
+    "texts",
+    "streams",
 ]
 
 
