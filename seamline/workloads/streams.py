@@ -1 +1,171 @@
-"""Streaming workloads."""
+"""Incremental jobs, run to the end of what has landed and read back.
+
+Data lands in two or more steps with a run after each, so that state, file
+tracking and replays across restarts are part of what is compared.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seamline.functions import dates
+from seamline.operators import relational as rel
+from seamline.session import scratch
+from seamline.sources import feeds
+from seamline.streaming import jobs, runner
+from seamline.workloads import standins as st
+from seamline.workloads.joins import CRAWL_HASH, _hashed
+from seamline.workloads.registry import query
+from seamline.workloads.sources import ENVELOPE_SQL
+
+
+class _Run:
+    """Folders of one streaming run."""
+
+    def __init__(self, spark, label):
+        base = scratch(spark, label)
+        self.landing, self.out, self.checkpoint = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
+
+
+def _land(df, path):
+    df.write.mode("append").parquet(path)
+
+
+@query("r01_incremental_ingestion", ENVELOPE_SQL)
+def incremental_ingestion(spark, sf):
+    run = _Run(spark, "ingest")
+    responses = st.feed_payloads(spark, sf).withColumn("extracted_at", dates.stamp("2024-01-31 06:00:00"))
+    first = F.col("source").isin("IEA", "EIA")
+    for part in (responses.where(first), responses.where(~first)):
+        part.write.mode("append").json(run.landing)
+        jobs.ingest_feeds(spark, run.landing, run.out, run.checkpoint)
+    return runner.read_appended(spark, run.out)
+
+
+def _events_stream(spark, sf, run, columns=("event_id", "ts", "user_id", "event_type", "value")):
+    events = st.table(spark, sf, "events").select(*columns)
+    _land(events, run.landing)
+    return runner.stream_files(spark, run.landing, events.schema)
+
+
+@query("r02_request_counts", """
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type AS operation, count(*) AS requests,
+  count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS predictions FROM events GROUP BY 1, 2
+""")
+def request_counts(spark, sf):
+    run = _Run(spark, "counts")
+    runner.update_all(jobs.request_counts(_events_stream(spark, sf, run)), run.out, run.checkpoint)
+    return runner.read_latest(spark, run.out, ["window_start", "operation"])
+
+
+SLIDES_SQL = """slid AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(CAST(i AS BIGINT)) AS window_start, event_type, value FROM events, range(5) t(i))"""
+
+
+@query("r03_error_rate_alerts", f"""WITH {SLIDES_SQL}
+SELECT window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate
+FROM slid GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') / count(*) > 0.05
+""")
+def error_rate_alerts(spark, sf):
+    run = _Run(spark, "errors")
+    runner.update_all(jobs.error_rates(_events_stream(spark, sf, run)), run.out, run.checkpoint)
+    return runner.read_latest(spark, run.out, ["window_start"]).where("error_rate > 0.05")
+
+
+@query("r04_slow_windows")
+def slow_windows(spark, sf):
+    run = _Run(spark, "slow")
+    stream = jobs.slow_windows(_events_stream(spark, sf, run), F.col("value") / 1000)
+    runner.update_all(stream, run.out, run.checkpoint)
+    return runner.read_latest(spark, run.out, ["window_start"]).where("p95 > 0.1")
+
+
+@query("r05_keyed_change_detection", f"""
+WITH a AS (SELECT concat(name, country) AS site, {CRAWL_HASH} AS h FROM crawl_previous), b AS (SELECT concat(name, country) AS site, {CRAWL_HASH} AS h FROM crawl_current)
+SELECT site, 'new' AS status, h AS content_hash FROM a
+UNION ALL SELECT b.site, CASE WHEN a.h IS NULL THEN 'new' ELSE 'updated' END, b.h FROM b LEFT JOIN a ON a.site = b.site WHERE a.h IS NULL OR a.h <> b.h
+""")
+def keyed_change_detection(spark, sf):
+    run = _Run(spark, "changes")
+    for snapshot in (st.crawl_previous(spark, sf), st.crawl_current(spark, sf)):
+        rows = _hashed(snapshot).select(F.concat("name", "country").alias("site"), "content_hash")
+        _land(rows, run.landing)
+        stream = jobs.detect_changes(runner.stream_files(spark, run.landing, rows.schema), "site")
+        runner.update_all(stream, run.out, run.checkpoint)
+    return runner.read_appended(spark, run.out)
+
+
+@query("r06_repeat_suppression")
+def repeat_suppression(spark, sf):
+    run = _Run(spark, "repeats")
+    kept = jobs.suppress_repeats(_events_stream(spark, sf, run), ["user_id", "event_type"], "ts")
+    runner.append_all(kept, run.out, run.checkpoint)
+    return runner.read_appended(spark, run.out)
+
+
+@query("r07_latest_features_with_expiry", """
+WITH l AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, max_by(value, (ts, event_id)) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT * FROM l WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
+""")
+def latest_features_with_expiry(spark, sf):
+    run = _Run(spark, "latest")
+    events = st.table(spark, sf, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    middle = dates.stamp("2024-01-15")
+    for part in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)):
+        _land(part, run.landing)
+        stream = runner.stream_files(spark, run.landing, events.schema)
+        runner.update_all(jobs.latest_features(stream, "user_id", ["ts", "event_id"], ["value"]), run.out, run.checkpoint)
+    as_of = rel.latest_value(st.table(spark, sf, "events"), "ts")
+    return jobs.unexpired(runner.read_latest(spark, run.out, ["user_id"]), "ts", as_of)
+
+
+@query("r08_session_activity", """
+SELECT conv_id, max(created_at) AS last_activity, count(*) AS total_messages, count(*) FILTER (role = 'user') AS user_messages FROM messages GROUP BY 1
+""")
+def session_activity(spark, sf):
+    run = _Run(spark, "sessions")
+    msgs = st.messages(spark, sf).select("conv_id", "turn", "role", "created_at")
+    for part in (msgs.where("turn < 2"), msgs.where("turn >= 2")):
+        _land(part, run.landing)
+        stream = runner.stream_files(spark, run.landing, msgs.schema)
+        runner.update_all(jobs.session_activity(stream), run.out, run.checkpoint)
+    return runner.read_latest(spark, run.out, ["conv_id"])
+
+
+@query("r09_smoothed_weights_per_batch", """
+WITH g AS (SELECT metric, avg(value) FILTER (entity_id < 700) / 100 AS g1, avg(value) FILTER (entity_id >= 700) / 100 AS g2 FROM component_long GROUP BY 1),
+a AS (SELECT metric, g2, greatest(0.1, least(1.0, 0.8 * 0.5 + 0.2 * g1)) AS w1 FROM g)
+SELECT metric AS metric_slug, round(greatest(0.1, least(1.0, 0.8 * w1 + 0.2 * g2)), 6) AS weight_value FROM a
+""")
+def smoothed_weights_per_batch(spark, sf):
+    run = _Run(spark, "smooth")
+    gains = st.component_long(spark, sf).select("entity_id", "metric", "value")
+    for part in (gains.where("entity_id < 700"), gains.where("entity_id >= 700")):
+        _land(part, run.landing)
+        jobs.smooth_weights(runner.stream_files(spark, run.landing, gains.schema), run.out, run.checkpoint)
+    return jobs.newest_generation(spark, run.out)
+
+
+@query("r10_late_rows_ignored", """
+WITH m AS (SELECT max(ts) - INTERVAL 7 DAY AS mark FROM events WHERE event_type <> 'error'),
+kept AS (SELECT ts FROM events WHERE event_type <> 'error' UNION ALL SELECT ts FROM events, m WHERE event_type = 'error' AND CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY > mark)
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM kept GROUP BY 1
+""")
+def late_rows_ignored(spark, sf):
+    """Error rows arrive last: those of days already past the watermark are dropped."""
+    run = _Run(spark, "late")
+    events = st.table(spark, sf, "events").select("ts", "event_type")
+    for part in (events.where("event_type <> 'error'"), events.where("event_type = 'error'")):
+        _land(part, run.landing)
+        stream = runner.stream_files(spark, run.landing, events.schema)
+        runner.update_all(jobs.daily_counts(stream), run.out, run.checkpoint)
+    return runner.read_latest(spark, run.out, ["day"])
+
+
+@query("r11_dimension_scores", """
+SELECT event_type AS dimension, round(max_by(value, (ts, event_id)), 6) AS latest_score, max(ts) AS measured_at, count(*) AS measurements FROM events GROUP BY 1
+""")
+def dimension_scores(spark, sf):
+    run = _Run(spark, "dimensions")
+    stream = _events_stream(spark, sf, run).select(F.col("event_type").alias("dimension"), F.col("value").alias("score"), "ts", "event_id")
+    runner.update_all(jobs.dimension_scores(stream), run.out, run.checkpoint)
+    return runner.read_latest(spark, run.out, ["dimension"])
