@@ -275,6 +275,10 @@ BLANK = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+BLANK_CHARACTERS = "".join(
+    chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
+
 # Namespace of path-derived document ids (RFC 4122, DNS).
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,15 @@ def lit_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    An expression mentioned inside an array lambda is evaluated again for every
+    element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(text: Column, keep_digits: bool = False) -> Column:
     """Lower case, blanks and dashes to underscores, everything else dropped."""
     allowed = "[^a-z0-9_]" if keep_digits else "[^a-z_]"
@@ -79,10 +89,8 @@ def flag_from_text(text: Column, words=("true", "yes", "1", "y")) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """Trim every line, drop the blank ones and squeeze runs of spaces."""
-    lines = F.filter(
-        F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"^{fixed.BLANK}+|{fixed.BLANK}+$", "")),
-        lambda x: x != "",
-    )
+    blanks = F.lit(fixed.BLANK_CHARACTERS)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, blanks)), lambda x: x != "")
     return F.regexp_replace(F.array_join(lines, "\n"), " {2,}", " ")
 
 
@@ -99,20 +107,23 @@ def markdown(text: Column, title: Column, source: Column, pages: Column) -> Colu
     Headings end a paragraph block, so each line carries the separator that
     belongs to it and the lines are simply joined.
     """
-    lines = F.split(text, "\n")
-    bare = lambda x: F.regexp_replace(x, "^[ -]+|[ -]+$", "")
+    bare = lambda x: F.btrim(x, F.lit(" -"))
     is_break = lambda x: x.startswith("--- Page") | x.startswith("--- Table") | _is_heading(x)
-    rendered = F.transform(
-        lines,
-        lambda x, i: F.when(x.startswith("--- Page"), F.concat(F.lit("## "), bare(x), F.lit("\n\n")))
-        .when(x.startswith("--- Table"), F.concat(F.lit("### "), bare(x), F.lit("\n\n")))
-        .when(_is_heading(x), F.concat(F.lit("### "), x, F.lit("\n\n")))
-        .when(
-            (i + 1 == F.size(lines)) | is_break(F.coalesce(F.get(lines, i + 1), F.lit(""))),
-            F.concat(x, F.lit("\n\n")),
+
+    def render(lines: Column) -> Column:
+        return F.transform(
+            lines,
+            lambda x, i: F.when(x.startswith("--- Page"), F.concat(F.lit("## "), bare(x), F.lit("\n\n")))
+            .when(x.startswith("--- Table"), F.concat(F.lit("### "), bare(x), F.lit("\n\n")))
+            .when(_is_heading(x), F.concat(F.lit("### "), x, F.lit("\n\n")))
+            .when(
+                (i + 1 == F.size(lines)) | is_break(F.coalesce(F.get(lines, i + 1), F.lit(""))),
+                F.concat(x, F.lit("\n\n")),
+            )
+            .otherwise(F.concat(x, F.lit("\n"))),
         )
-        .otherwise(F.concat(x, F.lit("\n"))),
-    )
+
+    rendered = bind(F.split(text, "\n"), render)
     head = F.concat(
         F.lit("# "), F.coalesce(title, F.lit("Document")), F.lit("\n\n"),
         F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.lit("**Source:** "), source, F.lit("\n"))).otherwise(""),

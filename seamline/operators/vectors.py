@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamline.operators.relational import top_per_key
+
 QUERY_BLOCK = 2048
 
 
@@ -84,8 +86,7 @@ def batch_nearest(corpus: DataFrame, queries: DataFrame, k: int, id_column: str,
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return corpus.sparkSession.createDataFrame([], f"query_id bigint, {id_column} bigint, similarity double, rank int")
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), id_column)  # k rows per task and query
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top_per_key(out, ["query_id"], [F.col("similarity").desc(), F.col(id_column)], k)
 
 
 def _score_block(corpus: DataFrame, block: pd.DataFrame, k: int, id_column: str, vector: str) -> DataFrame:

@@ -27,11 +27,13 @@ def words(text: Column) -> Column:
 
 def word_chunks(text: Column, size: int = 512, overlap: int = 50) -> Column:
     """Array of overlapping chunks of ``size`` words."""
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size - overlap))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size - overlap))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+
+    return tx.bind(words(text), cut)
 
 
 def chunk_table(docs: DataFrame, path: Column, text: str, title: Column, size: int = 512, overlap: int = 50) -> DataFrame:

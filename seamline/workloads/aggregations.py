@@ -183,7 +183,7 @@ WITH d AS (SELECT CASE WHEN trim(text) <> '' THEN 'processed' ELSE 'failed' END
 SELECT status, count(*) AS files, CAST(sum(CAST(ceil(n_words / 462.0) AS BIGINT)) AS BIGINT) AS chunks FROM d GROUP BY status
 """)
 def ingestion_summary(spark, sf):
-    docs = st.table(spark, sf, "documents").select(
+    docs = st.documents(spark, sf).select(
         F.when(F.trim("text") != "", "processed").otherwise("failed").alias("status"),
         F.size(retrieval.word_chunks(F.col("text"))).alias("chunks"),
     )

@@ -131,7 +131,7 @@ def flags(spark, sf):
 
 @query("f07_clean_text", "SELECT doc_id, clean FROM clean_documents")
 def clean_text(spark, sf):
-    return st.table(spark, sf, "documents").select("doc_id", tx.clean_lines(F.col("text")).alias("clean"))
+    return st.documents(spark, sf).select("doc_id", tx.clean_lines(F.col("text")).alias("clean"))
 
 
 HEADING_SQL = r"(length({0}) < 100 AND ((lower({0}) <> upper({0}) AND upper({0}) = {0}) OR (regexp_matches({0}, '^\p{{Nd}}') AND contains(left({0}, 10), '.'))))"
@@ -154,7 +154,7 @@ def markdown(spark, sf):
         F.col("doc_id").cast("string"), F.lit("\nlast line"),
     )
     rendered = tx.markdown(F.col("body"), F.lit(None).cast("string"), F.col("source"), F.lit(1))
-    return st.table(spark, sf, "documents").withColumn("body", body).select("doc_id", rendered.alias("markdown"))
+    return st.documents(spark, sf).withColumn("body", body).select("doc_id", rendered.alias("markdown"))
 
 
 @query("f09_table_rows", """
@@ -205,7 +205,7 @@ SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200),
   substring(source, 1, 8) AS short_source FROM documents
 """)
 def previews(spark, sf):
-    return st.table(spark, sf, "documents").select(
+    return st.documents(spark, sf).select(
         "doc_id", tx.preview(F.col("text")).alias("preview"), F.substring("source", 1, 8).alias("short_source")
     )
 
@@ -545,7 +545,7 @@ SELECT doc_id, sha256(concat(text, '{"lang": "', lang, '", "source": "', source,
 """)
 def chunk_provenance(spark, sf):
     metadata = nx.canonical_json({"source": F.col("source"), "lang": F.col("lang")})
-    return st.table(spark, sf, "documents").select("doc_id", nx.chunk_hash(F.col("text"), metadata).alias("provenance_hash"))
+    return st.documents(spark, sf).select("doc_id", nx.chunk_hash(F.col("text"), metadata).alias("provenance_hash"))
 
 
 @query("h03_content_hash", """

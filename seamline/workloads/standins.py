@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions import dates
+from seamline.session import spread
 from seamline.workloads.views import COMPONENTS, FORMULA_INPUTS, GRADES
 
 
@@ -35,6 +36,10 @@ def gold_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def nations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", "n_name")
 

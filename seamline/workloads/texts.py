@@ -29,7 +29,7 @@ WITH w AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents), c AS
 SELECT doc_id, CAST(unnest(range(len(chunks))) AS BIGINT) AS position, unnest(chunks) AS chunk FROM c
 """)
 def word_chunks(spark, sf):
-    docs = st.table(spark, sf, "documents")
+    docs = st.documents(spark, sf)
     return docs.select("doc_id", F.posexplode(retrieval.word_chunks(F.col("text"))).alias("position", "chunk"))
 
 
@@ -52,12 +52,12 @@ SELECT concat(document_id, '_', lpad(CAST(i AS VARCHAR), 4, '0')) AS chunk_id, d
 """)
 def chunk_table(spark, sf):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return retrieval.chunk_table(st.table(spark, sf, "documents"), path, "text", F.lit(None).cast("string"))
+    return retrieval.chunk_table(st.documents(spark, sf), path, "text", F.lit(None).cast("string"))
 
 
 @query("t03_chunk_embeddings")
 def chunk_embeddings(spark, sf):
-    chunks = st.table(spark, sf, "documents").select("doc_id", F.posexplode(retrieval.word_chunks(F.col("text"))).alias("position", "chunk"))
+    chunks = st.documents(spark, sf).select("doc_id", F.posexplode(retrieval.word_chunks(F.col("text"))).alias("position", "chunk"))
     embedded = retrieval.embed(chunks, "chunk")
     return embedded.select("doc_id", "position", F.size("embedding").alias("dimensions"), nx.dot(F.col("embedding"), F.col("embedding")).alias("squared_length"))
 
@@ -79,7 +79,7 @@ def _search(spark, sf):
     vecs = st.table(spark, sf, "embeddings")
     centre = vectors.overall_centre(vecs, "embedding")
     rows = retrieval.searchable(
-        st.table(spark, sf, "documents"), vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), st.table(spark, sf, "labels"),
+        st.documents(spark, sf), vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), st.table(spark, sf, "labels"),
         (F.col("lang") == "en") | (F.col("toxic") == 1) | (F.col("n_chars") > 2000), contains="th",
     )
     return vectors.nearest(rows, "embedding", centre, 10, "cosine", "doc_id")
@@ -154,7 +154,7 @@ WITH t AS (SELECT doc_id, list_filter(list_filter(regexp_split_to_array(lower(te
 SELECT doc_id, len(hits)::BIGINT AS hits FROM t WHERE len(list_distinct(hits)) = 3
 """)
 def full_text_match(spark, sf):
-    return retrieval.full_text(st.table(spark, sf, "documents").select("doc_id", "text"), "text", ["the", "and", "of"]).drop("text")
+    return retrieval.full_text(st.documents(spark, sf).select("doc_id", "text"), "text", ["the", "and", "of"]).drop("text")
 
 
 @query("t11_conversation_report", f"""
