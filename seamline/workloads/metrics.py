@@ -100,7 +100,7 @@ def all_sheets(spark, sf):
 
 
 @query("p03_user_formula", """
-SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice / nullif(l_quantity, 0)) * (1 - l_discount) - greatest(l_tax, 0.02) ** 2, 6) AS result,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(sqrt(l_extendedprice / nullif(l_quantity, 0)) * (1 - l_discount) - greatest(l_tax, 0.02) ** 2, 6) AS result,
   CAST(NULL AS DOUBLE) AS refused FROM lineitem
 """)
 def user_formula(spark, sf):

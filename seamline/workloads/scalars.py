@@ -270,7 +270,7 @@ def score_labels(spark, sf):
 # --- numbers --------------------------------------------------------------------
 
 @query("n01_formula_functions", """
-SELECT l_orderkey, l_linenumber, round(ln(1 + l_quantity), 6) AS a, round(exp(l_discount), 6) AS b, round(ln(l_extendedprice), 6) AS c,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(ln(1 + l_quantity), 6) AS a, round(exp(l_discount), 6) AS b, round(ln(l_extendedprice), 6) AS c,
   round(sqrt(l_quantity), 6) AS d, round(abs(l_tax - 0.05), 6) AS e, round(1 / (1 + exp(-l_tax)), 6) AS f,
   round((l_tax + l_discount) / 2, 6) AS g, greatest(l_tax, l_discount) AS h, least(l_tax, l_discount) AS i FROM lineitem
 """)
@@ -286,7 +286,7 @@ def formula_functions(spark, sf):
     return formulas.with_formulas(frame, cells).select("l_orderkey", "l_linenumber", *cells)
 
 
-@query("n02_guarded_division", "SELECT l_orderkey, l_linenumber, round(l_tax / nullif(l_discount, 0), 6) AS ratio FROM lineitem")
+@query("n02_guarded_division", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_tax / nullif(l_discount, 0), 6) AS ratio FROM lineitem")
 def guarded_division(spark, sf):
     ratio = numeric.divide(F.col("l_tax"), F.col("l_discount"))
     return st.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ratio.alias("ratio"))

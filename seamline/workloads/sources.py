@@ -81,7 +81,7 @@ def split_scan(spark, sf):
     return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 
-@query("a07_scan_by_name", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+@query("a07_scan_by_name", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def scan_by_name(spark, sf):
     st.table(spark, sf, "part").createOrReplaceTempView("seamline_part")
     return tables.named_scan(spark, "seamline_part")

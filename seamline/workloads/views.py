@@ -146,10 +146,10 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey <> 7"""
     CASE WHEN s_acctbal < 1000 THEN s_acctbal + 1 ELSE s_acctbal END AS capacity
 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 9000""",
     "gappy": """SELECT event_id, user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS value FROM events""",
-    "formula_inputs": "SELECT l_orderkey, l_linenumber, l_partkey, "
+    "formula_inputs": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, "
     + ", ".join(f"{e} AS {n}" for n, e in FORMULA_INPUTS.items())
     + " FROM lineitem",
-    "active_weights": """SELECT metric_slug, weight_value FROM (VALUES ('necessity_score', 0.6), ('emissions_score', 0.9),
+    "active_weights": """SELECT metric_slug, CAST(weight_value AS DOUBLE) AS weight_value FROM (VALUES ('necessity_score', 0.6), ('emissions_score', 0.9),
     ('economic_score', 0.3), ('ecological_score', 0.0), ('monopoly_control_score', 1.4)) AS w(metric_slug, weight_value)""",
     "messages": """SELECT conv_id, turn, role, text, CAST(length(text) % 500 AS BIGINT) AS response_ms,
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(conv_id * 3600 + turn * 30 AS BIGINT)) AS created_at

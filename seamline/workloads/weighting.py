@@ -54,7 +54,7 @@ def information_gain(spark, sf):
 
 
 BASE = {"f_03_subsidy_factor": 0.5, "f_04_co2_intensity": 2.0}
-BASE_SQL = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in BASE.items()) + " ELSE 1.0 END"
+BASE_SQL = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in BASE.items()) + " ELSE 1.0 END::DOUBLE"
 COMBINED_SQL = f"""{FRAME_SQL}, {GAIN_SQL}, quality AS ({QUALITY_SQL}),
 combined AS (SELECT q.metric, concat('w_', substring(q.metric, 3), '_H10') AS weight_name, {BASE_SQL.replace('metric', 'q.metric')} AS base, quality, gain,
   {BASE_SQL.replace('metric', 'q.metric')} * (0.5 * quality + 0.5 * gain) AS weight FROM quality q JOIN gains g ON q.metric = g.metric)"""
