@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.operators.relational import top_per_key
+from seamline.session import cut_lineage
 
 QUERY_BLOCK = 2048
 
@@ -72,11 +73,9 @@ def batch_nearest(corpus: DataFrame, queries: DataFrame, k: int, id_column: str,
     batch is scored by one matrix product and hands on at most k rows per query
     and task. No pair outside a running top-k is ever emitted.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    numbered = queries.select(
-        F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")
-    )
+    asked = cut_lineage(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v")))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
     out = None
     for block in range(blocks):
         part = numbered.where(F.col("_block") == block).toPandas()  # bounded: QUERY_BLOCK rows on average

@@ -177,14 +177,13 @@ def split_at_quantile(df: DataFrame, ts: str, q: float) -> DataFrame:
     return df.withColumn("part", F.when(F.unix_micros(F.col(ts).cast("timestamp")) <= cut, "train").otherwise("test"))
 
 
-def top_contributions(long: DataFrame, key: str, feature: str, value: str, k: int) -> DataFrame:
-    """k largest absolute contributions per sample.
-
-    A sample has one row per feature, so the window group is as wide as the
-    feature list.
-    """
-    w = Window.partitionBy(key).orderBy(F.abs(value).desc(), feature)
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top_contributions(df: DataFrame, key: str, contributions: dict[str, Column], k: int) -> DataFrame:
+    """k largest absolute contributions per sample, ranked inside the row: no shuffle."""
+    items = F.array(*[
+        F.struct((-F.abs(c)).alias("o"), F.lit(name).alias("feature"), c.alias("contribution")) for name, c in contributions.items()
+    ])
+    best = F.posexplode(F.slice(F.array_sort(items), 1, k)).alias("_at", "_item")
+    return df.select(key, best).select(key, "_item.feature", "_item.contribution", (F.col("_at") + 1).alias("rank"))
 
 
 def fill_and_normalise(df: DataFrame, columns: list[str], fill: str, method: str) -> DataFrame:

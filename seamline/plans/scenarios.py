@@ -10,30 +10,31 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions import numeric
-from seamline.functions import text as tx
 
 
-def shifted(components: DataFrame, changes: dict[str, float]) -> DataFrame:
-    """Component values with the scenario change, clipped to [0, 100].
+def shifted(changes: dict[str, float]) -> dict[str, Column]:
+    """Component columns with the scenario change, clipped to [0, 100].
 
-    ``components`` is long: (entity_id, metric, value). Metrics without a
-    change keep their value unclipped.
+    Metrics without a change keep their value unclipped.
     """
-    change = F.try_element_at(tx.lit_map(changes), F.col("metric"))
-    moved = F.when(change.isNull(), F.col("value")).otherwise(numeric.clamp(F.col("value") + change, 0, 100))
-    return components.withColumn("scenario_value", moved)
+    return {
+        m: numeric.clamp(F.col(m) + F.lit(float(changes[m])), 0, 100) if m in changes else F.col(m)
+        for m in fixed.COMPONENT_WEIGHTS
+    }
 
 
-def weighted(value: str) -> Column:
-    weight = F.coalesce(F.try_element_at(tx.lit_map(fixed.COMPONENT_WEIGHTS), F.col("metric")), F.lit(0.0))
-    return F.sum(F.col(value) * weight)
+def scenario_score(changes: dict[str, float]) -> Column:
+    """Weighted score after the change, computed inside the row."""
+    terms = [c * F.lit(fixed.COMPONENT_WEIGHTS[m]) for m, c in shifted(changes).items()]
+    return reduce(lambda a, b: a + b, terms)
 
 
 def comparison(components: DataFrame, changes: dict[str, float]) -> DataFrame:
     """Baseline and scenario score per entity, change, percent and wording."""
-    scores = shifted(components, changes).groupBy("entity_id").agg(
-        weighted("value").alias("baseline"), weighted("scenario_value").alias("scenario"),
-        *[F.max(F.when(F.col("metric") == m, F.col("scenario_value") - F.col("value"))).alias(f"impact_{m}") for m in changes],
+    moved = shifted(changes)
+    scores = components.select(
+        "entity_id", scenario_score({}).alias("baseline"), scenario_score(changes).alias("scenario"),
+        *[(moved[m] - F.col(m)).alias(f"impact_{m}") for m in changes],
     )
     change = F.col("scenario") - F.col("baseline")
     percent = numeric.percent_change(F.col("baseline"), F.col("scenario"))

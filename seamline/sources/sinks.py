@@ -17,12 +17,11 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
 def materialise_by_date(df: DataFrame, path: str, date: str, created_at: Column) -> None:
     """Write by day; a rerun replaces only the days it holds.
 
-    Rows are brought together by day with a salt, so a heavy day is written by
-    several tasks and a light one yields a single file.
+    Rows are rebalanced by day: adaptive execution splits a heavy day over as
+    many tasks as its size asks for and merges light ones.
     """
     stamped = df.withColumn("created_at", created_at).withColumn("_day", F.to_date(date))
-    spread = stamped.repartition("_day", F.pmod(F.xxhash64(*df.columns), F.lit(4)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(path)
+    stamped.hint("rebalance", F.col("_day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions import text as tx
+from seamline.operators.relational import with_frame_stats
 
 
 def jdbc_scan(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, partitions: int, **options) -> DataFrame:
@@ -16,6 +17,13 @@ def jdbc_scan(spark: SparkSession, url: str, table: str, column: str, lower: int
     )
 
 
+def by_stride(df: DataFrame, column: str, partitions: int) -> DataFrame:
+    """Stride of the partition column each row belongs to, as a parallel scan splits it."""
+    bounded = with_frame_stats(df, _lo=F.min(column), _hi=F.max(column))
+    place = F.floor((F.col(column) - F.col("_lo")) * partitions / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)))
+    return bounded.withColumn("stride", F.least(place, F.lit(partitions - 1))).drop("_lo", "_hi")
+
+
 def named_scan(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 

@@ -135,6 +135,13 @@ def feature_attribution(spark, sf):
     return _attributed(spark, sf)
 
 
+@query("m09_tree_attribution")
+def tree_attribution(spark, sf):
+    data = _learning(spark, sf)
+    model = models.forest("label", trees=5, depth=3).fit(data.where("NOT is_validation"))
+    return models.tree_attribution(model, data.where("is_validation"), ["l_orderkey", "l_linenumber"], INPUTS)
+
+
 @query("m10_partial_pooling", """
 WITH s AS (SELECT concat(sub_industry, '/', coalesce(country, '-')) AS grp, count(score) AS n, avg(score) AS mean, coalesce(var_samp(score), 0) AS var FROM composite_scores GROUP BY 1),
 p AS (SELECT sum(n * mean) / sum(n) AS grand, sum((n - 1) * var) / greatest(sum(n) - count(*), 1) AS within, var_samp(mean) AS vm, avg(1.0 / n) AS inv FROM s),
@@ -157,8 +164,7 @@ LONG_WEIGHT_SQL = "CASE metric " + " ".join(f"WHEN '{m}' THEN {w}::DOUBLE" for m
 
 @query("m11_scenario_shift", f"""WITH {SHIFT_SQL} SELECT entity_id, round(sum(scenario_value * {LONG_WEIGHT_SQL}), 9) AS score FROM sh GROUP BY entity_id""", digits=9)
 def scenario_shift(spark, sf):
-    moved = scenarios.shifted(st.component_long(spark, sf), CHANGES)
-    return moved.groupBy("entity_id").agg(scenarios.weighted("scenario_value").alias("score"))
+    return st.entity_components(spark, sf).select("entity_id", scenarios.scenario_score(CHANGES).alias("score"))
 
 
 @query("m12_scenario_comparison", f"""WITH {SHIFT_SQL},
@@ -170,7 +176,7 @@ SELECT entity_id, round(baseline, 9) AS baseline, round(scenario, 9) AS scenario
   CASE WHEN abs(percent) > 5 THEN 'significant' WHEN abs(percent) > 2 THEN 'moderate' ELSE 'minor' END AS magnitude, change > 0 AS rises FROM c
 """, digits={"baseline": 9, "scenario": 9, "change": 9})
 def scenario_comparison(spark, sf):
-    compared = scenarios.comparison(st.component_long(spark, sf), CHANGES)
+    compared = scenarios.comparison(st.entity_components(spark, sf), CHANGES)
     return compared.select(
         "entity_id", "baseline", "scenario", "change", "percent", *[f"impact_{m}" for m in CHANGES],
         F.regexp_extract("explanation", "results in a ([a-z]+)", 1).alias("magnitude"), F.col("explanation").contains("increase").alias("rises"),

@@ -62,27 +62,27 @@ def exported_rows(spark, sf):
 
 @query("k05_upserted_rows", """
 SELECT doc_id, CASE WHEN lang = 'en' THEN 'updated' ELSE source END AS source, CASE WHEN lang = 'en' THEN 2 ELSE 1 END::BIGINT AS version FROM documents
-UNION ALL SELECT doc_id + 10000000, 'added', 2 FROM documents WHERE lang = 'de'
+UNION ALL SELECT -doc_id - 1, 'added', 2 FROM documents WHERE lang = 'de'
 """)
 def upserted_rows(spark, sf):
     docs = st.table(spark, sf, "documents")
     stored = docs.select("doc_id", "source", F.lit(1).cast("bigint").alias("version"))
     updated = docs.where("lang = 'en'").select("doc_id", F.lit("updated").alias("source"), F.lit(2).cast("bigint").alias("version"))
     added = docs.where("lang = 'de'").select(
-        (F.col("doc_id") + 10_000_000).alias("doc_id"), F.lit("added").alias("source"), F.lit(2).cast("bigint").alias("version")
+        (-F.col("doc_id") - 1).alias("doc_id"), F.lit("added").alias("source"), F.lit(2).cast("bigint").alias("version")
     )
     return sinks.upsert(stored, updated.unionByName(added), ["doc_id"], "version")
 
 
 @query("k06_inserted_if_new", """
 SELECT c_custkey AS id, c_name AS name FROM customer
-UNION ALL SELECT o_custkey + 1000000000, 'new' FROM (SELECT DISTINCT o_custkey FROM orders)
+UNION ALL SELECT -o_custkey - 1, 'new' FROM (SELECT DISTINCT o_custkey FROM orders)
 """)
 def inserted_if_new(spark, sf):
     stored = st.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     buyers = st.table(spark, sf, "orders").select("o_custkey").distinct()
     known = buyers.select(F.col("o_custkey").alias("id"), F.lit("kept as stored").alias("name"))
-    new = buyers.select((F.col("o_custkey") + 1_000_000_000).alias("id"), F.lit("new").alias("name"))
+    new = buyers.select((-F.col("o_custkey") - 1).alias("id"), F.lit("new").alias("name"))
     return sinks.insert_new(stored, known.unionByName(new), ["id"])
 
 

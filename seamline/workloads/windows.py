@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seamline import fixed
 from seamline.operators import relational as rel
 from seamline.operators import windows as win
 from seamline.plans import conversations
@@ -139,8 +140,8 @@ SELECT entity_id, metric, round(contribution, 6) AS contribution, rank FROM (SEL
   OVER (PARTITION BY entity_id ORDER BY abs(contribution) DESC, metric) AS rank FROM c) WHERE rank <= 3
 """)
 def top_contributions(spark, sf):
-    long = st.component_long(spark, sf).select("entity_id", "metric", F.round(F.col("value") - 50, 6).alias("contribution"))
-    return win.top_contributions(long, "entity_id", "metric", "contribution", 3)
+    contributions = {m: F.round(F.col(m) - 50, 6) for m in fixed.COMPONENT_WEIGHTS}
+    return win.top_contributions(st.entity_components(spark, sf), "entity_id", contributions, 3).withColumnRenamed("feature", "metric")
 
 
 @query("e13_last_activity", "SELECT conv_id, max(created_at) AS last_activity FROM messages GROUP BY conv_id")

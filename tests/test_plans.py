@@ -120,6 +120,19 @@ def test_attribution_adds_up(spark):
         assert sum(r.contribution for r in mine) + mine[0].base_value == pytest.approx(mine[0].prediction)
 
 
+def test_tree_attribution_adds_up(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(a), float(b), float(3 * a - b * b)) for i, (a, b) in enumerate(rng.random((400, 2)))]
+    data = models.assembled(spark.createDataFrame(rows, "id int, a double, b double, label double"), ["a", "b"])
+    model = models.forest("label", trees=4, depth=4).fit(data)
+    predicted = {r.id: r.prediction for r in model.transform(data).collect()}
+    total = {}
+    for r in models.tree_attribution(model, data, ["id"], ["a", "b"]).collect():
+        total[r.id] = total.get(r.id, r.base_value) + r.contribution
+        assert r.prediction == pytest.approx(predicted[r.id])
+    assert total == pytest.approx(predicted)
+
+
 def test_partial_pooling_shrinks_small_groups_more(spark):
     rng = np.random.default_rng(5)
     rows = [("big", float(v)) for v in rng.normal(10, 1, 300)] + [("small", float(v)) for v in rng.normal(14, 1, 4)] + [("mid", float(v)) for v in rng.normal(6, 1, 40)]
@@ -135,9 +148,10 @@ def test_too_few_rows_is_an_error(spark):
 
 
 def test_scenario_clips_only_changed_metrics(spark):
-    long = spark.createDataFrame([(1, "emissions_score", 95.0), (1, "economic_score", 130.0)], "entity_id int, metric string, value double")
-    got = {r.metric: r.scenario_value for r in scenarios.shifted(long, {"emissions_score": 20.0}).collect()}
-    assert got == {"emissions_score": 100.0, "economic_score": 130.0}
+    wide = spark.createDataFrame([{m: 50.0 for m in fixed.COMPONENT_WEIGHTS} | {"emissions_score": 95.0, "economic_score": 130.0}])
+    moved = scenarios.shifted({"emissions_score": 20.0})
+    row = wide.select(*[c.alias(m) for m, c in moved.items()]).first()
+    assert (row.emissions_score, row.economic_score, row.necessity_score) == (100.0, 130.0, 50.0)
 
 
 def test_draws_are_repeatable_and_spread(spark):
