@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions import numeric
-from seamline.operators.segments import exact_percentiles
+from seamline.operators.relational import join_null_safe
+from seamline.operators.segments import percentiles_of, value_segments
 
 
 def metric_summary(definitions: DataFrame, values: DataFrame, sources: DataFrame, approximate: bool = False) -> DataFrame:
@@ -86,10 +87,13 @@ def weighted_score(weights: dict[str, float] = fixed.COMPONENT_WEIGHTS) -> Colum
 def percentile_summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """5/25/75/95 percentiles with mean and deviation."""
     keys = list(keys or [])
-    marks = exact_percentiles(df, value, [0.05, 0.25, 0.75, 0.95], keys)
-    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    seg = value_segments(df, value, keys)  # fixed on disk: percentiles and moments both read it
+    marks = percentiles_of(seg, [0.05, 0.25, 0.75, 0.95], keys)
+    n, total = F.sum("_c"), F.sum(F.col("_v") * F.col("_c"))
+    spread = F.sum(F.col("_v") * F.col("_v") * F.col("_c")) / n - F.pow(total / n, 2)
+    moments = seg.groupBy(*keys).agg((total / n).alias("mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"))
     if keys:
-        return moments.join(marks, keys)
+        return join_null_safe(moments, marks, keys)
     both = moments.withColumn("_m", marks.select(F.struct("*")).scalar())
     return both.select("mean", "std", "_m.*")
 

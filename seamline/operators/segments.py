@@ -11,15 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.operators.relational import join_null_safe
-from seamline.session import cut_lineage, shuffle_width
+from seamline.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def range_segments(df: DataFrame, order: list[str], segments: int | None = None) -> DataFrame:
-    """Adds ``_seg`` (segment number) and ``_pos`` (row index inside it)."""
-    n = segments or shuffle_width(df.sparkSession)
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+def range_segments(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``_seg`` (segment number) and ``_pos`` (row index inside it).
+
+    The number of segments is the shuffle width, from which adaptive execution
+    merges neighbouring small ranges.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     row_id = F.monotonically_increasing_id()
     return cut_lineage(
         ordered.select(
@@ -67,9 +70,18 @@ def exact_percentiles(
     up in one task.
     """
     keys = list(keys or [])
-    names = names or [f"p{round(p * 100):02d}" for p in probabilities]
+    return percentiles_of(value_segments(df, value, keys), probabilities, keys, names)
+
+
+def value_segments(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Non-null values with their counts (``_v``, ``_c``) in range segments per key."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    seg = range_segments(counted, [*keys, "_v"])
+    return range_segments(counted, [*keys, "_v"])
+
+
+def percentiles_of(seg: DataFrame, probabilities: list[float], keys: list[str], names: list[str] | None = None) -> DataFrame:
+    """Percentiles read off value segments."""
+    names = names or [f"p{round(p * 100):02d}" for p in probabilities]
     inside = Window.partitionBy(*keys, "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = with_starts(seg, F.col("_c"), keys).withColumn("_in", F.sum("_c").over(inside))
     end = F.col("_start") + F.col("_in")

@@ -9,6 +9,23 @@ from seamline.operators import segments
 from seamline.operators import windows as win
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_segments(spark):
+    """Small inputs would be merged into one segment; the tests want all eight."""
+    option = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(option, "false")
+    yield
+    spark.conf.unset(option)
+
+
+def test_a_hot_key_spans_segments(hot):
+    _, df = hot
+    seg = segments.range_segments(df, ["key", "at"])
+    assert seg.where("key = 'hot'").select("_seg").distinct().count() > 2
+    rows = seg.orderBy("_seg", "_pos").select(F.coalesce("key", F.lit("")).alias("key"), "at").collect()
+    assert [tuple(r) for r in rows] == sorted(tuple(r) for r in rows)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     rng = np.random.default_rng(7)
