@@ -13,6 +13,11 @@ from pyspark.sql.types import DoubleType
 from seamline import fixed
 
 
+def nan_to_null(x: Column) -> Column:
+    """NULL is the only missing value; NaN is mapped to it where data enters."""
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
 def row_mean(*cols: Column) -> Column:
     return reduce(lambda a, b: a + b, cols) / F.lit(float(len(cols)))
 

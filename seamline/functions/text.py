@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seamline import fixed
+from seamline.functions.numeric import nan_to_null
 
 
 def lit_array(values) -> Column:
@@ -80,7 +81,10 @@ def strip_prefix(name: Column, prefix: str, replacement: str = "") -> Column:
 def safe_number(text: Column, dtype: str, default=None) -> Column:
     """Number from a cell that may carry a bracketed note."""
     bare = F.trim(F.regexp_replace(text, r"\(.*?\)", ""))
-    return F.coalesce(F.nullif(bare, F.lit("")).try_cast(dtype), F.lit(default).cast(dtype))
+    number = F.nullif(bare, F.lit("")).try_cast(dtype)
+    if dtype == "double":
+        number = nan_to_null(number)
+    return F.coalesce(number, F.lit(default).cast(dtype))
 
 
 def flag_from_text(text: Column, words=("true", "yes", "1", "y")) -> Column:

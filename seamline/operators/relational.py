@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamline.functions.numeric import nan_to_null
+
 
 # --- filters and projections -------------------------------------------------
 
@@ -51,10 +53,10 @@ def type_by_suffix(df: DataFrame) -> DataFrame:
     """``_date`` becomes a timestamp, ``_value`` and ``_amount`` a number; bad cells NULL."""
     typed = {}
     for c, dtype in df.dtypes:
-        if c.endswith("_date") and dtype != "timestamp":
+        if c.endswith("_date") and not dtype.startswith("timestamp"):
             typed[c] = F.col(c).try_cast("timestamp")
-        elif c.endswith(("_value", "_amount")) and dtype != "double":
-            typed[c] = F.col(c).try_cast("double")
+        elif c.endswith(("_value", "_amount")):
+            typed[c] = nan_to_null(F.col(c) if dtype == "double" else F.col(c).try_cast("double"))
     return df.withColumns(typed) if typed else df
 
 

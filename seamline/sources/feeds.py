@@ -64,10 +64,9 @@ def records(responses: DataFrame, source: str) -> DataFrame:
         missing = "No data in response"
     else:
         raise ValueError(f"unknown source {source}")
-    rows = responses.where(F.col("source") == source)
-    return rows.select(
-        "source", F.explode_outer(items).alias("r"), F.when(items.isNull(), missing).alias("error"),
-    )
+    rows = responses.where(F.col("source") == source).select("source", items.alias("_items"))
+    flat = rows.select("source", F.explode_outer("_items").alias("r"), F.when(F.col("_items").isNull(), missing).alias("error"))
+    return flat.where(F.col("r").isNotNull() | F.col("error").isNotNull())  # an empty list has no rows
 
 
 def _uniform(key: Column, period: Column, value: Column, unit: Column) -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions import text as tx
+from seamline.functions.numeric import nan_to_null
 from seamline.operators.relational import with_frame_stats
 
 
@@ -78,7 +79,7 @@ def metric_sheet(sheet: DataFrame) -> DataFrame:
     headers = {f: h for h, f in fixed.METRIC_SHEET_FIELDS.items()}
     casts = {f: F.col(f"`{headers[f]}`").try_cast("int") for f in fixed.METRIC_SHEET_INTEGERS if headers[f] in sheet.columns}
     if "Weighting In Metric" in sheet.columns:
-        casts["weighting_in_metric"] = F.col("`Weighting In Metric`").try_cast("double")
+        casts["weighting_in_metric"] = nan_to_null(F.col("`Weighting In Metric`").try_cast("double"))
     extra = [F.col("sheet_name")] if "sheet_name" in sheet.columns else []
     rows = sheet.select(*extra, *_renamed(sheet, fixed.METRIC_SHEET_FIELDS, casts)).where("coalesce(title, '') <> ''")
     slug = F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -260,11 +260,11 @@ LINEAGE_SQL = " UNION ALL ".join(
 )
 
 
-@query("p14_feature_lineage", f"WITH d AS ({DERIVED_SQL}) SELECT *, 'gold_mine_features' AS source_table, '1.0' AS version FROM ({LINEAGE_SQL})")
+@query("p14_feature_lineage", f"WITH d AS ({DERIVED_SQL}) SELECT *, 'gold_features' AS source_table, '1.0' AS version FROM ({LINEAGE_SQL})")
 def feature_lineage(spark, sf):
     """Lineage rows with the number of values each feature really has."""
     frame = features.with_derived(st.gold_features(spark, sf))
-    lineage = features.lineage(frame, "gold_mine_features", "1.0")
+    lineage = features.lineage(frame, "gold_features", "1.0")
     counts = frame.agg(*[F.count(c).alias(c) for c in fixed.DERIVED_FEATURES]).unpivot([], list(fixed.DERIVED_FEATURES), "feature", "non_null")
     return lineage.join(counts, "feature")
 

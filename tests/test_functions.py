@@ -35,7 +35,7 @@ def test_name_parsing_gives_null_without_match(spark):
 
 @pytest.mark.parametrize("cell, dtype, default, want", [
     ("12 (approx)", "int", None, 12), ("3.7", "int", -1, -1), ("", "double", 0.5, 0.5), (None, "int", 4, 4), (" 2.5 ", "double", None, 2.5),
-    ("about", "double", None, None),
+    ("about", "double", None, None), ("NaN", "double", None, None),
 ])
 def test_safe_numbers(spark, cell, dtype, default, want):
     assert one(spark, tx.safe_number(F.lit(cell), dtype, default)) == want

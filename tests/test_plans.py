@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions import dates
+from seamline.operators import relational as rel
 from seamline.operators import vectors
 from seamline.plans import features, formulas, models, retrieval, scenarios, weights
 from seamline.session import scratch
@@ -227,6 +228,17 @@ def test_missing_path_gives_one_error_row(spark):
     assert [r.error for r in feeds.uniform_records(df, "WorldBank").collect()] == ["Invalid data format"]
 
 
+def test_empty_list_has_no_rows_and_broken_text_is_an_error(spark):
+    df = spark.createDataFrame([("EIA", '{"response": {"data": []}}'), ("EIA", "{broken")], "source string, data string")
+    assert [r.error for r in feeds.uniform_records(df, "EIA").collect()] == ["No data in response"]
+
+
+def test_types_by_suffix(spark):
+    df = spark.createDataFrame([("2024-01-05", "NaN", "x", "7"), ("soon", "2.5", "1e3", "8")], "a_date string, b_value string, c_amount string, d string")
+    rows = rel.type_by_suffix(df).orderBy("d").collect()
+    assert [(r.a_date and r.a_date.day, r.b_value, r.c_amount, r.d) for r in rows] == [(5, None, None, "7"), (None, 2.5, 1000.0, "8")]
+
+
 def test_request_plan_size(spark):
     countries = spark.createDataFrame([("A",), ("B",)], "country string")
     years = spark.createDataFrame([(2020,)], "year int")
