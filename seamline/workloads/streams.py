@@ -71,7 +71,9 @@ def error_rate_alerts(spark, sf):
     return runner.read_latest(spark, run.out, ["window_start"]).where("error_rate > 0.05")
 
 
-@query("r04_slow_windows")
+@query("r04_slow_windows", f"""WITH {SLIDES_SQL}
+SELECT window_start, round(quantile_disc(value / 1000, 0.95), 6) AS p95, count(*) AS requests FROM slid GROUP BY 1 HAVING quantile_disc(value / 1000, 0.95) > 0.1
+""")
 def slow_windows(spark, sf):
     run = _Run(spark, "slow")
     stream = jobs.slow_windows(_events_stream(spark, sf, run), F.col("value") / 1000)

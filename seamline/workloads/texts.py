@@ -55,7 +55,10 @@ def chunk_table(spark, sf):
     return retrieval.chunk_table(st.documents(spark, sf), path, "text", F.lit(None).cast("string"))
 
 
-@query("t03_chunk_embeddings")
+@query("t03_chunk_embeddings", f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents)
+SELECT doc_id, unnest(range(0, CAST(ceil(len(w) / 462.0) AS BIGINT))) AS position, 384::BIGINT AS dimensions, 1.0::DOUBLE AS squared_length FROM w
+""")
 def chunk_embeddings(spark, sf):
     chunks = st.documents(spark, sf).select("doc_id", F.posexplode(retrieval.word_chunks(F.col("text"))).alias("position", "chunk"))
     embedded = retrieval.embed(chunks, "chunk")

@@ -12,8 +12,7 @@ ROOT = Path(entry.__file__).parent
 # Estimators, engine-specific hashes and sketches, and the error function have no SQL form.
 WITHOUT_TWIN = {
     "h06_hash_codes", "m02_boosted_regression", "m03_forest_and_linear", "m04_hold_out_and_folds", "m05_parameter_search",
-    "m08_tree_spread", "m09_tree_attribution", "n18_probability_of_improvement", "r04_slow_windows", "r06_repeat_suppression",
-    "t03_chunk_embeddings", "t06_approximate_nearest",
+    "m08_tree_spread", "m09_tree_attribution", "n18_probability_of_improvement", "r06_repeat_suppression", "t06_approximate_nearest",
 }
 
 
