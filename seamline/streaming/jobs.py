@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from seamline.operators.relational import first_per_key
 from seamline.plans import weights
 from seamline.sources import feeds
 from seamline.streaming import runner
@@ -82,10 +83,24 @@ def suppress_repeats(requests: DataFrame, keys: list[str], ts: str, within: str
     return runner.timed(requests, ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_features(features: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Newest feature row per entity, kept as one struct of state per key."""
-    newest = F.max_by(F.struct(*order, *columns), F.struct(*order)).alias("_row")
-    return features.groupBy(key).agg(newest).select(key, "_row.*")
+def keep_latest(features: DataFrame, key: str, order: list[str], days: int, out: str, checkpoint: str) -> None:
+    """Newest row per entity, dropped once it is older than the time to live.
+
+    Each micro-batch is reduced, merged with the generation before it and
+    written as its own generation. Expired entities leave the table, so it is
+    as large as the set of live entities, and a replayed batch gives the same
+    generation again.
+    """
+    spark = features.sparkSession
+    ts = order[0]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if batch_id == 0 else batch.unionByName(spark.read.parquet(f"{out}/batch_id={batch_id - 1}"))
+        newest = first_per_key(rows, [key], [F.col(c) for c in order])
+        alive = unexpired(newest, ts, rows.agg(F.max(ts)).scalar(), days)
+        alive.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    runner.run_available(features, checkpoint, step)
 
 
 def unexpired(features: DataFrame, ts: str, as_of: Column, days: int = 7) -> DataFrame:

@@ -115,9 +115,9 @@ def latest_features_with_expiry(spark, sf):
     for part in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)):
         _land(part, run.landing)
         stream = runner.stream_files(spark, run.landing, events.schema)
-        runner.update_all(jobs.latest_features(stream, "user_id", ["ts", "event_id"], ["value"]), run.out, run.checkpoint)
+        jobs.keep_latest(stream, "user_id", ["ts", "event_id"], 7, run.out, run.checkpoint)
     as_of = rel.latest_value(st.table(spark, sf, "events"), "ts")
-    return jobs.unexpired(runner.read_latest(spark, run.out, ["user_id"]), "ts", as_of)
+    return jobs.unexpired(jobs.newest_generation(spark, run.out), "ts", as_of)
 
 
 @query("r08_session_activity", """

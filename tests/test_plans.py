@@ -269,6 +269,17 @@ def test_smoothing_stream_survives_a_replay(spark):
     assert jobs.newest_generation(spark, f"{base}/out").first().weight_value == pytest.approx(0.8 * (0.8 * 0.5 + 0.2) + 0.2)
 
 
+def test_expired_entities_leave_the_table(spark):
+    base = scratch(spark, "latest")
+    schema = "user_id int, ts timestamp_ntz, event_id int, value double"
+    steps = [[(1, "2024-01-01", 1, 1.0), (2, "2024-01-06", 2, 2.0)], [(2, "2024-01-04", 3, 9.0), (3, "2024-01-10", 4, 3.0)]]
+    for rows in steps:
+        df = spark.createDataFrame(rows, "user_id int, ts string, event_id int, value double")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        jobs.keep_latest(runner.stream_files(spark, f"{base}/landing", schema), "user_id", ["ts", "event_id"], 7, f"{base}/out", f"{base}/checkpoint")
+    assert sorted((r.user_id, r.value) for r in jobs.newest_generation(spark, f"{base}/out").collect()) == [(2, 2.0), (3, 3.0)]
+
+
 def test_change_stream_ignores_repeats(spark):
     base = scratch(spark, "changes")
     steps = [[("s1", "h1"), ("s2", "h2")], [("s1", "h1")], [("s1", "h9"), ("s3", "h3")]]
