@@ -214,8 +214,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     in the shared folder at each round, so a lost executor costs one round.
     """
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(rounds):
+    state_of = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    before = now.agg(*state_of).first()
+    for _ in range(rounds if before[0] else 0):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -226,12 +227,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*").where("a <> b").distinct()
         )
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = now.agg(*state_of).first()
         if state == before:
             break
         before = state
     else:
-        raise RuntimeError("components did not settle")
+        if before[0]:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

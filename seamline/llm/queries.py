@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import chat_format, packing, substring_dedup, suffix_dedup
+from seamline.llm import chat_format, embedding_dedup, minhash_dedup, packing, substring_dedup, suffix_dedup
 from seamline.llm import common as C
 
 
@@ -21,10 +21,18 @@ def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digest(C.table(spark, sf, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.groups(C.table(spark, sf, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.digest(C.table(spark, sf, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_dedup.digest(C.table(spark, sf, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(packing.pack(C.table(spark, sf, "documents"), tokenizer_path()))
 
@@ -37,6 +45,7 @@ def op9_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op8_packing, op9_chat_formatting)
+    f.__name__: f
+    for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op5_substring_dedup, op7_minhash_near_dedup, op8_packing, op9_chat_formatting)
 }
 ORACLES: dict[str, str] = {}
