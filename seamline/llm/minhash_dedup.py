@@ -9,11 +9,11 @@ long document is done after a few steps. ``BANDS`` bands of ``ROWS`` values make
 candidates; two sets at the threshold of 0.85 miss all bands with probability
 4e-7. Candidates count only when their whole sets meet the threshold.
 
-Groups need links enough to join them, not all pairs. Members of a band's bucket
-are compared with one hub of the bucket, twice with other hubs; then, in buckets
-that still hold several components, with members of other components only. So a
-large group of near copies costs a few comparisons a member, and no link between
-different components is left out.
+Candidates that a chain of buckets joins form a coarse group. A task holds the
+sets of one coarse group, or of two blocks of a large one, and compares a member
+with all others at once; members that are already joined to the same component
+are passed over. Only the edges that join components leave a task, so no pair of
+a large group is ever a row, and no link between different components is left out.
 
 Null texts and texts without words have an empty set, which links with nothing:
 each is its own component. Rows with a null id are compared like others; a
@@ -38,6 +38,10 @@ SHINGLE, BANDS, ROWS = 5, 25, 5
 PLACES = 127
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: A task compares blocks of about so many members or shingles at most.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 300_000
+#: Members of a group that are compared before its main component is chosen.
+FIRST = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -112,34 +116,70 @@ def _signed(doc_type: str):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row, text) to (_row, elements): the sorted hashes as bytes."""
+    """(rep, coarse, blocks, text) to (rep, coarse, blocks, elements): the distinct hashes as bytes."""
     for batch in batches:
-        data, at = C.text_buffer(batch.column(1))
+        data, at = C.text_buffer(batch.column(3))
         for i, j in C.slices(at):
             row, hashes = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i])
             cut = np.searchsorted(row, np.arange(j - i + 1))
             out = [hashes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(out, pa.binary())], names=["_row", "elements"])
+            yield pa.record_batch([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(out, pa.binary())], names=["rep", "coarse", "blocks", "elements"])
+
+
+def spanning_links(sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
+    """Links that join what links of the given sets join.
+
+    With ``split`` 0 all pairs count, otherwise the pairs of the first ``split`` sets
+    with the others. A member is marked in the local vocabulary and counted against
+    all others at once. One in the main component needs no turn of its own: every
+    other member that could be linked to it takes one, or is in that component too.
+    """
+    n = np.array([len(s) for s in sets])
+    at = np.cumsum(n) - n
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    label, main, out = np.arange(len(sets)), None, []
+    mark = np.zeros(len(vocabulary), bool)
+    other = slice(split, None)
+    other_ids, other_at, other_n = ids[at[split] :], at[other] - at[split], n[other]
+    for turn, x in enumerate(range(split) if split else range(len(sets))):
+        if not split and turn == FIRST:
+            main = int(np.argmax(np.bincount(label)[label]))
+        if main is not None and label[x] == label[main] or (label[other] == label[x]).all():
+            continue
+        own = ids[at[x] : at[x] + n[x]]
+        mark[own] = True
+        common = np.add.reduceat(mark[other_ids], other_at, dtype=np.int64)
+        mark[own] = False
+        linked = np.flatnonzero((100 * common >= PERCENT * (n[x] + other_n - common)) & (label[other] != label[x])) + split
+        if len(linked):
+            roots, first = np.unique(label[linked], return_index=True)
+            out.extend((x, int(y)) for y in linked[first])
+            roots = np.append(roots, label[x])
+            label[np.isin(label, roots)] = roots.min()
+    return out
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, left, right) those whose sets meet the threshold."""
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            good.append(100 * common >= PERCENT * (len(both) - common))
-        yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    """Rows (coarse, first, second, own, rep, elements), sorted, to the edges (a, b)."""
 
+    def close(rows: list[tuple], first: int, second: int):
+        split = sum(r[0] == first for r in rows) if first != second else 0
+        if len(rows) < 2 or split == len(rows) or first != second and not split:
+            return
+        found = spanning_links([r[2] for r in rows], split)
+        if found:
+            yield pa.record_batch([pa.array([rows[x][1] for x, _ in found], pa.int64()), pa.array([rows[y][1] for _, y in found], pa.int64())], names=["a", "b"])
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that are linked."""
-    left = sets.select(F.col("_row").alias("a"), F.col("elements").alias("left"))
-    right = sets.select(F.col("_row").alias("b"), F.col("elements").alias("right"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
+    now, rows = None, []
+    for batch in batches:
+        for *key, own, rep, elements in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
+            if key != now:
+                if rows:
+                    yield from close(rows, *now[1:])
+                now, rows = key, []
+            rows.append((own, rep, np.frombuffer(elements.as_buffer(), np.uint64)))
+    if rows:
+        yield from close(rows, *now[1:])
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -154,33 +194,25 @@ def groups(docs: DataFrame) -> DataFrame:
 
     classes = C.cut_lineage(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("_row").alias("rep")))
     heads = signed.join(classes.select(F.col("rep").alias("_row")), "_row", "left_semi")
-    members = heads.select(F.explode("bands").alias("key"), F.col("_row").alias("rep"), "n")
+    members = heads.select(F.explode("bands").alias("key"), F.col("_row").alias("rep"))
     # A bucket of one candidate says nothing; the count combines before the shuffle.
     crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = C.cut_lineage(members.join(crowded, "key"))
 
-    wanted = members.select(F.col("rep").alias("_row")).distinct()
-    path = scratch(spark, "sets")
-    texts = rows.select("_row", "text").join(wanted.hint("shuffle_hash"), "_row", "left_semi")
-    texts.mapInArrow(_sets, "_row long, elements binary").write.parquet(path)
-    sets = spark.read.schema("_row long, elements binary").parquet(path)
-
-    # Sizes that differ by more than the threshold allows can't be linked.
-    near = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    links = None
-    state = members.withColumn("comp", F.col("rep"))
-    for turn in range(2):
-        order = F.col("rep") if turn == 0 else F.xxhash64("rep")
-        hubs = state.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("hub_comp"))).alias("h"))
-        pairs = state.join(hubs.select("key", "h.hub", "h.m", "h.hub_comp"), "key").where("comp <> hub_comp").where(near)
-        pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        links, state = _with_links(members, links, _verified(pairs, sets))
-    # What is left: pairs of different components in one bucket.
-    mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    few = state.join(mixed, "key")
-    other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    pairs = few.join(other, "key").where("rep < b AND comp <> other").where(near).select(F.col("rep").alias("a"), "b").distinct()
-    links, _ = _with_links(members, links, _verified(pairs, sets))
+    hubs = members.groupBy("key").agg(F.min("rep").alias("hub"))
+    coarse = C.components(members.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).toDF("rep", "coarse")
+    sized = coarse.join(classes, "rep").groupBy("coarse").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_MEMBERS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    wanted = coarse.join(sized.select("coarse", blocks.alias("blocks")), "coarse")
+
+    texts = rows.select(F.col("_row").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep")
+    sets = texts.select("rep", "coarse", "blocks", "text").mapInArrow(_sets, "rep long, coarse long, blocks int, elements binary")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    keys = ["coarse", "first", "second"]
+    dealt = dealt.select("coarse", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "elements")
+    dealt = dealt.repartition(C.partitions(spark), *keys).sortWithinPartitions(*keys, "own", "rep")
+    links = C.cut_lineage(dealt.mapInArrow(_linked, "a long, b long"))
 
     component = C.components(links).withColumnRenamed("node", "rep")
     of_class = classes.join(component, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
@@ -197,13 +229,6 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_links(members: DataFrame, links: DataFrame | None, more: DataFrame):
-    """All links so far, and the members with the component they are in."""
-    more = C.cut_lineage(more if links is None else links.union(more))
-    component = C.components(more).withColumnRenamed("node", "rep")
-    return more, C.cut_lineage(members.join(component, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     return groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
