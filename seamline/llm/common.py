@@ -195,6 +195,17 @@ def unpack(blob: bytes) -> dict:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def sent(spark: SparkSession, thing):
+    """Broadcast of an object's attributes: workers that can't import its class get it from ``received``."""
+    return spark.sparkContext.broadcast(vars(thing))
+
+
+def received(kind: type, held):
+    thing = kind.__new__(kind)
+    vars(thing).update(held.value)
+    return thing
+
+
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the covered places."""
     if not len(start):

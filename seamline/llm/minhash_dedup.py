@@ -192,7 +192,9 @@ def groups(docs: DataFrame) -> DataFrame:
     rows.mapInArrow(_signed(kind), schema).write.parquet(path)
     signed = spark.read.schema(schema).parquet(path)
 
-    classes = C.cut_lineage(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("_row").alias("rep")))
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("chosen")
+    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("_row").alias("rep"), F.min("doc_id").alias("least"), chosen)
+    classes = C.cut_lineage(classes)
     heads = signed.join(classes.select(F.col("rep").alias("_row")), "_row", "left_semi")
     members = heads.select(F.explode("bands").alias("key"), F.col("_row").alias("rep"))
     # A bucket of one candidate says nothing; the count combines before the shuffle.
@@ -214,18 +216,17 @@ def groups(docs: DataFrame) -> DataFrame:
     dealt = dealt.repartition(C.partitions(spark), *keys).sortWithinPartitions(*keys, "own", "rep")
     links = C.cut_lineage(dealt.mapInArrow(_linked, "a long, b long"))
 
-    component = C.components(links).withColumnRenamed("node", "rep")
-    of_class = classes.join(component, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    slim = signed.select("_row", "doc_id", "n", "h1", "h2")
-    placed = slim.join(of_class, ["n", "h1", "h2"], "left").withColumn("component", F.coalesce("component", "_row"))
-    least = placed.groupBy("component").agg(
-        F.min("doc_id").alias("component_id"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("chosen"),
-    )
-    out = placed.join(least, "component")
+    # Copies join once, on their class; all else works on one row a class.
+    component = C.components(links).toDF("rep", "component")
+    of_class = classes.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.min("chosen").alias("chosen"))
+    of_class = of_class.join(least.withColumnRenamed("chosen", "best"), "component").select("n", "h1", "h2", "component_id", F.col("best.row").alias("best"))
+    out = signed.select("_row", "doc_id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"], "left")
+    alone = F.col("n") == 0
+    component_id = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "_row", "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("_row") == F.col("chosen.row")).alias("first"),
+        "_row", "doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component_id).alias("kept"), (alone | (F.col("_row") == F.col("best"))).alias("first"),
     )
 
 

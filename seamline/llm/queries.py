@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seamline.llm import chat_format, embedding_dedup, minhash_dedup, packing, substring_dedup, suffix_dedup
+from seamline.llm import chat_format, decontamination, embedding_dedup, language_id, minhash_dedup, packing, substring_dedup, suffix_dedup, toxicity
 from seamline.llm import common as C
 
 
@@ -17,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def crc_is(column: str, n: int, value: int) -> Column:
+    """crc32 of the id as text leaves ``value``; false where the id is null."""
+    return F.coalesce(C.crc_mod(column, n) == value, F.lit(False))
+
+
 def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digest(C.table(spark, sf, "documents"))
 
@@ -25,6 +31,16 @@ def op2_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.groups(C.table(spark, sf, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = crc_is("doc_id", 5, 0)
+    scored = toxicity.score(C.table(spark, sf, "documents"), C.table(spark, sf, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *toxicity.NAMES)
+
+
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(C.table(spark, sf, "documents"), crc_is("doc_id", 3, 1)).drop("_row")
+
+
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.digest(C.table(spark, sf, "documents"))
 
@@ -44,8 +60,15 @@ def op9_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns.unionByName(extra), tokenizer_path()))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.hits(C.table(spark, sf, "documents"), C.table(spark, sf, "benchmark")).drop("_row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op5_substring_dedup, op7_minhash_near_dedup, op8_packing, op9_chat_formatting)
+    for f in (
+        op1_suffix_array_dedup, op2_embedding_near_dedup, op3_toxicity, op4_language_id, op5_substring_dedup,
+        op7_minhash_near_dedup, op8_packing, op9_chat_formatting, op10_benchmark_decontamination,
+    )
 }
 ORACLES: dict[str, str] = {}
