@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat_format, decontamination, embedding_dedup, language_id, minhash_dedup, packing, substring_dedup, suffix_dedup, toxicity
+from seamline.llm import chat_format, decontamination, embedding_dedup, language_id, lm_scoring, minhash_dedup, packing, substring_dedup, suffix_dedup, toxicity
 from seamline.llm import common as C
 
 
@@ -45,6 +45,10 @@ def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.digest(C.table(spark, sf, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scoring.score(C.table(spark, sf, "documents"), crc_is("doc_id", 5, 1)).drop("_row")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup.digest(C.table(spark, sf, "documents"))
 
@@ -68,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_embedding_near_dedup, op3_toxicity, op4_language_id, op5_substring_dedup,
-        op7_minhash_near_dedup, op8_packing, op9_chat_formatting, op10_benchmark_decontamination,
+        op6_lm_scoring, op7_minhash_near_dedup, op8_packing, op9_chat_formatting, op10_benchmark_decontamination,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -206,25 +206,26 @@ def kept_words(text: str | None, spans) -> tuple[int, int, str]:
     return len(found), len(found) - len(left), b" ".join(left).decode()
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the text left, n_words and n_removed; a document that loses nothing keeps its text as it is."""
+def trimmed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with the words left, joined by one space; a text that loses nothing stays as it is.
+
+    ``n_chars``, where there is one, follows a changed text.
+    """
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text"), F.struct(*others).alias("_rest") if others else F.lit(None).cast("string").alias("_rest"))
-    spans = repeated_spans(rows.select("_row", "text"), window, gram)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "text", F.struct(F.lit(0).alias("_none"), *others).alias("_rest"))
 
     def run(batches):
         for batch in batches:
-            texts, spans_ = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
-            out = [(*kept_words(t, s),) for t, s in zip(texts, spans_)]
-            yield pa.record_batch(
-                [pa.array([t if not o[1] else o[2] for t, o in zip(texts, out)], pa.string()), batch.column("_rest"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())],
-                names=["text", "_rest", "n_words", "n_removed"],
-            )
-
-    joined = joined_spans(rows, spans).select("text", "_rest", "_spans")
-    kind = joined.schema["_rest"].dataType.simpleString()
-    done = joined.mapInArrow(run, f"text string, _rest {kind}, n_words long, n_removed long")
-    return done.select(*[F.col("_rest").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns], F.col("n_words").alias("_n_words"), F.col("n_removed").alias("_n_removed"))
+            texts = batch.column("text").to_pylist()
+            out = [kept_words(t, s) if s else (0, 0, t) for t, s in zip(texts, batch.column("_spans").to_pylist())]
+            yield pa.record_batch([pa.array([o[2] for o in out], pa.string()), pa.array([o[1] > 0 for o in out], pa.bool_()), batch.column("_rest")], names=["text", "_cut", "_rest"])
+
+    joined = joined_spans(rows, repeated_spans(rows.select("_row", "text"), window, gram)).select("text", "_spans", "_rest")
+    done = joined.mapInArrow(run, f"text string, _cut boolean, _rest {joined.schema['_rest'].dataType.simpleString()}")
+    own = {c: F.col("_rest").getField(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return done.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
