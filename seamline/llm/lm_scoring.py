@@ -35,8 +35,6 @@ from seamline.llm import common as C
 from seamline.session import scratch
 
 FILTER_BITS, PROBES, LEVELS, MIX = 1 << 27, 2, 40, 0.2
-#: Buckets that words, pairs and the filter's segments are dealt to.
-SEGMENTS = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Hash of the end of a text, which also stands before the first word.
@@ -61,9 +59,14 @@ def pairs_of(hashes: np.ndarray, token_at: np.ndarray) -> np.ndarray:
     return C.mix(before * C.ODD + hashes)
 
 
-def _by_segment(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+def segment_count(partitions: int) -> int:
+    """A power of two, about four segments a partition, so that segments grow in number and not in size."""
+    return 1 << min(16, max(8, (4 * partitions - 1).bit_length()))
+
+
+def _by_segment(keys: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
     """Slices of sorted hashes by their leading bits."""
-    cuts = np.searchsorted(keys, np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(56))
+    cuts = np.searchsorted(keys, np.arange(segments, dtype=np.uint64) << np.uint64(65 - segments.bit_length()))
     cuts = np.append(cuts, len(keys))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         yield s, slice(int(cuts[s]), int(cuts[s + 1]))
@@ -76,27 +79,31 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return each, total
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(segments: int):
     """(_row, doc_id, held_out, text) to the block of each batch: its documents, and its words by segment."""
-    for number, batch in enumerate(batches):
-        block = (TaskContext.get().partitionId() << 24) | number
-        data, at = C.text_buffer(batch.column(3))
-        held_out = batch.column(2).to_numpy(zero_copy_only=False)
-        hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, j in C.slices(at):
-            h, token_at = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            hashes.append(h)
-            sizes.append(np.diff(token_at))
-        flat, size = np.concatenate(hashes), np.concatenate(sizes)
-        words, ids, times = np.unique(flat, return_inverse=True, return_counts=True)
-        learned = np.bincount(ids[np.repeat(~held_out, size)], minlength=len(words))
-        rank = np.empty(len(words), np.uint32)  # common words get small numbers, which pack well
-        rank[np.argsort(-times, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-        docs = C.pack(row=batch.column(0).to_numpy(), doc=batch.column(1).to_pylist(), held_out=held_out, size=size.astype(np.int32), ids=rank[ids])
-        out = [(block, -1, docs)]
-        for s, part in _by_segment(words):
-            out.append((block, s, C.pack(step=np.diff(words[part], prepend=np.uint64(0)), n=learned[part].astype(np.int32), rank=rank[part])))
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "segment", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            block = (TaskContext.get().partitionId() << 24) | number
+            data, at = C.text_buffer(batch.column(3))
+            held_out = batch.column(2).to_numpy(zero_copy_only=False)
+            hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, j in C.slices(at):
+                h, token_at = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                hashes.append(h)
+                sizes.append(np.diff(token_at))
+            flat, size = np.concatenate(hashes), np.concatenate(sizes)
+            words, ids, times = np.unique(flat, return_inverse=True, return_counts=True)
+            learned = np.bincount(ids[np.repeat(~held_out, size)], minlength=len(words))
+            rank = np.empty(len(words), np.uint32)  # common words get small numbers, which pack well
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            docs = C.pack(row=batch.column(0).to_numpy(), doc=batch.column(1).to_pylist(), held_out=held_out, size=size.astype(np.int32), ids=rank[ids])
+            out = [(block, -1, docs)]
+            for s, part in _by_segment(words, segments):
+                out.append((block, s, C.pack(step=np.diff(words[part], prepend=np.uint64(0)), n=learned[part].astype(np.int32), rank=rank[part])))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "segment", "blob"])
+
+    return run
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
@@ -127,17 +134,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([segment], pa.int32()), pa.array([blob], pa.binary()), pa.array([distinct], pa.int64()), pa.array([all_], pa.int64())], names=["block", "segment", "blob", "distinct", "total"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paired(segments: int):
     """Training texts to the pairs of each batch and their counts, by segment."""
-    for batch in batches:
-        data, at = C.text_buffer(batch.column(0))
-        found = [np.zeros(0, np.uint64)]
-        for i, j in C.slices(at):
-            found.append(pairs_of(*tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])))
-        each, n = np.unique(np.concatenate(found), return_counts=True)
-        out = [(s, C.pack(step=np.diff(each[part], prepend=np.uint64(0)), n=n[part].astype(np.int32))) for s, part in _by_segment(each)]
-        if out:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary()))], names=["segment", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = C.text_buffer(batch.column(0))
+            found = [np.zeros(0, np.uint64)]
+            for i, j in C.slices(at):
+                found.append(pairs_of(*tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])))
+            each, n = np.unique(np.concatenate(found), return_counts=True)
+            out = [(s, C.pack(step=np.diff(each[part], prepend=np.uint64(0)), n=n[part].astype(np.int32))) for s, part in _by_segment(each, segments)]
+            if out:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary()))], names=["segment", "blob"])
+
+    return run
 
 
 def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +193,8 @@ def probed(bits: np.ndarray, segment_bits: int, least: int, pairs: np.ndarray) -
     """Level of each pair: 0 if it isn't known, else the last of the levels in a row that are."""
     out = np.zeros(len(pairs), np.int64)
     asked = np.arange(len(pairs))
-    base = (pairs >> np.uint64(56)).astype(np.int64) * segment_bits
+    segments = len(bits) * 8 // segment_bits
+    base = (pairs >> np.uint64(65 - segments.bit_length())).astype(np.int64) * segment_bits
     for level in range(least, LEVELS):
         if not len(asked):
             break
@@ -198,7 +210,8 @@ def probed(bits: np.ndarray, segment_bits: int, least: int, pairs: np.ndarray) -
 def learn_pairs(texts: DataFrame, filter_bits: int = FILTER_BITS):
     """(bits, bits a segment, least level) of the filter over the pairs of all ``texts``."""
     n = C.partitions(texts.sparkSession)
-    dealt = texts.select("text").mapInArrow(_paired, "segment int, blob binary").repartition(n, "segment").sortWithinPartitions("segment")
+    segments = segment_count(n)
+    dealt = texts.select("text").mapInArrow(_paired(segments), "segment int, blob binary").repartition(n, "segment").sortWithinPartitions("segment")
     levelled = C.cut_lineage(dealt.mapInArrow(_levelled, "segment int, blob binary, sizes array<long>"))
     sizes = np.zeros(LEVELS, np.int64)
     for r in levelled.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
@@ -207,7 +220,7 @@ def learn_pairs(texts: DataFrame, filter_bits: int = FILTER_BITS):
     least = 1
     while least < LEVELS - 1 and entries[least] * PROBES > filter_bits * np.log(2):
         least += 1
-    segment_bits = filter_bits // SEGMENTS
+    segment_bits = filter_bits // segments
     bits = np.zeros(filter_bits // 8, np.uint8)
     for r in levelled.select("segment", "blob").mapInArrow(_segments(least, segment_bits), "segment int, bits binary").collect():
         start = r.segment * segment_bits // 8
@@ -262,7 +275,7 @@ def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS) ->
     held = spark.sparkContext.broadcast(learn_pairs(rows.where(~F.col("held_out")), filter_bits))
 
     path = scratch(spark, "blocks")
-    written = rows.mapInArrow(_blocks, "block long, segment int, blob binary").write
+    written = rows.mapInArrow(_blocks(segment_count(n)), "block long, segment int, blob binary").write
     written.option("compression", "none").parquet(path)  # the blobs are compressed
     blocks = spark.read.schema("block long, segment int, blob binary").parquet(path)
     dealt = blocks.where("segment >= 0").repartition(n, "segment").sortWithinPartitions("segment", "block")
