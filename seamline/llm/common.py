@@ -130,7 +130,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(np.concatenate([[0], starts[1:]]), np.diff(np.concatenate([[0], starts[1:], [len(data)]])))
+    place -= np.repeat(starts, np.diff(np.concatenate([[0], starts[1:], [len(data)]])))
     values = _BYTE[data] * powers(1 << 16)[place & 0xFFFF]
     values[SPACES[data]] = 0
     return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * ODD)
