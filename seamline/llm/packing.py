@@ -32,7 +32,7 @@ from seamline.session import scratch
 
 SIZE, OPEN_WINDOWS, MERGED = 1024, 16, 32
 #: Entries of a task's cache of encoded words.
-CACHED = 400_000
+CACHED = 800_000
 
 
 class Encoder:
