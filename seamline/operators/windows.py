@@ -68,7 +68,9 @@ def normalise(df: DataFrame, value: str, method: str, name: str, keys: list[str]
 def sorted_curve(df: DataFrame, row_order: list[str], value: str, name: str) -> DataFrame:
     """Row i (by ``row_order``) receives the i-th smallest value of the column."""
     rows = global_row_number(df, row_order, "_n")
-    curve = global_row_number(df.select(F.col(value).alias(name)), [name], "_n")
+    # The row order breaks ties, so a value that many rows share is spread over segments.
+    curve = global_row_number(df.select(F.col(value).alias(name), *[F.col(c).alias(f"_tie_{i}") for i, c in enumerate(row_order)]), [name, *[f"_tie_{i}" for i in range(len(row_order))]], "_n")
+    curve = curve.select(name, "_n")
     return rows.join(curve, "_n").drop("_n")
 
 

@@ -78,9 +78,44 @@ def detect_changes(crawl: DataFrame, key: str) -> DataFrame:
     )
 
 
-def suppress_repeats(requests: DataFrame, keys: list[str], ts: str, within: str = "5 minutes") -> DataFrame:
-    """Drop a request seen with the same key shortly before."""
-    return runner.timed(requests, ts, within).dropDuplicatesWithinWatermark(keys)
+def _spaced(keys: list[str], ts: str, tie: str, columns: list[str], gap: pd.Timedelta):
+    """Rows of a key that come more than ``gap`` after the last kept one, in order of time."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(frames).sort_values([ts, tie], ignore_index=True)
+        times = rows[ts].to_numpy("datetime64[us]").astype("int64")
+        width = gap // pd.Timedelta(microseconds=1)
+        at = times.searchsorted(state.get[0] + width, "right") if state.exists else 0
+        kept = []
+        while at < len(times):
+            kept.append(at)
+            at = times.searchsorted(times[at] + width, "right")
+        if kept:
+            last = int(times[kept[-1]])
+            state.update((last,))
+        else:
+            last = state.get[0]
+        state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.loc[kept, columns]
+
+    return run
+
+
+def suppress_repeats(requests: DataFrame, keys: list[str], ts: str, tie: str, within: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Drop a request that comes within a span of the last kept one of its key.
+
+    The state of a key is the time of its last kept request; it is dropped once
+    the watermark is past that span, so state holds live keys only.
+    """
+    columns = requests.columns
+    timed = runner.timed(requests, ts, late)
+    return timed.groupBy(*keys).applyInPandasWithState(
+        _spaced(keys, ts, tie, columns, pd.Timedelta(within)), outputStructType=timed.schema, stateStructType="kept long",
+        outputMode="append", timeoutConf="EventTimeTimeout",
+    )
 
 
 def keep_latest(features: DataFrame, key: str, order: list[str], days: int, out: str, checkpoint: str) -> None:

@@ -194,7 +194,8 @@ WHERE feature_date BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-22' AND
 """)
 def historical_features(spark, sf):
     wanted = ["f_production_volume", "f_capacity_volume", "f_sustainability_score"]
-    rows = features.historical(st.gold_features(spark, sf), dates.stamp("2024-01-08"), dates.stamp("2024-01-22"), wanted)
+    since, until = dates.stamp("2024-01-08"), dates.stamp("2024-01-22")
+    rows = features.historical(st.gold_features(spark, sf, since, until), since, until, wanted)
     return rows.orderBy("mine_id", "feature_date")
 
 
@@ -207,7 +208,8 @@ FROM customer LEFT JOIN recent ON c_custkey = mine_id AND rn = 1
 def online_features(spark, sf):
     requests = st.table(spark, sf, "customer").select(F.col("c_custkey").alias("mine_id"))
     wanted = ["f_production_volume", "f_sustainability_score"]
-    return features.online(st.gold_features(spark, sf), requests, dates.stamp("2024-01-20"), wanted)
+    as_of = dates.stamp("2024-01-20")
+    return features.online(st.gold_features(spark, sf, as_of - F.make_dt_interval(F.lit(7))), requests, as_of, wanted)
 
 
 @query("p11_published_scores", """

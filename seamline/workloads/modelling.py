@@ -183,7 +183,7 @@ def scenario_comparison(spark, sf):
     )
 
 
-DRAWS = 200
+DRAWS = 1000
 SHIFTS = {"emissions_score": ("normal", 2.0, 6.0), "economic_score": ("uniform", -10.0, 10.0), "ecological_score": ("fixed", 3.0, 0.0)}
 
 
@@ -202,20 +202,12 @@ MC_SCORE = " + ".join(f"{MC_VALUE.get(m, m)} * {w}" for m, w in fixed.COMPONENT_
 
 
 @query("m13_monte_carlo", f"""
-WITH base AS (SELECT c_mktsegment AS sub_industry, {', '.join(f'avg({m}) AS {m}' for m in fixed.COMPONENT_WEIGHTS)} FROM entity_components
-  JOIN orders ON entity_id = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1),
-d AS (SELECT base.*, unnest(range(1, {DRAWS + 1})) AS draw FROM base), s AS (SELECT sub_industry, {MC_SCORE} AS score FROM d)
-SELECT sub_industry, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.05), 6) AS p05,
+WITH d AS (SELECT *, unnest(range(1, {DRAWS + 1})) AS draw FROM entity_components), s AS (SELECT entity_id, {MC_SCORE} AS score FROM d)
+SELECT entity_id, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.05), 6) AS p05,
   round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.95), 6) AS p95 FROM s GROUP BY 1
 """)
 def monte_carlo(spark, sf):
-    owned = st.table(spark, sf, "orders").join(st.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    base = (
-        st.entity_components(spark, sf)
-        .join(owned.select(F.col("o_orderkey").alias("entity_id"), F.col("c_mktsegment").alias("sub_industry")), "entity_id")
-        .groupBy("sub_industry").agg(*[F.avg(m).alias(m) for m in fixed.COMPONENT_WEIGHTS])
-    )
-    return agg.percentile_summary(scenarios.monte_carlo(base, "sub_industry", SHIFTS, DRAWS), "score", ["sub_industry"])
+    return scenarios.monte_carlo(st.entity_components(spark, sf), ["entity_id"], SHIFTS, DRAWS)
 
 
 @query("m14_difference_interval", """

@@ -35,9 +35,10 @@ WHERE feature_date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND
 """)
 def date_range_and_freshness(spark, sf):
     day = F.col("feature_date")
+    since, until = dates.stamp("2024-01-05"), dates.stamp("2024-01-20")
     return (
-        st.gold_features(spark, sf)
-        .where(day.between(dates.stamp("2024-01-05"), dates.stamp("2024-01-20")))
+        st.gold_features(spark, sf, since, until)
+        .where(day.between(since, until))
         .where(F.col("feature_freshness_score") >= 0.7)
         .select("mine_id", "feature_date", "feature_freshness_score", "production_mt")
     )

@@ -18,9 +18,13 @@ ORACLES: dict[str, str] = {}
 
 
 def _rounded(c: Column, digits: int) -> Column:
-    """Half up, in plain double arithmetic that keeps the generated code small."""
-    scale = F.lit(10.0**digits)
-    return F.floor(c * scale + 0.5) / scale
+    """Half up, in plain double arithmetic that keeps the generated code small.
+
+    A value too large to have such digits stays as it is, and so do NaN and
+    infinities, which no comparison below holds for.
+    """
+    scale = 10.0**digits
+    return F.when(F.abs(c) < 2.0**53 / scale, F.floor(c * scale + 0.5) / F.lit(scale)).otherwise(c)
 
 
 def canonical(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:

@@ -570,7 +570,9 @@ def chunk_ids(spark, sf):
     return st.table(spark, sf, "conversations").select("conv_id", "turn", nx.chunk_id(document, F.col("turn")).alias("chunk_id"))
 
 
-@query("h06_hash_codes")
+@query("h06_hash_codes", """
+SELECT c_custkey, CAST(concat('0x', md5(c_mktsegment)[1:8]) AS BIGINT) % 1000 / 1000.0 AS code FROM customer
+""")
 def hash_codes(spark, sf):
     return st.table(spark, sf, "customer").select("c_custkey", nx.hash_code(F.col("c_mktsegment")).alias("code"))
 

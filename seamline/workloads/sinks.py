@@ -29,12 +29,10 @@ WHERE feature_date BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25'
 """)
 def materialised_by_date(spark, sf):
     path = scratch(spark, "features")
-    gold = st.gold_features(spark, sf).select("mine_id", "feature_date", "production_mt")
     as_of = rel.latest_value(st.table(spark, sf, "events"), "ts")
-    day = F.col("feature_date")
-    first = gold.where(day.between(dates.stamp("2024-01-03"), dates.stamp("2024-01-20")))
-    again = gold.where(day.between(dates.stamp("2024-01-10"), dates.stamp("2024-01-25")))
-    for part in (first, again):
+    for since, until in ((dates.stamp("2024-01-03"), dates.stamp("2024-01-20")), (dates.stamp("2024-01-10"), dates.stamp("2024-01-25"))):
+        gold = st.gold_features(spark, sf, since, until).select("mine_id", "feature_date", "production_mt")
+        part = gold.where(F.col("feature_date").between(since, until))
         sinks.materialise_by_date(part, path, "feature_date", as_of)
     return spark.read.parquet(path).drop("_day")
 

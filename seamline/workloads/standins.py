@@ -15,11 +15,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def gold_features(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per entity and day, reduced map-side before the only shuffle."""
+def gold_features(spark: SparkSession, sf: str, since=None, until=None) -> DataFrame:
+    """One row per entity and day, reduced map-side before the only shuffle.
+
+    ``since`` and ``until`` (first and last day, columns) bound the raw times, so
+    that the scan skips what lies outside.
+    """
     kind = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    events = table(spark, sf, "events")
+    ts_type = events.schema["ts"].dataType
+    if since is not None:
+        events = events.where(F.col("ts") >= since.cast(ts_type))
+    if until is not None:
+        events = events.where(F.col("ts") < (until + F.make_dt_interval(F.lit(1))).cast(ts_type))
     return (
-        table(spark, sf, "events")
+        events
         .groupBy(F.col("user_id").alias("mine_id"), F.date_trunc("day", "ts").alias("feature_date"))
         .agg(
             F.count("*").alias("n_events"),

@@ -96,14 +96,34 @@ def keyed_change_detection(spark, sf):
     return runner.read_appended(spark, run.out)
 
 
-@query("r06_repeat_suppression")
-def repeat_suppression(spark, sf):
+REPEATS_SQL = """
+WITH RECURSIVE following AS (
+  SELECT a.event_id, arg_min(b.event_id, (b.ts, b.event_id)) AS next FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts > a.ts + INTERVAL 5 MINUTE GROUP BY 1),
+kept AS (
+  SELECT arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type
+  UNION ALL SELECT following.next FROM kept JOIN following ON kept.event_id = following.event_id)
+SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id IN (SELECT event_id FROM kept)
+"""
+
+
+def suppressed(spark, events, cuts):
+    """Requests that are served anew; a batch lands for each part between ``cuts`` of time."""
     run = _Run(spark, "repeats")
-    kept = jobs.suppress_repeats(_events_stream(spark, sf, run), ["user_id", "event_type"], "ts")
-    runner.append_all(kept, run.out, run.checkpoint)
+    edges = [None, *cuts, None]
+    for since, until in zip(edges[:-1], edges[1:]):
+        part = events if since is None else events.where(F.col("ts") >= since)
+        _land(part if until is None else part.where(F.col("ts") < until), run.landing)
+        stream = runner.stream_files(spark, run.landing, events.schema)
+        runner.append_all(jobs.suppress_repeats(stream, ["user_id", "event_type"], "ts", "event_id"), run.out, run.checkpoint)
     return runner.read_appended(spark, run.out)
 
 
+@query("r06_repeat_suppression", REPEATS_SQL)
+def repeat_suppression(spark, sf):
+    events = st.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return suppressed(spark, events, [dates.stamp("2024-01-10"), dates.stamp("2024-01-20")])
+
+
 @query("r07_latest_features_with_expiry", """
 WITH l AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, max_by(value, (ts, event_id)) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT * FROM l WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
