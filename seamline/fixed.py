@@ -178,6 +178,24 @@ FEATURE_NAMES = {
     "metric_month": "f_monthly_cycle",
 }
 
+# Storage column -> metric slug of weights.
+METRIC_SLUGS = {
+    "production_mt": "production_volume",
+    "capacity_utilization_rate": "operational_efficiency",
+    "esg_score": "sustainability_score",
+    "carbon_intensity_tco2_per_mt": "carbon_footprint",
+    "revenue_per_mt": "profitability",
+    "operating_margin": "cost_efficiency",
+    "safety_incident_rate_per_1000_employees": "safety_performance",
+    "reserve_life_years": "resource_longevity",
+    "total_carbon_emissions_tco2": "environmental_impact",
+    "productivity_mt_per_employee": "labor_productivity",
+    "latitude_abs": "geographic_risk",
+    "metric_year": "temporal_trend",
+    "metric_quarter": "seasonal_pattern",
+    "metric_month": "monthly_cycle",
+}
+
 # Header -> field of the data-source sheet.
 SOURCE_SHEET_FIELDS = {
     "Name": "name",

@@ -7,9 +7,12 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamline.functions.numeric import nan_to_null
 
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 # --- filters and projections -------------------------------------------------
 
@@ -143,9 +146,13 @@ def first_per_key(df: DataFrame, keys: list[str], newest: list[Column]) -> DataF
     """One row per key, the one with the greatest ordering tuple.
 
     An aggregate, not a window: the candidates of a hot key are reduced before
-    the shuffle.
+    the shuffle. With one ordering column and values of fixed width, each value
+    has its own aggregate: that hashes, while structs and strings must be sorted.
+    Ties then still take one row, since all aggregates see the rows in one order.
     """
     rest = [c for c in df.columns if c not in keys]
+    if len(newest) == 1 and all(isinstance(f.dataType, _FIXED_WIDTH) for f in df.select(*newest, *rest).schema):
+        return df.groupBy(*keys).agg(*[F.max_by(c, newest[0]).alias(c) for c in rest]).select(*keys, *rest)
     best = F.max_by(F.struct(*rest), F.struct(*newest)).alias("_row")
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
 

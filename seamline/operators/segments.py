@@ -103,6 +103,14 @@ def percentiles_of(seg: DataFrame, probabilities: list[float], keys: list[str],
     return picked.select(*keys, *out)
 
 
+def nearest_rank(seg: DataFrame, percent: int, keys: list[str], name: str) -> DataFrame:
+    """Smallest value that ``percent`` in a hundred of a key's values do not exceed, read off value segments."""
+    inside = Window.partitionBy(*keys, "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = with_starts(seg, F.col("_c"), keys).withColumn("_in", F.sum("_c").over(inside))
+    reached = 100 * (F.col("_start") + F.col("_in")) >= percent * F.col("_size")
+    return placed.groupBy(*keys).agg(F.min(F.when(reached, F.col("_v"))).alias(name))
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Last non-null value at or before each row within its key."""
     seg = range_segments(df, [*keys, *order])

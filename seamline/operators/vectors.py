@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seamline.operators.relational import top_per_key
 from seamline.session import cut_lineage
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK, CORPUS_BLOCK = 2048, 20_000
 
 
 def centroid(df: DataFrame, vector: str, keys: list[str] | None = None) -> DataFrame:
@@ -69,48 +69,53 @@ def nearest(df: DataFrame, vector: str, query: list[float], k: int, metric: str,
 def batch_nearest(corpus: DataFrame, queries: DataFrame, k: int, id_column: str, vector: str, query_id: str, query_vector: str) -> DataFrame:
     """Exact top-k by cosine for every query.
 
-    Queries are sent to the corpus scan in blocks of bounded size; each Arrow
-    batch is scored by one matrix product and hands on at most k rows per query
-    and task. No pair outside a running top-k is ever emitted.
+    Corpus and queries are dealt into blocks of about ``CORPUS_BLOCK`` and
+    ``QUERY_BLOCK`` rows by hash. A task holds one block of each, scores them by
+    one matrix product and hands on at most k rows per query; nothing goes through
+    the driver but the two row counts.
     """
-    asked = cut_lineage(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v")))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        part = numbered.where(F.col("_block") == block).toPandas()  # bounded: QUERY_BLOCK rows on average
-        if part.empty:
-            continue
-        scored = _score_block(corpus.select(id_column, vector), part, k, id_column, vector)
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], f"query_id bigint, {id_column} bigint, similarity double, rank int")
-    return top_per_key(out, ["query_id"], [F.col("similarity").desc(), F.col(id_column)], k)
-
-
-def _score_block(corpus: DataFrame, block: pd.DataFrame, k: int, id_column: str, vector: str) -> DataFrame:
-    spark = corpus.sparkSession
-    q = np.stack([np.asarray(v, dtype=np.float64) for v in block["_v"]])
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    shared = spark.sparkContext.broadcast((block["_q"].to_numpy(), q))
-
-    def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, unit = shared.value
-        ids = np.empty((len(names), 0), dtype=np.int64)
-        sims = np.empty((len(names), 0))
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in batch[vector]])
-            norms = np.linalg.norm(x, axis=1)
-            keep = norms > 0
-            x, found = x[keep] / norms[keep][:, None], batch[id_column].to_numpy()[keep]
-            sims = np.hstack([sims, unit @ x.T])
-            ids = np.hstack([ids, np.broadcast_to(found, (len(names), len(found)))])
-            order = np.lexsort((ids, -np.round(sims, 12)), axis=1)[:, :k]
-            sims, ids = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
-        if sims.shape[1]:
-            n = sims.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(names, n), id_column: ids.ravel(), "similarity": np.round(sims.ravel(), 12)})
-
-    return corpus.mapInPandas(best_of, f"query_id bigint, {id_column} bigint, similarity double")
+    counts = corpus.agg(F.count("*").alias("n")).union(queries.agg(F.count("*").alias("n"))).collect()
+    parts, blocks = (max(1, -(-r.n // size)) for r, size in zip(counts, (CORPUS_BLOCK, QUERY_BLOCK)))
+    pair = lambda own, others, name: F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(name)
+    vectors = corpus.select(
+        F.col(id_column).alias("_id"), F.col(vector).cast("array<double>").alias("_v"),
+        F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int").alias("_part"), pair("_part", blocks, "_block"),
+    )
+    asked = queries.select(
+        F.col(query_id).alias("_q"), F.col(query_vector).cast("array<double>").alias("_v"),
+        F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_block"), pair("_block", parts, "_part"),
+    )
+    keys = ["_part", "_block"]
+    kinds = corpus.select(id_column).schema[0].dataType.simpleString(), queries.select(query_id).schema[0].dataType.simpleString()
+    scored = vectors.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+        _best_pairs(k, id_column), f"query_id {kinds[1]}, {id_column} {kinds[0]}, similarity double"
+    )
+    return top_per_key(scored, ["query_id"], [F.col("similarity").desc(), F.col(id_column)], k)
+
+
+def _best_pairs(k: int, id_column: str):
+    """The k best of one corpus block for each query of one query block."""
+
+    def unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in frame["_v"]])
+        norms = np.linalg.norm(x, axis=1)
+        keep = norms > 0
+        return x[keep] / norms[keep][:, None], keep
+
+    def best(corpus: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], id_column: [], "similarity": []})
+        corpus, asked = corpus[corpus["_v"].notna()], asked[asked["_v"].notna()]
+        if corpus.empty or asked.empty:
+            return none
+        (x, there), (q, wanted) = unit(corpus), unit(asked)
+        ids, names = corpus["_id"].to_numpy()[there], asked["_q"].to_numpy()[wanted]
+        if not len(ids) or not len(names):
+            return none
+        sims = np.round(q @ x.T, 12)
+        order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+        return pd.DataFrame({
+            "query_id": np.repeat(names, order.shape[1]), id_column: ids[order].ravel(),
+            "similarity": np.take_along_axis(sims, order, 1).ravel(),
+        })
+
+    return best

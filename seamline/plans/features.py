@@ -93,9 +93,9 @@ def lineage(features: DataFrame, source_table: str, version: str) -> DataFrame:
     )
 
 
-def most_active(gold: DataFrame, n: int, days: int = 30, freshness: float = 0.7) -> DataFrame:
+def most_active(gold: DataFrame, n: int, days: int = 30, freshness: float = 0.7, as_of: Column | None = None) -> DataFrame:
     """Entities with the most fresh days in the lookback, best first."""
-    recent = rel.where_since(gold, "feature_date", days, rel.latest_value(gold, "feature_date"))
+    recent = rel.where_since(gold, "feature_date", days, rel.latest_value(gold, "feature_date") if as_of is None else as_of)
     days_seen = recent.where(F.col("feature_freshness_score") >= freshness).select("mine_id", "feature_date").distinct()
     counts = days_seen.groupBy("mine_id").agg(F.count("*").alias("active_days"))
     return counts.orderBy(F.col("active_days").desc(), "mine_id").limit(n)

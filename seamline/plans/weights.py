@@ -97,13 +97,17 @@ def to_unit_sum(weights: DataFrame, weight: str = "weight", keys: list[str] | No
     return stated.withColumn(weight, scaled).drop("_total")
 
 
+def smoothed_value(old: Column, gain: Column, keep: float = 0.8) -> Column:
+    return numeric.clamp(keep * old + (1 - keep) * gain, 0.1, 1.0)
+
+
 def smoothed(gains: DataFrame, active: DataFrame, keep: float = 0.8) -> DataFrame:
     """keep · old + (1 − keep) · gain, clamped to [0.1, 1]."""
     old = F.coalesce("weight_value", F.lit(DEFAULT_WEIGHT))
     joined = gains.join(active.withColumnRenamed("metric_slug", "metric"), "metric", "left")
     return joined.select(
         "metric", old.alias("old_weight"), "gain",
-        numeric.clamp(keep * old + (1 - keep) * F.col("gain"), 0.1, 1.0).alias("new_weight"),
+        smoothed_value(old, F.col("gain"), keep).alias("new_weight"),
     )
 
 
@@ -151,18 +155,25 @@ def history(versions: DataFrame, slug: str, order: str, value: str) -> DataFrame
     )
 
 
-def gain_by_feature(gold: DataFrame, features: list[str], score: str, bins: int = 10) -> DataFrame:
-    """Gain of each feature about the score change, end to end inside Spark."""
-    targets = win.deltas(gold, "mine_id", "feature_date", score).select("mine_id", "feature_date", "delta")
-    rows = gold.join(targets, ["mine_id", "feature_date"]).where(F.col("delta").isNotNull())
-    rows = cut_lineage(rows.select("delta", *features))  # read three times below
+def gain_by_feature(gold: DataFrame, features: list[str], score: str, since: Column, fresh: float = 0.7, bins: int = 10) -> DataFrame:
+    """Gain of each feature about the size of the score change, under metric slugs.
+
+    The lookback precedes the changes, so the first row in it has none. Changes
+    come from all rows, features from those that are fresh.
+    """
+    recent = gold.where(F.col("feature_date") >= since)
+    changed = win.deltas(recent, "mine_id", "feature_date", score).where(F.col("delta").isNotNull())
+    rows = changed.where(F.col(score) >= fresh).select("abs_delta", *features)
+    rows = cut_lineage(rows)  # read three times below
     long = rows.unpivot([], features, "metric", "value")
     medians = exact_percentiles(long, "value", [0.5], ["metric"], ["median"])
     by_name = medians.agg(F.map_from_entries(F.collect_list(F.struct("metric", "median")))).scalar()  # one per feature
     filled = rows.withColumn("_medians", by_name).withColumns({
         c: F.coalesce(F.col(c), F.try_element_at("_medians", F.lit(c)), F.lit(0.0)) for c in features
     })
-    return information_gain(filled.drop("_medians"), features, "delta", bins)
+    gains = information_gain(filled.drop("_medians"), features, "abs_delta", bins)
+    slugs = F.create_map(*[F.lit(x) for pair in fixed.METRIC_SLUGS.items() for x in pair])
+    return gains.withColumn("metric", F.coalesce(F.try_element_at(slugs, F.col("metric")), F.col("metric")))
 
 
 def by_horizon(weights: DataFrame, horizons: list[str] = fixed.HORIZONS) -> DataFrame:

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import json
-import os
+import posixpath
 from collections.abc import Iterator
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path and the path in it; a path without a scheme, or with ``file``, is local."""
+    parts = urlparse(uri)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else uri
+    return fs.FileSystem.from_uri(uri)
+
+
 class LandedFile(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -32,18 +41,31 @@ class LandedFeed(DataSource):
 
 class LandedReader(DataSourceReader):
     def __init__(self, path: str):
-        self.root = urlparse(path).path
+        self.root = path
 
     def partitions(self) -> list[LandedFile]:
-        return [
-            LandedFile(os.path.join(folder, name))
-            for folder, _, names in os.walk(self.root) for name in sorted(names) if name.endswith(".json")
-        ]
+        files, folder = opened(self.root)
+        found = files.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
+        names = sorted(f.path for f in found if f.is_file and f.path.endswith(".json"))
+        if not names:
+            raise FileNotFoundError(f"no .json files below {self.root}")
+        return [LandedFile(name) for name in names]
 
     def read(self, partition: LandedFile) -> Iterator[tuple]:
-        folder = os.path.basename(os.path.dirname(partition.path))
+        files, _ = opened(self.root)
+        folder = posixpath.basename(posixpath.dirname(partition.path))
         source = folder.removeprefix("source=")
-        with open(partition.path, encoding="utf-8") as lines:
-            for line in lines:
+        with files.open_input_stream(partition.path) as stream:
+            for line in _lines(stream):
                 row = json.loads(line)
                 yield source, row.get("country"), row.get("year"), row.get("data")
+
+
+def _lines(stream, size: int = 1 << 20) -> Iterator[bytes]:
+    """Non-empty lines of a stream, read in blocks."""
+    rest = b""
+    while block := stream.read(size):
+        *lines, rest = (rest + block).split(b"\n")
+        yield from filter(None, lines)
+    if rest:
+        yield rest

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from seamline.operators.relational import first_per_key
+from seamline.operators.segments import nearest_rank, range_segments
 from seamline.plans import weights
 from seamline.sources import feeds
 from seamline.streaming import runner
@@ -45,36 +46,52 @@ def error_rates(requests: DataFrame, length: str = "5 minutes", slide: str = "1
     )
 
 
-def slow_windows(requests: DataFrame, duration: Column, length: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """95th percentile of the duration per sliding window."""
+def duration_counts(requests: DataFrame, duration: Column, length: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Requests per duration and sliding window; state holds one count per live pair."""
     return (
         runner.timed(requests, "ts", late)
-        .groupBy(runner.event_window("ts", length, slide))
-        .agg(F.percentile_approx(duration, 0.95, 10_000).alias("p95"), F.count("*").alias("requests"))
-        .select(runner.window_start().alias("window_start"), "p95", "requests")
+        .groupBy(runner.event_window("ts", length, slide), duration.alias("duration"))
+        .agg(F.count("*").alias("n"))
+        .select(runner.window_start().alias("window_start"), "duration", "n")
     )
 
 
+def slow_windows(counts: DataFrame, percent: int = 95) -> DataFrame:
+    """Exact 95th percentile of the duration per window, from merged counts."""
+    requests = counts.groupBy("window_start").agg(F.sum("n").alias("requests"))
+    known = counts.where("duration IS NOT NULL").select("window_start", F.col("duration").alias("_v"), F.col("n").alias("_c"))
+    ranked = nearest_rank(range_segments(known, ["window_start", "_v"]), percent, ["window_start"], "p95")
+    return requests.join(ranked, "window_start", "left").select("window_start", "p95", "requests")
+
+
 def _changes_of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the last content hash of a key; emits a row each time it changes."""
-    last = state.get[0] if state.exists else None
-    changed = []
-    for frame in frames:
-        for digest in frame["content_hash"]:
-            if digest != last:
-                changed.append(("new" if last is None else "updated", digest))
-                last = digest
-    if changed:
-        state.update((last,))
-        status, digests = zip(*changed)
-        yield pd.DataFrame({"site": key[0], "status": status, "content_hash": digests})
+    """Keeps a key's last snapshot and content hash; emits a row each time the hash changes."""
+    rows = pd.concat(frames).sort_values(["snapshot", "content_hash"], ignore_index=True)
+    seen, last = state.get if state.exists else (None, None)
+    if seen is not None:
+        rows = rows[rows["snapshot"] >= seen]  # a snapshot that lands after a newer one says nothing new
+    if rows.empty:
+        return
+    before = rows["content_hash"].shift(fill_value=last)
+    changed = rows[rows["content_hash"] != before]
+    state.update((int(rows["snapshot"].iloc[-1]), rows["content_hash"].iloc[-1]))
+    if len(changed):
+        status = ["updated"] * len(changed)
+        if last is None:
+            status[0] = "new"
+        yield pd.DataFrame({"site": key[0], "status": status, "content_hash": changed["content_hash"].to_numpy()})
 
 
 def detect_changes(crawl: DataFrame, key: str) -> DataFrame:
-    """New and updated keys of a stream of crawled records."""
-    return crawl.groupBy(key).applyInPandasWithState(
+    """New and updated keys of a stream of crawled records.
+
+    ``snapshot`` numbers the crawls. Rows of a key are taken in that order, so a
+    backlog of crawls gives what a run after each of them gives. A key has one
+    row per crawl, which bounds its group.
+    """
+    return crawl.select(key, "snapshot", "content_hash").groupBy(key).applyInPandasWithState(
         _changes_of_key, outputStructType="site string, status string, content_hash string",
-        stateStructType="content_hash string", outputMode="update", timeoutConf="NoTimeout",
+        stateStructType="snapshot long, content_hash string", outputMode="update", timeoutConf="NoTimeout",
     )
 
 
@@ -124,7 +141,7 @@ def keep_latest(features: DataFrame, key: str, order: list[str], days: int, out:
     Each micro-batch is reduced, merged with the generation before it and
     written as its own generation. Expired entities leave the table, so it is
     as large as the set of live entities, and a replayed batch gives the same
-    generation again.
+    generation again. A replay needs the generation before; older ones go.
     """
     spark = features.sparkSession
     ts = order[0]
@@ -134,6 +151,7 @@ def keep_latest(features: DataFrame, key: str, order: list[str], days: int, out:
         newest = first_per_key(rows, [key], [F.col(c) for c in order])
         alive = unexpired(newest, ts, rows.agg(F.max(ts)).scalar(), days)
         alive.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        runner.forget(spark, f"{out}/batch_id={batch_id - 2}")
 
     runner.run_available(features, checkpoint, step)
 
@@ -149,24 +167,21 @@ def session_activity(messages: DataFrame) -> DataFrame:
     )
 
 
-def smooth_weights(gains: DataFrame, out: str, checkpoint: str) -> None:
-    """Each micro-batch of gains moves the weights; every generation is kept.
+def gain_sums(gains: DataFrame, step: str) -> DataFrame:
+    """Sum and count of the gains per metric and step."""
+    return gains.groupBy("metric", step).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
 
-    A batch reads the generation before it and overwrites its own, so a replay
-    gives the same weights.
-    """
-    spark = gains.sparkSession
-    blank = spark.createDataFrame([], "metric_slug string, weight_value double")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        previous = blank if batch_id == 0 else spark.read.parquet(f"{out}/batch_id={batch_id - 1}")
-        mean = batch.groupBy("metric").agg((F.avg("value") / 100).alias("gain"))
-        moved = weights.smoothed(mean, previous)
-        untouched = previous.join(moved.select(F.col("metric").alias("metric_slug")), "metric_slug", "left_anti")
-        current = moved.select(F.col("metric").alias("metric_slug"), F.col("new_weight").alias("weight_value")).unionByName(untouched)
-        current.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    runner.run_available(gains, checkpoint, step)
+def smoothed_by_step(sums: DataFrame, step: str) -> DataFrame:
+    """Weights after one smoothing step per value of ``step``, in its order.
+
+    Steps are a column of the data (a day, a nightly run), so the weights do not
+    depend on how rows were cut into micro-batches. A metric has one row per step.
+    """
+    gain = F.try_divide("total", "n") / 100
+    steps = sums.where("n > 0").groupBy("metric").agg(F.sort_array(F.collect_list(F.struct(F.col(step), gain.alias("gain")))).alias("_steps"))
+    folded = F.aggregate("_steps", F.lit(weights.DEFAULT_WEIGHT), lambda old, s: weights.smoothed_value(old, s["gain"]))
+    return steps.select(F.col("metric").alias("metric_slug"), folded.alias("weight_value"))
 
 
 def newest_generation(spark: SparkSession, out: str) -> DataFrame:

@@ -55,6 +55,12 @@ def read_latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return first_per_key(spark.read.parquet(out), keys, [F.col("batch_id")]).drop("batch_id")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a generation that no replay can need; a missing one is fine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def timed(df: DataFrame, ts: str, late: str) -> DataFrame:
     """Watermarked stream; watermarks need an instant, files hold zone-less times."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

@@ -174,7 +174,8 @@ WHERE feature_date >= (SELECT max(feature_date) FROM gold_features) - INTERVAL 3
 GROUP BY mine_id ORDER BY active_days DESC, mine_id LIMIT 20
 """)
 def most_active_entities(spark, sf):
-    return features.most_active(st.gold_features(spark, sf), 20)
+    gold = st.gold_features(spark, sf, st.days_before_latest(spark, sf, 30))
+    return features.most_active(gold, 20, as_of=st.days_before_latest(spark, sf, 0))
 
 
 @query("g14_ingestion_summary", """

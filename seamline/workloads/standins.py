@@ -46,6 +46,16 @@ def gold_features(spark: SparkSession, sf: str, since=None, until=None) -> DataF
     )
 
 
+def days_before_latest(spark: SparkSession, sf: str, days: int):
+    """The day so many days before the newest one of the events.
+
+    A scalar of the type of ``ts``: the scan takes its value as a filter at run time.
+    """
+    events = table(spark, sf, "events")
+    day = F.date_trunc("day", F.max("ts")) - F.make_dt_interval(F.lit(days))
+    return events.agg(day.cast(events.schema["ts"].dataType)).scalar()
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"))
 

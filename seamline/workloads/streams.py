@@ -71,14 +71,25 @@ def error_rate_alerts(spark, sf):
     return runner.read_latest(spark, run.out, ["window_start"]).where("error_rate > 0.05")
 
 
+def slow(spark, events, cuts):
+    """95th percentiles of all windows; a batch lands for each part between ``cuts`` of time."""
+    run = _Run(spark, "slow")
+    edges = [None, *cuts, None]
+    for since, until in zip(edges[:-1], edges[1:]):
+        part = events if since is None else events.where(F.col("ts") >= since)
+        _land(part if until is None else part.where(F.col("ts") < until), run.landing)
+        stream = jobs.duration_counts(runner.stream_files(spark, run.landing, events.schema), F.col("value") / 1000)
+        runner.update_all(stream, run.out, run.checkpoint)
+    return jobs.slow_windows(runner.read_latest(spark, run.out, ["window_start", "duration"]))
+
+
 @query("r04_slow_windows", f"""WITH {SLIDES_SQL}
 SELECT window_start, round(quantile_disc(value / 1000, 0.95), 6) AS p95, count(*) AS requests FROM slid GROUP BY 1 HAVING quantile_disc(value / 1000, 0.95) > 0.1
 """)
 def slow_windows(spark, sf):
     run = _Run(spark, "slow")
-    stream = jobs.slow_windows(_events_stream(spark, sf, run), F.col("value") / 1000)
-    runner.update_all(stream, run.out, run.checkpoint)
-    return runner.read_latest(spark, run.out, ["window_start"]).where("p95 > 0.1")
+    events = st.table(spark, sf, "events").select("ts", "value")
+    return slow(spark, events, [dates.stamp("2024-01-10"), dates.stamp("2024-01-20")]).where("p95 > 0.1")
 
 
 @query("r05_keyed_change_detection", f"""
@@ -87,10 +98,18 @@ SELECT site, 'new' AS status, h AS content_hash FROM a
 UNION ALL SELECT b.site, CASE WHEN a.h IS NULL THEN 'new' ELSE 'updated' END, b.h FROM b LEFT JOIN a ON a.site = b.site WHERE a.h IS NULL OR a.h <> b.h
 """)
 def keyed_change_detection(spark, sf):
+    return detected(spark, [st.crawl_previous(spark, sf), st.crawl_current(spark, sf)], [1, 1])
+
+
+def detected(spark, snapshots, runs):
+    """Changes over crawls in order; ``runs`` says how many crawls land before each run."""
     run = _Run(spark, "changes")
-    for snapshot in (st.crawl_previous(spark, sf), st.crawl_current(spark, sf)):
-        rows = _hashed(snapshot).select(F.concat("name", "country").alias("site"), "content_hash")
-        _land(rows, run.landing)
+    waiting = list(enumerate(snapshots))
+    for many in runs:
+        for number, snapshot in waiting[:many]:
+            rows = _hashed(snapshot).select(F.concat("name", "country").alias("site"), F.lit(number).cast("long").alias("snapshot"), "content_hash")
+            _land(rows, run.landing)
+        waiting = waiting[many:]
         stream = jobs.detect_changes(runner.stream_files(spark, run.landing, rows.schema), "site")
         runner.update_all(stream, run.out, run.checkpoint)
     return runner.read_appended(spark, run.out)
@@ -159,12 +178,19 @@ a AS (SELECT metric, g2, greatest(0.1, least(1.0, 0.8 * 0.5 + 0.2 * g1)) AS w1 F
 SELECT metric AS metric_slug, round(greatest(0.1, least(1.0, 0.8 * w1 + 0.2 * g2)), 6) AS weight_value FROM a
 """)
 def smoothed_weights_per_batch(spark, sf):
+    """Two steps; rows of both land in each of two batches."""
+    gains = st.component_long(spark, sf).select("entity_id", "metric", "value", F.when(F.col("entity_id") < 700, 1).otherwise(2).alias("step"))
+    return smoothed(spark, gains.drop("entity_id"), [gains.where(F.col("entity_id") % 2 == k).drop("entity_id") for k in range(2)])
+
+
+def smoothed(spark, gains, parts):
+    """Weights after the steps of ``gains``, of which one of ``parts`` lands before each run."""
     run = _Run(spark, "smooth")
-    gains = st.component_long(spark, sf).select("entity_id", "metric", "value")
-    for part in (gains.where("entity_id < 700"), gains.where("entity_id >= 700")):
+    for part in parts:
         _land(part, run.landing)
-        jobs.smooth_weights(runner.stream_files(spark, run.landing, gains.schema), run.out, run.checkpoint)
-    return jobs.newest_generation(spark, run.out)
+        stream = runner.stream_files(spark, run.landing, gains.schema)
+        runner.update_all(jobs.gain_sums(stream, "step"), run.out, run.checkpoint)
+    return jobs.smoothed_by_step(runner.read_latest(spark, run.out, ["metric", "step"]), "step")
 
 
 @query("r10_late_rows_ignored", """

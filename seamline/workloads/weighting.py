@@ -117,16 +117,31 @@ def requested_weights(spark, sf):
     return weights.requested(slugs, st.active_weights(spark))
 
 
-GOLD_FEATURES = ["production_mt", "capacity_mt", "esg_score", "revenue", "carbon", "incidents"]
-FILLED_SQL = f"""deltas AS (SELECT *, round(feature_freshness_score - lag(feature_freshness_score) OVER (PARTITION BY mine_id ORDER BY feature_date), 9) AS delta FROM gold_features),
-kept AS (SELECT * FROM deltas WHERE delta IS NOT NULL),
-filled AS (SELECT delta, {', '.join(f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM kept), 0) AS {c}' for c in GOLD_FEATURES)} FROM kept)"""
-
-
-@query("w08_gain_by_feature", f"WITH {FILLED_SQL}, {gain_sql(GOLD_FEATURES, 'delta', 'filled')} SELECT metric, round(raw_gain, 6) AS raw_gain, round(gain, 6) AS gain FROM gains")
+# Feature column -> how it follows from the gold columns, the same text for both engines.
+GOLD_FEATURES = {
+    "production_mt": "production_mt", "capacity_utilization_rate": "production_mt / nullif(capacity_mt, 0)", "esg_score": "esg_score",
+    "carbon_intensity_tco2_per_mt": "carbon / nullif(production_mt, 0)", "revenue_per_mt": "revenue / nullif(production_mt, 0)",
+    "operating_margin": "(revenue - operating_cost) / nullif(revenue, 0)", "safety_incident_rate_per_1000_employees": "CAST(incidents AS DOUBLE)",
+    "reserve_life_years": "reserves / nullif(production_mt, 0)", "total_carbon_emissions_tco2": "carbon",
+    "productivity_mt_per_employee": "production_mt / CAST(n_events AS DOUBLE)", "metric_year": "CAST(year(feature_date) AS DOUBLE)",
+    "metric_quarter": "CAST(quarter(feature_date) AS DOUBLE)", "metric_month": "CAST(month(feature_date) AS DOUBLE)",
+}
+LOOKBACK = 14
+FILLED_SQL = f"""recent AS (SELECT *, {', '.join(f'{e} AS x_{c}' for c, e in GOLD_FEATURES.items())} FROM gold_features WHERE feature_date >= (SELECT max(feature_date) FROM gold_features) - INTERVAL {LOOKBACK} DAY),
+deltas AS (SELECT *, abs(round(feature_freshness_score - lag(feature_freshness_score) OVER (PARTITION BY mine_id ORDER BY feature_date), 9)) AS delta FROM recent),
+kept AS (SELECT * FROM deltas WHERE delta IS NOT NULL AND feature_freshness_score >= 0.7),
+filled AS (SELECT delta, {', '.join(f'coalesce(x_{c}, (SELECT quantile_cont(x_{c}, 0.5) FROM kept), 0) AS {c}' for c in GOLD_FEATURES)} FROM kept),
+slugs AS (SELECT unnest({list(fixed.METRIC_SLUGS)}) AS metric, unnest({list(fixed.METRIC_SLUGS.values())}) AS slug)"""
+
+
+@query("w08_gain_by_feature", f"""WITH {FILLED_SQL}, {gain_sql(GOLD_FEATURES, 'delta', 'filled')}
+SELECT coalesce(slug, gains.metric) AS metric, round(raw_gain, 6) AS raw_gain, round(gain, 6) AS gain FROM gains LEFT JOIN slugs ON gains.metric = slugs.metric""")
 def gain_by_feature(spark, sf):
-    gold = st.gold_features(spark, sf).withColumn("incidents", F.col("incidents").cast("double"))
-    return weights.gain_by_feature(gold, GOLD_FEATURES, "feature_freshness_score")
+    since = st.days_before_latest(spark, sf, LOOKBACK)
+    gold = st.gold_features(spark, sf, since).select(
+        "mine_id", "feature_date", "feature_freshness_score", *[F.expr(e).cast("double").alias(c) for c, e in GOLD_FEATURES.items()]
+    )
+    return weights.gain_by_feature(gold, list(GOLD_FEATURES), "feature_freshness_score", since)
 
 
 @query("w09_weight_report", f"""WITH {MEAN_GAINS_SQL}

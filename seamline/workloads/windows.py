@@ -33,8 +33,7 @@ FROM d ORDER BY feature_date DESC, mine_id LIMIT 50
 """)
 def recent_changes(spark, sf):
     """The lookback filter precedes the lag, so the first row in range drops out."""
-    gold = st.gold_features(spark, sf)
-    recent = rel.where_since(gold, "feature_date", 7, rel.latest_value(gold, "feature_date"))
+    recent = st.gold_features(spark, sf, st.days_before_latest(spark, sf, 7))
     changes = win.deltas(recent, "mine_id", "feature_date", "feature_freshness_score", 0.01, ("increase", "decrease", "stable"))
     return changes.orderBy(F.col("feature_date").desc(), "mine_id").limit(50).select(
         "mine_id", "feature_date", F.col("feature_freshness_score").alias("score"), "delta", "direction"

@@ -261,12 +261,13 @@ def test_feature_registry_and_bands(spark):
 
 def test_smoothing_stream_survives_a_replay(spark):
     base = scratch(spark, "replay")
-    gains = spark.createDataFrame([("a", 100.0)], "metric string, value double")
-    for _ in range(2):
-        gains.write.mode("append").parquet(f"{base}/landing")
-        jobs.smooth_weights(runner.stream_files(spark, f"{base}/landing", gains.schema), f"{base}/out", f"{base}/checkpoint")
-    jobs.smooth_weights(runner.stream_files(spark, f"{base}/landing", gains.schema), f"{base}/out", f"{base}/checkpoint")
-    assert jobs.newest_generation(spark, f"{base}/out").first().weight_value == pytest.approx(0.8 * (0.8 * 0.5 + 0.2) + 0.2)
+    for step in (1, 2, None):
+        if step:
+            spark.createDataFrame([("a", 100.0, step)], "metric string, value double, step int").write.mode("append").parquet(f"{base}/landing")
+        stream = runner.stream_files(spark, f"{base}/landing", "metric string, value double, step int")
+        runner.update_all(jobs.gain_sums(stream, "step"), f"{base}/out", f"{base}/checkpoint")
+    weights = jobs.smoothed_by_step(runner.read_latest(spark, f"{base}/out", ["metric", "step"]), "step")
+    assert weights.first().weight_value == pytest.approx(0.8 * (0.8 * 0.5 + 0.2) + 0.2)
 
 
 def test_expired_entities_leave_the_table(spark):
@@ -282,8 +283,8 @@ def test_expired_entities_leave_the_table(spark):
 
 def test_change_stream_ignores_repeats(spark):
     base = scratch(spark, "changes")
-    steps = [[("s1", "h1"), ("s2", "h2")], [("s1", "h1")], [("s1", "h9"), ("s3", "h3")]]
-    schema = "site string, content_hash string"
+    steps = [[("s1", 0, "h1"), ("s2", 0, "h2")], [("s1", 1, "h1")], [("s1", 2, "h9"), ("s3", 2, "h3")]]
+    schema = "site string, snapshot long, content_hash string"
     for rows in steps:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/landing")
         stream = jobs.detect_changes(runner.stream_files(spark, f"{base}/landing", schema), "site")
