@@ -76,11 +76,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def l2_distance(a: Column, b: Column) -> Column:
-    gaps = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
-    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x))
-
-
 def feature_vector(features: Column, order: list[str], default: float = 0.0) -> Column:
     return F.array(*[F.coalesce(F.try_element_at(features, F.lit(k)), F.lit(default)) for k in order])
 

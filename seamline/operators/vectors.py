@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.operators.relational import top_per_key
-from seamline.session import cut_lineage
 
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 20_000
 

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -53,14 +52,16 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- estimators --------------------------------------------------------------------
 
-def boosted(label: str, iterations: int = 10, depth: int = 4, seed: int = 42) -> GBTRegressor:
-    """Boosting that stops early on the rows marked as validation."""
+def boosted(label: str, rounds: int = 1000, depth: int = 6, step: float = 0.03, share: float = 0.8, seed: int = 42) -> GBTRegressor:
+    """Boosting that stops early: once a round no longer helps the rows marked as validation."""
     return GBTRegressor(
-        labelCol=label, maxIter=iterations, maxDepth=depth, seed=seed, validationIndicatorCol="is_validation", validationTol=0.01
+        labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed,
+        validationIndicatorCol="is_validation", validationTol=0.01,
     )
 
 
-def forest(label: str, trees: int = 10, depth: int = 4, seed: int = 42) -> RandomForestRegressor:
+def forest(label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestRegressor:
+    """Bagged trees. Trees must end somewhere: nodes grow exponentially with ``depth``, at most 30."""
     return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
 
 
@@ -114,10 +115,9 @@ def tree_spread(model, data: DataFrame) -> DataFrame:
     values = F.array(*names)
     n = F.lit(float(len(names)))
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    variance = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean
-    return scored.withColumn("prediction", mean).withColumn(
-        "confidence", F.sqrt(F.greatest(variance, F.lit(0.0)))
-    ).drop(*names)
+    scored = scored.withColumn("prediction", mean)
+    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - F.col("prediction")) * (x - F.col("prediction")))
+    return scored.withColumn("confidence", F.sqrt(squares / n)).drop(*names)
 
 
 # --- scoring ------------------------------------------------------------------------
@@ -159,6 +159,22 @@ def ensemble(df: DataFrame, actual: str, predictions: list[str]) -> DataFrame:
     return moments.select(F.sqrt(squared).alias("ensemble_rmse"), F.inline(rows))
 
 
+def fitted_ensemble(estimators: dict[str, object], data: DataFrame, label: str) -> DataFrame:
+    """Rows with the prediction of every fitted model and their weighted sum.
+
+    Weights are inverse validation errors, scaled to sum 1: a one-row subquery
+    over the same scored rows.
+    """
+    scored = data
+    for name, estimator in estimators.items():
+        train = data if isinstance(estimator, GBTRegressor) else data.where("NOT is_validation")
+        scored = estimator.fit(train).setPredictionCol(name).transform(scored)
+    held = ensemble(scored.where("is_validation"), label, list(estimators))
+    weights = held.agg(F.map_from_entries(F.collect_list(F.struct("model", "weight")))).scalar()  # one per model
+    terms = [F.col("_weights")[name] * F.col(name) for name in estimators]
+    return scored.withColumn("_weights", weights).withColumn("prediction", reduce(lambda a, b: a + b, terms)).drop("_weights")
+
+
 def linear_attribution(df: DataFrame, key: str, coefficients: dict[str, float], intercept: float) -> DataFrame:
     """Exact contributions coef · (x − mean) in long form, with base value and prediction."""
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in coefficients])).scalar()
@@ -259,6 +275,3 @@ def partial_pooling(df: DataFrame, group: str, value: str) -> DataFrame:
 def promotable(rmse: Column, r2: Column) -> Column:
     return (rmse < 0.1) & (r2 > 0.7)
 
-
-def feature_vector_column(columns: list[str]) -> Column:
-    return array_to_vector(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns]))

@@ -17,6 +17,9 @@ from seamline.workloads.aggregations import WEIGHTED_SQL
 from seamline.workloads.registry import query
 
 INPUTS = ["l_quantity", "l_discount", "l_tax", "line"]
+#: Size of the models that queries fit; the estimators' own defaults are larger.
+TREES, DEPTH = 20, 5
+BOOSTED = {"rounds": 10, "depth": 4, "step": 0.1}
 
 
 def _targets(spark, sf):
@@ -50,13 +53,13 @@ def _learning(spark, sf):
 @query("m02_boosted_regression")
 def boosted_regression(spark, sf):
     data = models.require_rows(_learning(spark, sf))
-    return models.fitted_quality(models.boosted("label", iterations=5, depth=3), data, "label")[1]
+    return models.fitted_quality(models.boosted("label", **BOOSTED), data, "label")[1]
 
 
 @query("m03_forest_and_linear")
 def forest_and_linear(spark, sf):
     data = _learning(spark, sf)
-    forest = models.fitted_quality(models.forest("label", trees=5, depth=3), data, "label")[1]
+    forest = models.fitted_quality(models.forest("label", trees=TREES, depth=DEPTH), data, "label")[1]
     linear = models.fitted_quality(models.linear("label"), data, "label")[1]
     return forest.withColumn("model", F.lit("forest")).unionByName(linear.withColumn("model", F.lit("linear")))
 
@@ -95,6 +98,13 @@ def ensemble(spark, sf):
     return models.ensemble(predicted, "y", ["a", "b", "c"])
 
 
+@query("m06_fitted_ensemble")
+def fitted_ensemble(spark, sf):
+    kinds = {"forest": models.forest("label", trees=TREES, depth=DEPTH), "boosted": models.boosted("label", **BOOSTED), "linear": models.linear("label")}
+    rows = models.fitted_ensemble(kinds, _learning(spark, sf), "label")
+    return rows.select("l_orderkey", "l_linenumber", "label", *kinds, "prediction")
+
+
 COEFFICIENTS = {"production_mt": 0.002, "esg_score": -0.01, "revenue": 0.001}
 
 
@@ -112,7 +122,7 @@ def batch_scoring(spark, sf):
 @query("m08_tree_spread")
 def tree_spread(spark, sf):
     data = _learning(spark, sf)
-    model = models.forest("label", trees=5, depth=3).fit(data.where("NOT is_validation"))
+    model = models.forest("label", trees=TREES, depth=DEPTH).fit(data.where("NOT is_validation"))
     return models.tree_spread(model, data.where("is_validation")).select("l_orderkey", "l_linenumber", "prediction", "confidence")
 
 
@@ -138,7 +148,7 @@ def feature_attribution(spark, sf):
 @query("m09_tree_attribution")
 def tree_attribution(spark, sf):
     data = _learning(spark, sf)
-    model = models.forest("label", trees=5, depth=3).fit(data.where("NOT is_validation"))
+    model = models.forest("label", trees=TREES, depth=DEPTH).fit(data.where("NOT is_validation"))
     return models.tree_attribution(model, data.where("is_validation"), ["l_orderkey", "l_linenumber"], INPUTS)
 
 

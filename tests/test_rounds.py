@@ -125,3 +125,8 @@ def test_latest_row_of_fixed_width_needs_no_sort(spark):
     newest = first_per_key(df, ["k"], [F.col("t")])
     assert sorted(map(tuple, newest.collect())) == [(1, 2, None), (2, 9, 1.0)]
     assert "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fitted_ensemble_lies_between_its_models(spark, sf):
+    odd = "NOT prediction BETWEEN least(forest, boosted, linear) - 1e-6 AND greatest(forest, boosted, linear) + 1e-6"
+    assert QUERIES["m06_fitted_ensemble"](spark, sf).where(odd).count() == 0
