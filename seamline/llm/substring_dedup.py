@@ -10,6 +10,12 @@ repeat for sure, so their places are settled at once and one copy travels, marke
 as repeated. A passage that a third of all documents hold thus sends one string a
 batch, not one a document.
 
+A first pass counts the strings of each part of a bucket. Parts far above the mean,
+such as that of a phrase that a third of all texts use, each time in other words, are
+dealt out further: their windows travel one by one, as two 64-bit hashes, to the
+bucket of the window itself, and are sorted and counted there. So no task holds all
+strings of a hot minimiser, and every window still meets all its copies.
+
 Nulls and texts without words have no windows. Rows are told apart by their
 place, so null and repeated ids are kept, and a repeated row is another place of
 the same words. Further input columns are carried and never read. An empty table
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 from seamline.llm import common as C
 
 WINDOW, GRAM, BUCKETS_PER_PARTITION = 35, 6, 4
+#: Parts of a bucket; a part is hot above ``HOT_STRINGS`` strings and ``HOT_SHARE`` times the mean.
+PARTS, HOT_STRINGS, HOT_SHARE = 16, 50_000, 16
 
 
 def _super_kmers(data: np.ndarray, at: np.ndarray, window: int, gram: int):
@@ -47,35 +55,114 @@ def _super_kmers(data: np.ndarray, at: np.ndarray, window: int, gram: int):
     return row, begin - row_at[row], size, windows, grams[anchor], C.between(prefix, begin, begin + size), starts[begin], ends[begin + size - 1]
 
 
-def _packed(buckets: int, window: int, gram: int):
+def _strings(batch: pa.RecordBatch, window: int, gram: int):
+    """Bytes of an Arrow batch of (_row, text) and its super-k-mers, with places in those bytes; None without any."""
+    ids = batch.column(0).to_numpy()
+    data, at = C.text_buffer(batch.column(1))
+    found = []
+    for i, j in C.slices(at):
+        part = _super_kmers(data[at[i] : at[j]], at[i : j + 1] - at[i], window, gram)
+        if part is not None:
+            row, begin, size, windows, key, whole, start, end = part
+            found.append((ids[row + i], begin, size, windows, key, whole, start + at[i], end + at[i]))
+    return (data, *map(np.concatenate, zip(*found))) if found else None
+
+
+def _counted(parts: int, window: int, gram: int):
+    """Arrow batches of (_row, text) to rows (part, n): different strings of a batch in each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _strings(batch, window, gram)
+            if found is not None:
+                _, first = np.unique(found[6], return_index=True)
+                part, n = np.unique((found[5][first] % np.uint64(parts)).astype(np.int64), return_counts=True)
+                yield pa.record_batch([pa.array(part), pa.array(n.astype(np.int64))], names=["part", "n"])
+
+    return run
+
+
+def hot_parts(rows: DataFrame, parts: int, window: int, gram: int, least: int = HOT_STRINGS, share: int = HOT_SHARE) -> np.ndarray:
+    """Parts with too many strings for one task; at most one in ``share``."""
+    sizes = rows.select("_row", "text").mapInArrow(_counted(parts, window, gram), "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    mean = sizes.agg(F.sum("n") / F.lit(parts)).scalar()
+    hot = sizes.where((F.col("n") >= least) & (F.col("n") >= share * mean)).select("part")
+    return np.sort(np.array([r.part for r in hot.collect()], np.int64))
+
+
+def _one_by_one(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: int):
+    """Two hashes of each window of the given strings, and the string and place of each."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)])
+    text = data[C.ranges(start, size)]
+    starts, ends, row_at = C.words(text, at)
+    hashes = C.word_hashes(text, starts, ends)
+    windows = np.diff(row_at) - window + 1
+    place = C.ranges(row_at[:-1], windows)
+    owner = np.repeat(np.arange(len(start)), windows)
+    one, two = (C.between(C.running(x), place, place + window) for x in (hashes, C.mix(hashes ^ C.ODD)))
+    return one, two, owner, place - row_at[owner]
+
+
+def _places(row: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as (row, start, end), overlapping ones of a row joined."""
+    order = np.lexsort((begin, row))
+    row, begin = row[order], begin[order]
+    cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (begin[1:] > begin[:-1] + window)])[: len(row)])
+    last = np.concatenate([cut[1:], [len(row)]])[: len(cut)] - 1
+    return row[cut], begin[cut], begin[last] + window
+
+
+def _same(one: np.ndarray, two: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each different window, and whether it occurs more than once."""
+    order = np.lexsort((two, one))
+    fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])[: len(one)]
+    which = np.empty(len(one), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return which, np.bincount(which, weights=1 + twice) > 1
+
+
+def _packed(buckets: int, hot: np.ndarray, window: int, gram: int):
     """Arrow batches of (_row, text) to rows (bucket, blob)."""
+    parts = np.uint64(buckets * PARTS)
+
+    def split(bucket: np.ndarray):
+        order = np.argsort(bucket, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, at = C.text_buffer(batch.column(1))
-            found = []
-            for i, j in C.slices(at):
-                part = _super_kmers(data[at[i] : at[j]], at[i : j + 1] - at[i], window, gram)
-                if part is not None:
-                    row, begin, size, windows, key, whole, start, end = part
-                    found.append((ids[row + i], begin, size, windows, key, whole, start + at[i], end + at[i]))
-            if not found:
+            found = _strings(batch, window, gram)
+            if found is None:
                 continue
-            row, begin, size, windows, key, whole, start, end = map(np.concatenate, zip(*found))
+            data, row, begin, size, windows, key, whole, start, end = found
             _, first, same, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
             again = count[same] > 1
-            out_bucket, out_blob = [int(C.mix(row[:1].astype(np.uint64))[0] % np.uint64(buckets))], [
-                C.pack(row=row[again], start=begin[again].astype(np.int32), end=(begin + size)[again].astype(np.int32))
-            ]
-            bucket = (key[first] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                pick = first[group]
+            spans = [(row[again], begin[again], (begin + size)[again])]
+            out: list[tuple[int, bytes]] = []
+            dealt = np.isin((key[first] % parts).astype(np.int64), hot)
+            alone, few = np.flatnonzero(dealt), np.flatnonzero(~dealt)
+            bucket = (key[first[few]] % np.uint64(buckets)).astype(np.int64)
+            for group in split(bucket):
+                pick = first[few[group]]
                 text = b"\n".join(b" ".join(data[a:b].tobytes().split()) for a, b in zip(start[pick], end[pick]))
-                out_bucket.append(int(bucket[group[0]]))
-                out_blob.append(C.pack(text=text, key=key[pick], row=row[pick], begin=begin[pick].astype(np.int32), size=size[pick].astype(np.int32), twice=count[group] > 1))
-            yield pa.record_batch([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
+                twice = count[few[group]] > 1
+                out.append((int(bucket[group[0]]), C.pack(text=text, key=key[pick], row=row[pick], begin=begin[pick].astype(np.int32), size=size[pick].astype(np.int32), twice=twice)))
+            if len(alone):
+                pick = first[alone]
+                one, two, owner, offset = _one_by_one(data, start[pick], end[pick], window)
+                own, place, twice = row[pick][owner], begin[pick][owner] + offset, count[alone][owner] > 1
+                which, many = _same(one, two, twice)
+                hit = many[which]
+                spans.append(_places(own[hit], place[hit], window))
+                _, keep = np.unique(which, return_index=True)
+                one, two, own, place, twice = one[keep], two[keep], own[keep], place[keep], hit[keep]
+                bucket = (one % np.uint64(buckets)).astype(np.int64)
+                for group in split(bucket):
+                    out.append((int(bucket[group[0]]), C.pack(one=one[group], two=two[group], row=own[group], begin=place[group], twice=twice[group])))
+            done, a, b = map(np.concatenate, zip(*spans))
+            out.append((int(C.mix(row[:1].astype(np.uint64))[0] % np.uint64(buckets)), C.pack(row=done, start=a.astype(np.int32), end=b.astype(np.int32))))
+            yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
 
     return run
 
@@ -113,6 +200,13 @@ def _settle(parts: list[dict], window: int) -> Iterator[tuple[np.ndarray, np.nda
     for p in parts:
         if "start" in p and len(p["row"]):
             yield p["row"], p["start"].astype(np.int64), p["end"].astype(np.int64)
+    windows = [p for p in parts if "one" in p]
+    if windows:
+        one, two, row, begin, twice = (np.concatenate([p[k] for p in windows]) for k in ("one", "two", "row", "begin", "twice"))
+        which, many = _same(one, two, twice)
+        hit = many[which] & ~twice
+        if hit.any():
+            yield _places(row[hit], begin[hit], window)
     parts = [p for p in parts if "text" in p]
     if not parts:
         return
@@ -188,10 +282,12 @@ def joined_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(grouped.hint("shuffle_hash"), "_row", "left")
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(_row, start, end) in words, of rows (_row, text)."""
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, least: int = HOT_STRINGS, share: int = HOT_SHARE) -> DataFrame:
+    """(_row, start, end) in words, of rows (_row, text). ``least`` and ``share`` say which parts are hot."""
     n = C.partitions(rows.sparkSession)
-    packed = rows.select("_row", "text").mapInArrow(_packed(n * BUCKETS_PER_PARTITION, window, gram), "bucket int, blob binary")
+    buckets = n * BUCKETS_PER_PARTITION
+    hot = hot_parts(rows, buckets * PARTS, window, gram, least, share)
+    packed = rows.select("_row", "text").mapInArrow(_packed(buckets, hot, window, gram), "bucket int, blob binary")
     dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(by_bucket(lambda parts: _settle(parts, window)), "_row long, start long, end long")
 

@@ -90,6 +90,26 @@ def test_substring_dedup_is_brute_force(docs, empty):
     assert {r.text for r in trimmed.where("doc_id = 9").collect()} == {""}
 
 
+def test_substring_dedup_gives_the_same_when_parts_are_hot(docs):
+    def covered(spans):
+        return {(r._row, k) for r in spans.collect() for k in range(r.start, r.end)}
+
+    rows = C.with_row(docs, "text")
+    want = covered(substring_dedup.repeated_spans(rows))
+    parts = C.partitions(docs.sparkSession) * substring_dedup.BUCKETS_PER_PARTITION * substring_dedup.PARTS
+    for least, share in ((1, 0), (2, 0), (3, 1)):
+        assert len(substring_dedup.hot_parts(rows, parts, 35, 6, least, share))
+        assert covered(substring_dedup.repeated_spans(rows, least=least, share=share)) == want
+    # One phrase, each time in other words; two of the texts share more than it.
+    phrase = " ".join(f"p{k}" for k in range(12))
+    texts = [f"{' '.join(f'a{i}x{k}' for k in range(30))} {phrase} {' '.join(f'b{i}x{k}' for k in range(30))}" for i in range(60)]
+    texts.append("new " + texts[5])
+    docs = docs.sparkSession.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(5)
+    for least, share in ((1, 0), (20, 0), (10**9, 16)):
+        got = covered(substring_dedup.repeated_spans(docs, least=least, share=share))
+        assert got == {(5, k) for k in range(72)} | {(60, k) for k in range(1, 73)}
+
+
 def test_suffix_dedup_is_brute_force(docs, empty):
     for length in (64, 400):
         texts = [raw(t) for _, t, *_ in ROWS]
