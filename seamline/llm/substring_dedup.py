@@ -82,14 +82,19 @@ def _counted(parts: int, window: int, gram: int):
     return run
 
 
-def hot_parts(rows: DataFrame, parts: int, window: int, gram: int, least: int = HOT_STRINGS, share: int = HOT_SHARE) -> np.ndarray:
-    """Parts with too many strings for one task; at most one in ``share``."""
-    sizes = rows.select("_row", "text").mapInArrow(_counted(parts, window, gram), "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+def hottest(sizes: DataFrame, parts: int, least: int = HOT_STRINGS, share: int = HOT_SHARE) -> np.ndarray:
+    """Parts with too many strings for one task, of rows (part, n); at most one in ``share``."""
+    sizes = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     mean = sizes.agg(F.sum("n") / F.lit(parts)).scalar()
     hot = sizes.where((F.col("n") >= least) & (F.col("n") >= share * mean)).select("part")
     return np.sort(np.array([r.part for r in hot.collect()], np.int64))
 
 
+def hot_parts(rows: DataFrame, parts: int, window: int, gram: int, least: int = HOT_STRINGS, share: int = HOT_SHARE) -> np.ndarray:
+    """Parts of minimisers that too many strings of the batches share."""
+    return hottest(rows.select("_row", "text").mapInArrow(_counted(parts, window, gram), "part long, n long"), parts, least, share)
+
+
 def _one_by_one(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: int):
     """Two hashes of each window of the given strings, and the string and place of each."""
     size = end - start
@@ -104,7 +109,7 @@ def _one_by_one(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: in
     return one, two, owner, place - row_at[owner]
 
 
-def _places(row: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_places(row: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows as (row, start, end), overlapping ones of a row joined."""
     order = np.lexsort((begin, row))
     row, begin = row[order], begin[order]
@@ -113,7 +118,7 @@ def _places(row: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray
     return row[cut], begin[cut], begin[last] + window
 
 
-def _same(one: np.ndarray, two: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def same_windows(one: np.ndarray, two: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each different window, and whether it occurs more than once."""
     order = np.lexsort((two, one))
     fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])[: len(one)]
@@ -122,6 +127,17 @@ def _same(one: np.ndarray, two: np.ndarray, twice: np.ndarray) -> tuple[np.ndarr
     return which, np.bincount(which, weights=1 + twice) > 1
 
 
+def settled_windows(parts: list[dict], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the windows that travelled one by one and repeat."""
+    windows = [p for p in parts if "one" in p]
+    if windows:
+        one, two, row, begin, twice = (np.concatenate([p[k] for p in windows]) for k in ("one", "two", "row", "begin", "twice"))
+        which, many = same_windows(one, two, twice)
+        hit = many[which] & ~twice
+        if hit.any():
+            yield window_places(row[hit], begin[hit], window)
+
+
 def _packed(buckets: int, hot: np.ndarray, window: int, gram: int):
     """Arrow batches of (_row, text) to rows (bucket, blob)."""
     parts = np.uint64(buckets * PARTS)
@@ -152,9 +168,9 @@ def _packed(buckets: int, hot: np.ndarray, window: int, gram: int):
                 pick = first[alone]
                 one, two, owner, offset = _one_by_one(data, start[pick], end[pick], window)
                 own, place, twice = row[pick][owner], begin[pick][owner] + offset, count[alone][owner] > 1
-                which, many = _same(one, two, twice)
+                which, many = same_windows(one, two, twice)
                 hit = many[which]
-                spans.append(_places(own[hit], place[hit], window))
+                spans.append(window_places(own[hit], place[hit], window))
                 _, keep = np.unique(which, return_index=True)
                 one, two, own, place, twice = one[keep], two[keep], own[keep], place[keep], hit[keep]
                 bucket = (one % np.uint64(buckets)).astype(np.int64)
@@ -200,13 +216,7 @@ def _settle(parts: list[dict], window: int) -> Iterator[tuple[np.ndarray, np.nda
     for p in parts:
         if "start" in p and len(p["row"]):
             yield p["row"], p["start"].astype(np.int64), p["end"].astype(np.int64)
-    windows = [p for p in parts if "one" in p]
-    if windows:
-        one, two, row, begin, twice = (np.concatenate([p[k] for p in windows]) for k in ("one", "two", "row", "begin", "twice"))
-        which, many = _same(one, two, twice)
-        hit = many[which] & ~twice
-        if hit.any():
-            yield _places(row[hit], begin[hit], window)
+    yield from settled_windows(parts, window)
     parts = [p for p in parts if "text" in p]
     if not parts:
         return

@@ -20,6 +20,13 @@ Before the shuffle each Arrow batch settles copies it has seen twice and sends
 one of them, marked as repeated, so a group of copies that holds a third of all
 rows sends one string a batch.
 
+A first pass counts the strings of each part of the grams. Parts far above the mean,
+such as that of a header which a third of all texts hold, each time before other
+bytes, are dealt out further: their strings of ``length`` bytes travel one by one, as
+two 64-bit hashes, to the bucket of the string itself, and are sorted and counted
+there. So no task holds all suffixes of a hot gram, and every string still meets all
+its copies. Only there do hashes, of 128 bits together, decide.
+
 Null texts are empty and lose nothing. Rows are told apart by place: null and
 repeated ids are kept, a repeated row counts as another place. Further columns
 are never read. An empty table gives an empty result.
@@ -36,7 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import common as C
-from seamline.llm.substring_dedup import BUCKETS_PER_PARTITION, _by_key, by_bucket, joined_spans
+from seamline.llm.substring_dedup import (
+    BUCKETS_PER_PARTITION, HOT_SHARE, HOT_STRINGS, PARTS, _by_key, by_bucket, hottest, joined_spans, same_windows, settled_windows, window_places,
+)
 
 LENGTH, GRAM = 400, 24
 #: Rows and anchors a row that the splitters are taken from.
@@ -91,35 +100,95 @@ def splitters(rows: DataFrame, length: int, buckets: int) -> np.ndarray:
     return np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
 
 
-def _packed(cuts: np.ndarray, length: int):
+def _strings(batch: pa.RecordBatch, length: int):
+    """Bytes of an Arrow batch of (_row, text) and the strings around its anchors; None without any."""
+    ids = batch.column(0).to_numpy()
+    data, at = C.text_buffer(batch.column(1))
+    found = []
+    for i, j in C.slices(at):
+        part = _anchored(data[at[i] : at[j]], at[i : j + 1] - at[i], length)
+        if part is not None:
+            row, begin, *rest = part
+            found.append((ids[row + i], begin + at[i], begin + at[i] - at[row + i], *rest))
+    if not found:
+        return None
+    row, place, begin, size, strings, before, lead, gram, whole = map(np.concatenate, zip(*found))
+    return data, row, place, begin, size, strings, before, lead, gram, whole ^ C.mix(gram)
+
+
+def _counted(parts: int, length: int):
+    """Arrow batches of (_row, text) to rows (part, n): different strings of a batch in each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _strings(batch, length)
+            if found is not None:
+                _, first = np.unique(found[9], return_index=True)
+                part, n = np.unique((found[8][first] % np.uint64(parts)).astype(np.int64), return_counts=True)
+                yield pa.record_batch([pa.array(part), pa.array(n.astype(np.int64))], names=["part", "n"])
+
+    return run
+
+
+def hot_parts(rows: DataFrame, parts: int, length: int, least: int = HOT_STRINGS, share: int = HOT_SHARE) -> np.ndarray:
+    """Parts of grams that too many strings of the batches share."""
+    return hottest(rows.select("_row", "text").mapInArrow(_counted(parts, length), "part long, n long"), parts, least, share)
+
+
+def _split(bucket: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
+def _one_by_one(data, row, place, begin, strings, twice, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of single strings by their two hashes, and the places that repeat already, a slice at a time."""
+    for i, j in C.slices(np.concatenate([[0], np.cumsum(strings + length)])):
+        size = strings[i:j] + length - 1
+        text = data[C.ranges(place[i:j], size)]
+        start = C.ranges(np.cumsum(size) - size, strings[i:j])
+        one, two = (C.between(C.running(x[text]), start, start + length) for x in (C._BYTE, C.mix(C._BYTE ^ C.ODD)))
+        owner = np.repeat(np.arange(i, j), strings[i:j])
+        own, at, again = row[owner], begin[owner] + C.ranges(np.zeros(j - i, np.int64), strings[i:j]), twice[owner]
+        which, many = same_windows(one, two, again)
+        hit = many[which]
+        done, a, b = window_places(own[hit], at[hit], length)
+        _, keep = np.unique(which, return_index=True)
+        bucket = (one[keep] % np.uint64(buckets)).astype(np.int64)
+        yield int(bucket[0]), C.pack(row=done, start=a, end=b)
+        for group in _split(bucket):
+            k = keep[group]
+            yield int(bucket[group[0]]), C.pack(one=one[k], two=two[k], row=own[k], begin=at[k], twice=hit[k])
+
+
+def _packed(cuts: np.ndarray, buckets: int, hot: np.ndarray, length: int):
     """Arrow batches of (_row, text) to rows (bucket, blob)."""
+    parts = np.uint64(buckets * PARTS)
+
+    def rows_of(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, at = C.text_buffer(batch.column(1))
-            found = []
-            for i, j in C.slices(at):
-                part = _anchored(data[at[i] : at[j]], at[i : j + 1] - at[i], length)
-                if part is not None:
-                    row, begin, *rest = part
-                    found.append((ids[row + i], begin + at[i], begin + at[i] - at[row + i], *rest))
-            if not found:
+            found = _strings(batch, length)
+            if found is None:
                 continue
-            row, place, begin, size, strings, before, lead, gram, whole = map(np.concatenate, zip(*found))
-            _, first, same, count = np.unique(whole ^ C.mix(gram), return_index=True, return_inverse=True, return_counts=True)
+            data, row, place, begin, size, strings, before, lead, gram, whole = found
+            _, first, same, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
             again = count[same] > 1
-            out_bucket, out_blob = [int(row[0] % (len(cuts) + 1))], [C.pack(row=row[again], start=begin[again], end=(begin + size)[again])]
-            bucket = np.searchsorted(cuts, lead[first], "right")
-            order = np.argsort(bucket, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                pick = first[group]
+            out = [(int(row[0] % (len(cuts) + 1)), C.pack(row=row[again], start=begin[again], end=(begin + size)[again]))]
+            alone = np.isin((gram[first] % parts).astype(np.int64), hot)
+            few, count = first[~alone], count[~alone]
+            bucket = np.searchsorted(cuts, lead[few], "right")
+            for group in _split(bucket):
+                pick = few[group]
                 text = data[C.ranges(place[pick], size[pick])].tobytes()
-                out_bucket.append(int(bucket[group[0]]))
-                out_blob.append(
-                    C.pack(text=text, gram=gram[pick], row=row[pick], begin=begin[pick], size=size[pick].astype(np.int32), before=before[pick].astype(np.int32), twice=count[group] > 1)
+                out.append(
+                    (int(bucket[group[0]]), C.pack(text=text, gram=gram[pick], row=row[pick], begin=begin[pick], size=size[pick].astype(np.int32), before=before[pick].astype(np.int32), twice=count[group] > 1))
                 )
-            yield pa.record_batch([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
+            yield rows_of(out)
+            pick = first[alone]
+            for one in _one_by_one(data, row[pick], place[pick], begin[pick], strings[pick], again[pick], length, buckets):
+                yield rows_of([one])
 
     return run
 
@@ -200,6 +269,7 @@ def _settle(parts: list[dict], length: int) -> Iterator[tuple[np.ndarray, np.nda
     for p in parts:
         if "start" in p and len(p["row"]):
             yield p["row"], p["start"], p["end"]
+    yield from settled_windows(parts, length)
     parts = [p for p in parts if "text" in p]
     if not parts:
         return
@@ -233,13 +303,15 @@ def _settle(parts: list[dict], length: int) -> Iterator[tuple[np.ndarray, np.nda
                 yield np.full(len(a), row[i]), a, b
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_row, start, end) in bytes, of rows (_row, text)."""
+def repeated_spans(rows: DataFrame, length: int = LENGTH, least: int = HOT_STRINGS, share: int = HOT_SHARE) -> DataFrame:
+    """(_row, start, end) in bytes, of rows (_row, text). ``least`` and ``share`` say which parts are hot."""
     if length < 2 * GRAM:
         raise ValueError(f"strings must have at least {2 * GRAM} bytes")
     n = C.partitions(rows.sparkSession)
-    cuts = splitters(rows, length, n * BUCKETS_PER_PARTITION)
-    packed = rows.select("_row", "text").mapInArrow(_packed(cuts, length), "bucket int, blob binary")
+    buckets = n * BUCKETS_PER_PARTITION
+    cuts = splitters(rows, length, buckets)
+    hot = hot_parts(rows, buckets * PARTS, length, least, share)
+    packed = rows.select("_row", "text").mapInArrow(_packed(cuts, buckets, hot, length), "bucket int, blob binary")
     dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(by_bucket(lambda parts: _settle(parts, length)), "_row long, start long, end long")
 

@@ -128,6 +128,27 @@ def test_suffix_dedup_is_brute_force(docs, empty):
     assert suffix_dedup.digest(empty).count() == 0
 
 
+def test_suffix_dedup_gives_the_same_when_parts_are_hot(docs):
+    def covered(spans):
+        return {(r._row, k) for r in spans.collect() for k in range(r.start, r.end)}
+
+    rows = C.with_row(docs, "text")
+    parts = C.partitions(docs.sparkSession) * substring_dedup.BUCKETS_PER_PARTITION * substring_dedup.PARTS
+    for length in (64, 400):
+        want = covered(suffix_dedup.repeated_spans(rows, length))
+        for least, share in ((1, 0), (3, 1)):
+            assert len(suffix_dedup.hot_parts(rows, parts, length, least, share))
+            assert covered(suffix_dedup.repeated_spans(rows, length, least, share)) == want
+    # One header, each time before other bytes; two of the texts share more than it.
+    texts = [f"{'header ' * 20}{rng.random()} {prose(120)}" for _ in range(60)]
+    texts.append("new " + texts[5])
+    docs = docs.sparkSession.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(5)
+    size = len(raw(texts[5]))
+    for least, share in ((1, 0), (20, 0), (10**9, 16)):
+        got = covered(suffix_dedup.repeated_spans(docs, 400, least, share))
+        assert got == {(5, k) for k in range(size)} | {(60, k) for k in range(4, size + 4)}
+
+
 def test_multikey_sort_orders_and_counts_common_bytes():
     r = np.random.default_rng(0)
     for rows in (0, 1, 2, 50):
