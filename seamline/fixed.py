@@ -309,3 +309,12 @@ DERIVED_FEATURES = {
     "f_carbon_intensity": ("environmental", "tCO2/MT"),
     "f_reserve_life_years": ("operational", "years"),
 }
+
+# Rational approximation of the standard normal law in double precision
+# (Hart's coefficients, highest power first), for distances below 10 / sqrt(2).
+NORMAL_NUMERATOR = [
+    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376,
+]
+NORMAL_DENOMINATOR = [
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+]

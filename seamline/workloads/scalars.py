@@ -423,9 +423,19 @@ def normal_interval(spark, sf):
     )
 
 
-@query("n18_probability_of_improvement")
+def _polynomial_sql(terms, x):
+    """Sum of the terms times falling powers of ``x``."""
+    return " + ".join(f"{term!r}::DOUBLE * power({x}, {len(terms) - 1 - k})" for k, term in enumerate(terms))
+
+
+@query("n18_probability_of_improvement", f"""
+WITH g AS (SELECT sub_industry, country, avg(score) - (SELECT avg(score) FROM composite_scores) AS m, stddev_samp(score) / sqrt(count(*)) AS s FROM composite_scores GROUP BY 1, 2),
+z AS (SELECT sub_industry, country, m / nullif(s, 0) AS z, abs(m / nullif(s, 0)) AS a FROM g),
+t AS (SELECT *, CASE WHEN a < 7 THEN exp(-a * a / 2) * ({_polynomial_sql(fixed.NORMAL_NUMERATOR, 'a')}) / ({_polynomial_sql(fixed.NORMAL_DENOMINATOR, 'a')}) WHEN a >= 7 THEN 0 END AS tail FROM z)
+SELECT sub_industry, country, round(CASE WHEN z > 0 THEN 1 - tail ELSE tail END, 6) AS probability FROM t
+""")
 def probability_of_improvement(spark, sf):
-    """Chance that a group scores above the overall mean; SQL twin lacks an error function."""
+    """Chance that a group scores above the overall mean."""
     scores = st.composite_scores(spark, sf)
     grand = scores.agg(F.avg("score")).scalar()
     groups = scores.groupBy("sub_industry", "country").agg(

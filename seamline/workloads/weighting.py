@@ -8,6 +8,7 @@ from seamline import fixed
 from seamline.operators import aggregates as agg
 from seamline.operators import relational as rel
 from seamline.plans import features, formulas, weights
+from seamline.session import cut_lineage
 from seamline.workloads import standins as st
 from seamline.workloads.metrics import _cells, _rounded
 from seamline.workloads.registry import query
@@ -38,9 +39,12 @@ GAIN_SQL = gain_sql(FEATURES, "target", "frame")
 
 
 def _frame(spark, sf):
-    """Features rounded like the twin, so that both fall into the same bins."""
+    """Features rounded like the twin, so that both fall into the same bins.
+
+    Written once: ranges, histogram and qualities read these few columns and not the formulas' inputs.
+    """
     frame = formulas.with_formulas(st.formula_inputs(spark, sf), {k: v for k, v in formulas.catalogue().items() if k in FEATURES})
-    return frame.select(F.col("Market_price").alias("target"), *_rounded(FEATURES))
+    return cut_lineage(frame.select(F.col("Market_price").alias("target"), *_rounded(FEATURES)))
 
 
 @query("w01_quality_weights", f"WITH {FRAME_SQL}, q AS ({QUALITY_SQL}) SELECT metric, round(quality, 6) AS quality FROM q")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import uuid
 
 import pytest
@@ -90,6 +91,10 @@ def test_confidence_forms_differ(spark):
 
 def test_probability_and_interval(spark):
     assert one(spark, numeric.probability_positive(F.lit(1.959963984540054), F.lit(1.0))) == pytest.approx(0.975)
+    places = [k / 8 for k in range(-72, 73)]
+    found = spark.createDataFrame([(x,) for x in places], "x double").select("x", numeric.normal_cdf(F.col("x")).alias("p")).collect()
+    assert {r.x: r.p for r in found} == pytest.approx({x: (1 + math.erf(x / math.sqrt(2))) / 2 for x in places}, abs=2e-12)
+    assert one(spark, numeric.normal_cdf(F.lit(None).cast("double"))) is None
     interval = one(spark, numeric.normal_interval(F.lit(10.0), F.lit(2.0), 0.95))
     assert interval["lower"] == pytest.approx(10 - 3.919928, abs=1e-6)
 
