@@ -5,9 +5,10 @@ as 64-bit hashes; a shorter text is one shingle. Documents with the same set for
 one class, so copies are never compared. Each element ranks the places of the
 signature by a permutation: at step t it offers t plus a fraction to the place
 that has rank t. A place that holds a value below t + 1 after step t is final, so a
-long document is done after a few steps. ``BANDS`` bands of ``ROWS`` values make
-candidates; two sets at the threshold of 0.85 miss all bands with probability
-4e-7. Candidates count only when their whole sets meet the threshold.
+long document is done after a few steps. Bands of some values each make candidates:
+25 of 5 for a threshold of 0.85, 28 of 4 for 0.8 (``BANDING``); two sets at the
+threshold miss all bands with probability 4e-7 in both. Candidates count only when
+their whole sets meet the threshold.
 
 Candidates that a chain of buckets joins form a coarse group. A task holds the
 sets of one coarse group, or of two blocks of a large one, and compares a member
@@ -33,11 +34,13 @@ from pyspark.sql import functions as F
 from seamline.llm import common as C
 from seamline.session import scratch
 
-SHINGLE, BANDS, ROWS = 5, 25, 5
+SHINGLE = 5
 #: Places of a signature: a prime, so that a * t + b runs through all of them.
 PLACES = 127
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; this is the percent unless another is given.
 PERCENT = 85
+#: Number of bands and of values in each, by percent.
+BANDING = {85: (25, 5), 80: (28, 4)}
 #: A task compares blocks of about so many members or shingles at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 300_000
 #: Members of a group that are compared before its main component is chosen.
@@ -84,18 +87,18 @@ def super_minhash(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
     return best.reshape(rows, PLACES)
 
 
-def band_keys(best: np.ndarray) -> np.ndarray:
+def band_keys(best: np.ndarray, bands: int, values: int) -> np.ndarray:
     """[row, band]: a hash of the band and its values."""
-    out = np.empty((len(best), BANDS), np.uint64)
-    for b in range(BANDS):
+    out = np.empty((len(best), bands), np.uint64)
+    for b in range(bands):
         key = np.full(len(best), np.uint64(b + 1), np.uint64)
-        for r in range(ROWS):
-            key = C.mix(key ^ C.mix(best[:, b * ROWS + r] + C.ODD))
+        for r in range(values):
+            key = C.mix(key ^ C.mix(best[:, b * values + r] + C.ODD))
         out[:, b] = key
     return out
 
 
-def _signed(doc_type: str):
+def _signed(bands: int, values: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = C.text_buffer(batch.column(2))
@@ -105,10 +108,10 @@ def _signed(doc_type: str):
                 total, other = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
                 np.add.at(total, row, C.mix(hashes))
                 np.bitwise_xor.at(other, row, C.mix(hashes + C.ODD))
-                keys = band_keys(super_minhash(row, hashes, j - i)).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+                keys = band_keys(super_minhash(row, hashes, j - i), bands, values).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
                 yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)), pa.array(other.view(np.int64)), bands],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)), pa.array(other.view(np.int64)), lists],
                     names=["_row", "doc_id", "n", "h1", "h2", "bands"],
                 )
 
@@ -126,7 +129,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(out, pa.binary())], names=["rep", "coarse", "blocks", "elements"])
 
 
-def spanning_links(sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], split: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join what links of the given sets join.
 
     With ``split`` 0 all pairs count, otherwise the pairs of the first ``split`` sets
@@ -150,7 +153,7 @@ def spanning_links(sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
         mark[own] = True
         common = np.add.reduceat(mark[other_ids], other_at, dtype=np.int64)
         mark[own] = False
-        linked = np.flatnonzero((100 * common >= PERCENT * (n[x] + other_n - common)) & (label[other] != label[x])) + split
+        linked = np.flatnonzero((100 * common >= percent * (n[x] + other_n - common)) & (label[other] != label[x])) + split
         if len(linked):
             roots, first = np.unique(label[linked], return_index=True)
             out.extend((x, int(y)) for y in linked[first])
@@ -159,37 +162,40 @@ def spanning_links(sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(percent: int):
     """Rows (coarse, first, second, own, rep, elements), sorted, to the edges (a, b)."""
 
-    def close(rows: list[tuple], first: int, second: int):
-        split = sum(r[0] == first for r in rows) if first != second else 0
-        if len(rows) < 2 or split == len(rows) or first != second and not split:
-            return
-        found = spanning_links([r[2] for r in rows], split)
-        if found:
-            yield pa.record_batch([pa.array([rows[x][1] for x, _ in found], pa.int64()), pa.array([rows[y][1] for _, y in found], pa.int64())], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: list[tuple], first: int, second: int):
+            split = sum(r[0] == first for r in rows) if first != second else 0
+            if len(rows) < 2 or split == len(rows) or first != second and not split:
+                return
+            found = spanning_links([r[2] for r in rows], split, percent)
+            if found:
+                yield pa.record_batch([pa.array([rows[x][1] for x, _ in found], pa.int64()), pa.array([rows[y][1] for _, y in found], pa.int64())], names=["a", "b"])
+
+        now, rows = None, []
+        for batch in batches:
+            for *key, own, rep, elements in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
+                if key != now:
+                    if rows:
+                        yield from close(rows, *now[1:])
+                    now, rows = key, []
+                rows.append((own, rep, np.frombuffer(elements.as_buffer(), np.uint64)))
+        if rows:
+            yield from close(rows, *now[1:])
 
-    now, rows = None, []
-    for batch in batches:
-        for *key, own, rep, elements in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
-            if key != now:
-                if rows:
-                    yield from close(rows, *now[1:])
-                now, rows = key, []
-            rows.append((own, rep, np.frombuffer(elements.as_buffer(), np.uint64)))
-    if rows:
-        yield from close(rows, *now[1:])
+    return run
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """_row, doc_id, n_shingles, component_id, kept, first (one row of each component) for each row of ``docs``."""
     spark = docs.sparkSession
     rows = C.with_row(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"_row long, doc_id {kind}, n long, h1 long, h2 long, bands array<long>"
     path = scratch(spark, "signatures")
-    rows.mapInArrow(_signed(kind), schema).write.parquet(path)
+    rows.mapInArrow(_signed(*BANDING[percent]), schema).write.parquet(path)
     signed = spark.read.schema(schema).parquet(path)
 
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("chosen")
@@ -214,7 +220,7 @@ def groups(docs: DataFrame) -> DataFrame:
     keys = ["coarse", "first", "second"]
     dealt = dealt.select("coarse", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "elements")
     dealt = dealt.repartition(C.partitions(spark), *keys).sortWithinPartitions(*keys, "own", "rep")
-    links = C.cut_lineage(dealt.mapInArrow(_linked, "a long, b long"))
+    links = C.cut_lineage(dealt.mapInArrow(_linked(percent), "a long, b long"))
 
     # Copies join once, on their class; all else works on one row a class.
     component = C.components(links).toDF("rep", "component")
@@ -230,14 +236,14 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
-    return groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return groups(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group: the one with the smallest id."""
-    first = groups(docs).where("first").select("_row")
+    first = groups(docs, percent).where("first").select("_row")
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
     kept = numbered.join(first.hint("shuffle_hash"), "_row", "left_semi")
     return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -50,7 +50,7 @@ def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return minhash_dedup.digest(C.table(spark, sf, "documents"))
+    return minhash_dedup.digest(C.table(spark, sf, "documents"), percent=85)
 
 
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seamline.llm import common as C
 from seamline.llm import chat_format, decontamination, embedding_dedup, language_id, lm_scoring, minhash_dedup, packing, substring_dedup, suffix_dedup, toxicity
 from seamline.llm.queries import crc_is, tokenizer_path
@@ -200,6 +201,28 @@ def test_minhash_dedup_is_brute_force(docs, empty, monkeypatch):
     same(minhash_dedup.digest(docs), want, "doc_id", "n_shingles", "component_id", "kept")
 
 
+def test_pipeline_removes_near_copies_from_four_fifths(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [shingles(r.text) for r in rows]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    common = collections.Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[:k])
+
+    def kept(percent):
+        edges = [(a, b) for (a, b), n in common.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+        least = {}
+        for r, c in zip(rows, joined(len(sets), edges)):
+            least[c] = min(least.get(c, r.doc_id), r.doc_id)
+        return sorted(least.values())
+
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id").collect())
+    assert got == kept(80) != kept(85)
+
+
 def test_super_minhash_estimates_similarity():
     r = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.85):
