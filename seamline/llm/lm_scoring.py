@@ -6,14 +6,16 @@ are dealt to buckets by hash, counted over all training rows exactly, and go bac
 their blocks, so no vocabulary is held whole anywhere. The base score is the sum of
 smoothed log probabilities of these exact counts.
 
-Pairs of neighbouring words are counted over all training rows in the same way, and
-the counts are quantised to powers of two. The filter holds (pair, level) for each
-level up to the pair's, 2 ** level occurrences; a pair seen once has level 0 and
-needs no entry. The filter has ``FILTER_BITS`` bits in segments by bucket, whatever
-the corpus; levels below the least one that leaves it half empty are not entered, a
-rule that holds at every size. It is broadcast, and a pair's count is found by
-probing level after level. A token's probability mixes its share after the word
-before it, if the pair is known, with its smoothed share in the corpus.
+Pairs of neighbouring words of each block, held out or not, are dealt to segments by
+hash with their training counts, which are added up and quantised to powers of two.
+A segment's filter holds (pair, level) for each level up to the pair's: level k is
+2 ** k occurrences; a pair seen once has level 0 and needs no entry.
+A filter has ``ENTRY_BITS`` bits for each entry, so it grows with the corpus: no level
+is left out and its share of false positives is the same at each size. It stays in
+the task that filled it: pairs are probed there, level after level, and their levels
+go back to their blocks, so no filter is sent to the driver or broadcast. A token's probability mixes
+its share after the word before it, if the pair is known, with its smoothed share in
+the corpus.
 
 Null texts are empty and hold the end alone. Rows with a null id are not held out.
 Repeated rows count each time. Without training rows all counts are 0 and each
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from seamline.llm import common as C
 from seamline.session import scratch
 
-FILTER_BITS, PROBES, LEVELS, MIX = 1 << 27, 2, 40, 0.2
+#: Bits of the filter for each entry, and probes: a filter is about half full.
+ENTRY_BITS, PROBES = 3, 2
+LEAST_BITS, LEVELS, MIX = 256, 40, 0.2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Hash of the end of a text, which also stands before the first word.
@@ -80,7 +84,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _blocks(segments: int):
-    """(_row, doc_id, held_out, text) to the block of each batch: its documents, and its words by segment."""
+    """(_row, doc_id, held_out, text) to the block of each batch: its documents with all its words, and its words by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
@@ -97,10 +101,10 @@ def _blocks(segments: int):
             learned = np.bincount(ids[np.repeat(~held_out, size)], minlength=len(words))
             rank = np.empty(len(words), np.uint32)  # common words get small numbers, which pack well
             rank[np.argsort(-times, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-            docs = C.pack(row=batch.column(0).to_numpy(), doc=batch.column(1).to_pylist(), held_out=held_out, size=size.astype(np.int32), ids=rank[ids])
+            docs = C.pack(row=batch.column(0).to_numpy(), doc=batch.column(1).to_pylist(), held_out=held_out, size=size.astype(np.int32), ids=rank[ids], step=np.diff(words, prepend=np.uint64(0)), rank=rank)
             out = [(block, -1, docs)]
             for s, part in _by_segment(words, segments):
-                out.append((block, s, C.pack(step=np.diff(words[part], prepend=np.uint64(0)), n=learned[part].astype(np.int32), rank=rank[part])))
+                out.append((block, s, C.pack(step=np.diff(words[part], prepend=np.uint64(0)), n=learned[part].astype(np.int32))))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "segment", "blob"])
 
     return run
@@ -127,66 +131,76 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [np.cumsum(p["step"], dtype=np.uint64) for p in parts]
         each, total = _summed(np.concatenate(words), np.concatenate([p["n"] for p in parts]))
         known = [int((total > 0).sum()), int(total.sum())]
-        for k, ((block, segment, _), p, w) in enumerate(zip(rows, parts, words)):
+        for k, ((block, segment, _), w) in enumerate(zip(rows, words)):
             n = total[np.searchsorted(each, w)]
-            blob = C.pack(words=p["step"], n=n.astype(np.int64), rank=p["rank"])
+            blob = C.pack(n=n.astype(np.int64))
             distinct, all_ = known if k == 0 else (0, 0)
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([segment], pa.int32()), pa.array([blob], pa.binary()), pa.array([distinct], pa.int64()), pa.array([all_], pa.int64())], names=["block", "segment", "blob", "distinct", "total"])
 
 
+def _block_pairs(docs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block by rank, its distinct pairs, sorted, and the pair of each token."""
+    word = np.empty(len(docs["rank"]), np.uint64)
+    word[docs["rank"]] = np.cumsum(docs["step"], dtype=np.uint64)
+    token_at = np.concatenate([[0], np.cumsum(docs["size"].astype(np.int64))])
+    return word, *np.unique(pairs_of(word[docs["ids"]], token_at), return_inverse=True)
+
+
 def _paired(segments: int):
-    """Training texts to the pairs of each batch and their counts, by segment."""
+    """(block, documents) to the pairs of each block and their training counts, by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = C.text_buffer(batch.column(0))
-            found = [np.zeros(0, np.uint64)]
-            for i, j in C.slices(at):
-                found.append(pairs_of(*tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])))
-            each, n = np.unique(np.concatenate(found), return_counts=True)
-            out = [(s, C.pack(step=np.diff(each[part], prepend=np.uint64(0)), n=n[part].astype(np.int32))) for s, part in _by_segment(each, segments)]
-            if out:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary()))], names=["segment", "blob"])
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                docs = C.unpack(blob.as_py())
+                _, each, at = _block_pairs(docs)
+                n = np.bincount(at[np.repeat(~docs["held_out"], docs["size"])], minlength=len(each))
+                out = [(block, s, C.pack(step=np.diff(each[part], prepend=np.uint64(0)), n=n[part].astype(np.int32))) for s, part in _by_segment(each, segments)]
+                if out:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "segment", "blob"])
 
     return run
 
 
-def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one segment that were seen twice or more: hash, level, and how many have each level."""
-    for rows in _grouped(batches, 0):
-        parts = [C.unpack(blob) for _, blob in rows]
-        each, total = _summed(np.concatenate([np.cumsum(p["step"], dtype=np.uint64) for p in parts]), np.concatenate([p["n"] for p in parts]))
-        level = np.minimum(np.frexp(total.astype(float))[1] - 1, LEVELS - 1)
-        often = level > 0
-        blob = C.pack(pairs=each[often], level=level[often].astype(np.int8))
-        sizes = np.bincount(level[often], minlength=LEVELS).tolist()
-        yield pa.record_batch([pa.array([rows[0][0]], pa.int32()), pa.array([blob], pa.binary()), pa.array([sizes], pa.list_(pa.int64()))], names=["segment", "blob", "sizes"])
+def _levelled(segments: int):
+    """Pairs of one segment: their levels by its filter, sent back to each block after its words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 1):
+            parts = [C.unpack(blob) for _, _, blob in rows]
+            pairs = [np.cumsum(p["step"], dtype=np.uint64) for p in parts]
+            each, total = _summed(np.concatenate(pairs), np.concatenate([p["n"] for p in parts]))
+            bits = filled(each, levels_of(total))
+            level = probed(bits, 8 * len(bits), 1, each).astype(np.int8)
+            for (block, segment, _), own in zip(rows, pairs):
+                blob = C.pack(level=level[np.searchsorted(each, own)])
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([segments + segment], pa.int32()), pa.array([blob], pa.binary())], names=["block", "segment", "blob"])
 
-def _places(pairs: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """Bits, inside a segment, of (pair, level)."""
-    for p in range(PROBES):
-        seed = np.uint64((level * PROBES + p + 1) * 0x9FB21C651E98DF25 % (1 << 64))
-        yield (C.mix(pairs ^ seed) % np.uint64(bits)).astype(np.int64)
+    return run
 
 
-def _segments(least: int, bits: int):
-    """The filter's segment of each row of pairs, as bytes."""
+def levels_of(total: np.ndarray) -> np.ndarray:
+    """0 for pairs that were seen once or never, 1 for twice or more, 2 for four times or more ..."""
+    return np.minimum(np.maximum(np.frexp(total.astype(float))[1] - 1, 0), LEVELS - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for segment, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p = C.unpack(blob)
-                held = np.zeros(bits, bool)
-                for level in range(least, LEVELS):
-                    pairs = p["pairs"][p["level"] >= level]
-                    if not len(pairs):
-                        break
-                    for place in _places(pairs, level, bits):
-                        held[place] = True
-                yield pa.record_batch([pa.array([segment], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
-    return run
+def _places(pairs: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+    """Bits, inside a segment, of (pair, level)."""
+    seed = np.uint64((level + 1) * 0x9FB21C651E98DF25 % (1 << 64))
+    place, step = C.mix(pairs ^ seed), C.mix(pairs + seed) | np.uint64(1)
+    for _ in range(PROBES):
+        yield (place % np.uint64(bits)).astype(np.int64)
+        place = place + step
+
+
+def filled(pairs: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The filter that holds each pair at all levels up to its own, as bytes."""
+    bits = -(-max(LEAST_BITS, ENTRY_BITS * int(level.sum())) // 8) * 8
+    held = np.zeros(bits, bool)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        for place in _places(pairs[level >= k], k, bits):
+            held[place] = True
+    return np.packbits(held, bitorder="little")
 
 
 def probed(bits: np.ndarray, segment_bits: int, least: int, pairs: np.ndarray) -> np.ndarray:
@@ -207,37 +221,19 @@ def probed(bits: np.ndarray, segment_bits: int, least: int, pairs: np.ndarray) -
     return out
 
 
-def learn_pairs(texts: DataFrame, filter_bits: int = FILTER_BITS):
-    """(bits, bits a segment, least level) of the filter over the pairs of all ``texts``."""
-    n = C.partitions(texts.sparkSession)
-    segments = segment_count(n)
-    dealt = texts.select("text").mapInArrow(_paired(segments), "segment int, blob binary").repartition(n, "segment").sortWithinPartitions("segment")
-    levelled = C.cut_lineage(dealt.mapInArrow(_levelled, "segment int, blob binary, sizes array<long>"))
-    sizes = np.zeros(LEVELS, np.int64)
-    for r in levelled.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-        sizes[r.pos] = r.n
-    entries = np.cumsum(np.cumsum(sizes[::-1]))[::-1]  # entered if all levels from here on are
-    least = 1
-    while least < LEVELS - 1 and entries[least] * PROBES > filter_bits * np.log(2):
-        least += 1
-    segment_bits = filter_bits // segments
-    bits = np.zeros(filter_bits // 8, np.uint8)
-    for r in levelled.select("segment", "blob").mapInArrow(_segments(least, segment_bits), "segment int, bits binary").collect():
-        start = r.segment * segment_bits // 8
-        bits[start : start + segment_bits // 8] = np.frombuffer(r.bits, np.uint8)
-    return bits, segment_bits, least
-
-
-def _scored(held, total: int, distinct: int, doc_type: pa.DataType):
+def shares(level: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Share of a pair of this level among what follows its first word."""
+    return np.where(level > 0, np.minimum(1.0, 2.0**level / np.maximum(1, before)), 0.0)
+
+
+def _scored(segments: int, total: int, distinct: int, doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, segment_bits, least = held.value
         for rows in _grouped(batches, 0):
-            parts = [C.unpack(blob) for _, segment, blob in rows if segment >= 0]
             docs = next(C.unpack(blob) for _, segment, blob in rows if segment < 0)
-            size = sum(len(p["n"]) for p in parts)
-            word, count = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-            for p in parts:
-                word[p["rank"]], count[p["rank"]] = np.cumsum(p["words"], dtype=np.uint64), p["n"]
+            word, _, pair = _block_pairs(docs)
+            count = np.empty(len(word), np.int64)
+            count[docs["rank"]] = np.concatenate([C.unpack(blob)["n"] for _, segment, blob in rows if 0 <= segment < segments])
+            levels = np.concatenate([C.unpack(blob)["level"] for _, segment, blob in rows if segment >= segments])
             log_base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
             ends = np.cumsum(docs["size"].astype(np.int64))
             starts = ends - docs["size"]
@@ -246,11 +242,9 @@ def _scored(held, total: int, distinct: int, doc_type: pa.DataType):
                 ids = docs["ids"][starts[i] : ends[j - 1]]
                 at = np.append(starts[i:j], ends[j - 1]) - starts[i]
                 n = count[ids]
-                pairs = pairs_of(word[ids], at)
                 before = np.concatenate([[0], n[:-1]])
                 before[at[:-1]] = count[word == END][0] if (word == END).any() else 0
-                level = probed(bits, segment_bits, least, pairs)
-                share = np.where(level > 0, np.minimum(1.0, 2.0**level / np.maximum(1, before)), 0.0)
+                share = shares(levels[pair[starts[i] : ends[j - 1]]].astype(np.int64), before)
                 base = log_base[ids]
                 model = np.log10(MIX * share + (1 - MIX) * 10**base)
                 for k, value in enumerate((n > 0, base, model)):
@@ -265,22 +259,25 @@ def _scored(held, total: int, distinct: int, doc_type: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """_row, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows that are not held out."""
     spark = docs.sparkSession
     n = C.partitions(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", held_out.alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     doc_type = {"string": pa.string(), "int": pa.int32()}.get(kind, pa.int64())
-    held = spark.sparkContext.broadcast(learn_pairs(rows.where(~F.col("held_out")), filter_bits))
+    segments = segment_count(n)
 
     path = scratch(spark, "blocks")
-    written = rows.mapInArrow(_blocks(segment_count(n)), "block long, segment int, blob binary").write
+    written = rows.mapInArrow(_blocks(segments), "block long, segment int, blob binary").write
     written.option("compression", "none").parquet(path)  # the blobs are compressed
     blocks = spark.read.schema("block long, segment int, blob binary").parquet(path)
     dealt = blocks.where("segment >= 0").repartition(n, "segment").sortWithinPartitions("segment", "block")
     counted = C.cut_lineage(dealt.mapInArrow(_counted, "block long, segment int, blob binary, distinct long, total long"))
     known = counted.agg(F.sum("distinct").alias("distinct"), F.sum("total").alias("total")).first()
-    back = blocks.where("segment < 0").unionAll(counted.select("block", "segment", "blob")).repartition(n, "block").sortWithinPartitions("block", "segment")
+    pairs = blocks.where("segment < 0").select("block", "blob").mapInArrow(_paired(segments), "block long, segment int, blob binary")
+    pairs = pairs.repartition(n, "segment").sortWithinPartitions("segment", "block")
+    levelled = C.cut_lineage(pairs.mapInArrow(_levelled(segments), "block long, segment int, blob binary"))
+    back = blocks.where("segment < 0").unionAll(counted.select("block", "segment", "blob")).unionAll(levelled).repartition(n, "block").sortWithinPartitions("block", "segment")
     schema = f"_row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return back.mapInArrow(_scored(held, known.total or 0, known.distinct or 0, doc_type), schema)
+    return back.mapInArrow(_scored(segments, known.total or 0, known.distinct or 0, doc_type), schema)

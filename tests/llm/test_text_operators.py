@@ -428,6 +428,17 @@ def test_lm_filter_knows_all_levels():
     assert (lm_scoring.probed(bits, segment_bits, 1, r.integers(0, 1 << 63, 3000).astype(np.uint64)) == 0).mean() > 0.8
 
 
+def test_lm_filter_grows_with_its_entries():
+    r = np.random.default_rng(5)
+    sizes = []
+    for n in (100, 10_000, 300_000):
+        pairs, level = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)), r.integers(1, 6, n)
+        bits = lm_scoring.filled(pairs, level)
+        assert (lm_scoring.probed(bits, 8 * len(bits), 1, pairs) >= level).all()
+        sizes.append(len(bits) / level.sum())
+    assert max(sizes) < 1.01 * min(sizes)
+
+
 def test_language_id(docs, empty, spark):
     out = language_id.identify(docs, crc_is("doc_id", 3, 1)).collect()
     assert len(out) == len(ROWS)
