@@ -13,7 +13,8 @@ A segment's filter holds (pair, level) for each level up to the pair's: level k
 A filter has ``ENTRY_BITS`` bits for each entry, so it grows with the corpus: no level
 is left out and its share of false positives is the same at each size. It stays in
 the task that filled it: pairs are probed there, level after level, and their levels
-go back to their blocks, so no filter is sent to the driver or broadcast. A token's probability mixes
+go back to their blocks, so no filter is sent to the driver or broadcast. Levels that
+the exact count of either word rules out are rejected. A token's probability mixes
 its share after the word before it, if the pair is known, with its smoothed share in
 the corpus.
 
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from seamline.llm import common as C
 from seamline.session import scratch
 
-#: Bits of the filter for each entry, and probes: a filter is about half full.
-ENTRY_BITS, PROBES = 3, 2
-LEAST_BITS, LEVELS, MIX = 256, 40, 0.2
+#: Bits of the filter for each entry, and probes: one in 100,000 entries that aren't there is found.
+ENTRY_BITS, PROBES = 24, 16
+LEAST_BITS, LEVELS, MIX = 1024, 40, 0.2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Hash of the end of a text, which also stands before the first word.
@@ -221,9 +222,10 @@ def probed(bits: np.ndarray, segment_bits: int, least: int, pairs: np.ndarray) -
     return out
 
 
-def shares(level: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Share of a pair of this level among what follows its first word."""
-    return np.where(level > 0, np.minimum(1.0, 2.0**level / np.maximum(1, before)), 0.0)
+def shares(level: np.ndarray, before: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Share of a pair of this level among what follows its first word; the words' counts bound it."""
+    level = np.minimum(level, levels_of(np.minimum(before, n)))
+    return np.where(level > 0, 2.0**level / np.maximum(1, before), 0.0)
 
 
 def _scored(segments: int, total: int, distinct: int, doc_type: pa.DataType):
@@ -244,7 +246,7 @@ def _scored(segments: int, total: int, distinct: int, doc_type: pa.DataType):
                 n = count[ids]
                 before = np.concatenate([[0], n[:-1]])
                 before[at[:-1]] = count[word == END][0] if (word == END).any() else 0
-                share = shares(levels[pair[starts[i] : ends[j - 1]]].astype(np.int64), before)
+                share = shares(levels[pair[starts[i] : ends[j - 1]]].astype(np.int64), before, n)
                 base = log_base[ids]
                 model = np.log10(MIX * share + (1 - MIX) * 10**base)
                 for k, value in enumerate((n > 0, base, model)):

@@ -439,6 +439,19 @@ def test_lm_filter_grows_with_its_entries():
     assert max(sizes) < 1.01 * min(sizes)
 
 
+def test_lm_filter_finds_few_unknown_pairs_at_any_size():
+    r = np.random.default_rng(6)
+    for n in (100, 10_000, 300_000):
+        bits = lm_scoring.filled(np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)), r.integers(1, 6, n))
+        unknown = r.integers(0, 1 << 63, 100_000).astype(np.uint64)
+        assert (lm_scoring.probed(bits, 8 * len(bits), 1, unknown) > 0).mean() < 0.0005
+
+
+def test_lm_levels_are_bounded_by_the_words():
+    before, n = np.array([3, 3, 1000, 0, 5]), np.array([1000, 2, 1000, 7, 0])
+    assert (lm_scoring.shares(np.full(5, 9), before, n) * before <= np.minimum(before, n)).all()
+
+
 def test_language_id(docs, empty, spark):
     out = language_id.identify(docs, crc_is("doc_id", 3, 1)).collect()
     assert len(out) == len(ROWS)
