@@ -9,7 +9,7 @@ smoothed log probabilities of these exact counts.
 Pairs of neighbouring words of each block, held out or not, are dealt to segments by
 hash with their training counts, which are added up and quantised to powers of two.
 A segment's filter holds (pair, level) for each level up to the pair's: level k is
-2 ** k occurrences; a pair seen once has level 0 and needs no entry.
+2 ** (k - 1) occurrences, so a pair seen once has level 1 and an unknown one level 0.
 A filter has ``ENTRY_BITS`` bits for each entry, so it grows with the corpus: no level
 is left out and its share of false positives is the same at each size. It stays in
 the task that filled it: pairs are probed there, level after level, and their levels
@@ -181,8 +181,8 @@ def _levelled(segments: int):
 
 
 def levels_of(total: np.ndarray) -> np.ndarray:
-    """0 for pairs that were seen once or never, 1 for twice or more, 2 for four times or more ..."""
-    return np.minimum(np.maximum(np.frexp(total.astype(float))[1] - 1, 0), LEVELS - 1)
+    """0 for pairs that were never seen, 1 for once, 2 for twice or more, 3 for four times or more ..."""
+    return np.minimum(np.frexp(total.astype(float))[1], LEVELS - 1)
 
 
 def _places(pairs: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
@@ -225,7 +225,7 @@ def probed(bits: np.ndarray, segment_bits: int, least: int, pairs: np.ndarray) -
 def shares(level: np.ndarray, before: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Share of a pair of this level among what follows its first word; the words' counts bound it."""
     level = np.minimum(level, levels_of(np.minimum(before, n)))
-    return np.where(level > 0, 2.0**level / np.maximum(1, before), 0.0)
+    return np.where(level > 0, 2.0 ** (level - 1) / np.maximum(1, before), 0.0)
 
 
 def _scored(segments: int, total: int, distinct: int, doc_type: pa.DataType):

@@ -452,6 +452,24 @@ def test_lm_levels_are_bounded_by_the_words():
     assert (lm_scoring.shares(np.full(5, 9), before, n) * before <= np.minimum(before, n)).all()
 
 
+def test_lm_pairs_seen_once_count(docs):
+    held_out = crc_is("doc_id", 5, 1)
+    found = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split() + [None] for _, t, *_ in ROWS]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in ROWS]
+    count = collections.Counter(w for ws, h in zip(found, held) if not h for w in ws)
+    pairs = collections.Counter(p for ws, h in zip(found, held) if not h for p in zip([None] + ws, ws))
+    total, distinct = sum(count.values()), len(count)
+
+    def model(before, w):
+        n = pairs[before, w]
+        share = 2 ** (n.bit_length() - 1) / count[before] if n else 0
+        return math.log10(0.2 * share + 0.8 * (count[w] + 0.5) / (total + 0.5 * (distinct + 1)))
+
+    want = [(r[0], sum(model(*p) for p in zip([None] + ws, ws))) for r, ws in zip(ROWS, found)]
+    got = [(r.doc_id, r.score) for r in lm_scoring.score(docs, held_out).collect()]
+    assert sorted((d is None, d, round(v, 3)) for d, v in got) == sorted((d is None, d, round(v, 3)) for d, v in want)
+
+
 def test_language_id(docs, empty, spark):
     out = language_id.identify(docs, crc_is("doc_id", 3, 1)).collect()
     assert len(out) == len(ROWS)
