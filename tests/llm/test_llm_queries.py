@@ -7,7 +7,7 @@ from seamline.llm.queries import QUERIES
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_queries_answer_for_each_row(spark, sf):
