@@ -8,18 +8,17 @@ Leftovers of ``MERGED`` partitions meet in one task, which packs them again and
 cuts what still is not full into sequences whose length is a power of two, which
 need no padding.
 
-A task holds one Arrow batch, its open windows and a bounded cache of encoded
-words. Placed pieces are written once to the shared folder, so the encoding is
-never repeated and a lost executor costs its tasks only. A null text is empty and
-holds the end id alone; null and repeated ids are kept, since a piece belongs to a
-row. Further columns are never read; an empty table gives no pieces.
+A task holds one Arrow batch and its open windows. Placed pieces are written once to
+the shared folder, so the encoding is never repeated and a lost executor costs its
+tasks only. A null text is empty and holds the end id alone; null and repeated ids are
+kept, since a piece belongs to a row. Further columns are never read; an empty table
+gives no pieces.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,67 +27,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import common as C
+from seamline.llm.tokens import byte_bpe
 from seamline.session import scratch
 
 SIZE, OPEN_WINDOWS, MERGED = 1024, 16, 32
-#: Entries of a task's cache of encoded words.
-CACHED = 800_000
 
 
 class Encoder:
-    """Token ids of texts. Words are encoded once and looked up afterwards.
-
-    A text is cut before each space and around each line feed, where the byte-level
-    pattern always ends a token. Texts with neighbouring white space are encoded whole.
-    """
+    """Token ids of whole texts, by the vocabulary file's own rules."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path, self._encode = path, byte_bpe(path).encode
+
+    @cached_property
+    def model(self):
+        """The file in the library it was made for, to compare with."""
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.feed = self._ids("\n")
-        self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _learn(self, need: list[str]) -> None:
-        plain = []
-        for w in need:
-            c = w[1:] if w[:1] == " " else w
-            if not c or c[0].isspace() or c[-1].isspace():
-                self.known[w] = None
-            else:
-                plain.append(w)
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            flat = self._ids("\n".join(part))
-            cut = np.flatnonzero(flat == self.feed[0])
-            if len(self.feed) != 1 or len(cut) != len(part) - 1:
-                self.known.update((w, self._ids(w).tobytes()) for w in part)
-                continue
-            raw, ends = flat.tobytes(), (np.append(cut, len(flat)) * 4).tolist()
-            start = 0
-            for w, end in zip(part, ends):
-                self.known[w] = raw[start:end]
-                start = end + 4
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True  # their strings in a text are ordinary text
+        return model
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), 256):
-            part = texts[i : i + 256]
-            cut = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if t and "\x00" not in t else None for t in part]
-            if len(self.known) > CACHED:
-                self.known.clear()
-            self.known["\n"] = self.feed.tobytes()
-            self._learn(list(set(chain.from_iterable(c for c in cut if c)).difference(self.known)))
-            get = self.known.__getitem__
-            for text, c in zip(part, cut):
-                try:
-                    yield np.frombuffer(b"".join(map(get, c)), np.uint32) if c else self._ids(text)
-                except TypeError:  # a word that can't stand alone
-                    yield self._ids(text)
+        for text in texts:
+            yield np.array(self._encode(text), np.uint32)
 
 
 class Window:
