@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,18 +96,48 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
 
 
 INVERSE = pow(BASE, -1, 1 << 64)
+#: A second base, for hashes that shall fail apart from the first.
+OTHER_BASE = 0xA0761D6478BD642F
+OTHER_INVERSE = pow(OTHER_BASE, -1, 1 << 64)
 
 
-def running(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; ``between`` takes a run's hash from them."""
+def running(values: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Prefix sums of a polynomial hash; ``between`` takes a run's hash from them.
+
+    Runs of up to some hundred symbols are told apart well; over very long runs of two
+    symbols in special patterns a polynomial modulo 2 ** 64 is weak, so symbols that are
+    words come from ``word_hashes`` and decisions compare what was hashed.
+    """
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
+    np.cumsum(values * powers(len(values), base), out=out[1:])
     return out
 
 
-def between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = powers(int(start.max()) + 1 if len(start) else 1, INVERSE)
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * ODD)
+def between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: int = INVERSE) -> np.ndarray:
+    back = powers(int(start.max()) + 1 if len(start) else 1, inverse)
+    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64) * ODD)
+
+
+def exact_groups(hashes: np.ndarray, text_of: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place of each different text, the text's number at each place, and how often it occurs.
+
+    Texts are grouped by hash; those of one hash are then compared, and told apart where they differ.
+    """
+    _, first, same, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count[same] > 1)
+    shared = shared[np.argsort(same[shared], kind="stable")]
+    group, text, apart = -1, b"", []
+    for i, g in zip(shared.tolist(), same[shared].tolist()):
+        if g != group:
+            group, text = g, text_of(i)
+        elif text_of(i) != text:
+            apart.append(i)
+    if apart:
+        numbers: dict[tuple[int, bytes], int] = {}
+        for i in apart:
+            same[i] = numbers.setdefault((int(same[i]), text_of(i)), len(first) + len(numbers))
+        _, first, same, count = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+    return first, same, count
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,16 +155,37 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
+#: Words above this many bytes are hashed one by one.
+BLOCK_HASHED = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes; hashes of two seeds fail apart from each other.
+
+    Eight bytes a step go through a keyed mixer, for all words at once, so words of up
+    to eight bytes and one length never meet. Longer words than ``BLOCK_HASHED`` take
+    a cryptographic digest, for which nobody can build words that meet.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(starts, np.diff(np.concatenate([[0], starts[1:], [len(data)]])))
-    values = _BYTE[data] * powers(1 << 16)[place & 0xFFFF]
-    values[SPACES[data]] = 0
-    return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * ODD)
+    lengths = (ends - starts).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    out = mix(lengths.astype(np.uint64) * ODD + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64)))
+    long = lengths > BLOCK_HASHED
+    place = np.flatnonzero(~long)
+    for step in range(0, BLOCK_HASHED, 8):
+        place = place[lengths[place] > step]
+        if not len(place):
+            break
+        left = np.minimum(lengths[place] - step, 8).astype(np.uint64)
+        block = eight[starts[place] + step] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[place] = mix(out[place] * ODD ^ mix(block + np.uint64(step + 1)))
+    for i in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=b"%d" % seed).digest()
+        out[i] = np.uint64(int.from_bytes(digest, "little"))
+    return out
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:

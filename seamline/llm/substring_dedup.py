@@ -14,7 +14,8 @@ A first pass counts the strings of each part of a bucket. Parts far above the me
 such as that of a phrase that a third of all texts use, each time in other words, are
 dealt out further: their windows travel one by one, as two 64-bit hashes, to the
 bucket of the window itself, and are sorted and counted there. So no task holds all
-strings of a hot minimiser, and every window still meets all its copies.
+strings of a hot minimiser, and every window still meets all its copies. The two hashes
+of a window are over word hashes of their own; everywhere else words are compared.
 
 Nulls and texts without words have no windows. Rows are told apart by their
 place, so null and repeated ids are kept, and a repeated row is another place of
@@ -105,7 +106,9 @@ def _one_by_one(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: in
     windows = np.diff(row_at) - window + 1
     place = C.ranges(row_at[:-1], windows)
     owner = np.repeat(np.arange(len(start)), windows)
-    one, two = (C.between(C.running(x), place, place + window) for x in (hashes, C.mix(hashes ^ C.ODD)))
+    one = C.between(C.running(hashes), place, place + window)
+    others = C.running(C.word_hashes(text, starts, ends, seed=1), C.OTHER_BASE)
+    two = C.between(others, place, place + window, C.OTHER_INVERSE)
     return one, two, owner, place - row_at[owner]
 
 
@@ -152,7 +155,7 @@ def _packed(buckets: int, hot: np.ndarray, window: int, gram: int):
             if found is None:
                 continue
             data, row, begin, size, windows, key, whole, start, end = found
-            _, first, same, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            first, same, count = C.exact_groups(whole, lambda i: b" ".join(data[start[i] : end[i]].tobytes().split()))
             again = count[same] > 1
             spans = [(row[again], begin[again], (begin + size)[again])]
             out: list[tuple[int, bytes]] = []

@@ -146,7 +146,8 @@ def _one_by_one(data, row, place, begin, strings, twice, length: int, buckets: i
         size = strings[i:j] + length - 1
         text = data[C.ranges(place[i:j], size)]
         start = C.ranges(np.cumsum(size) - size, strings[i:j])
-        one, two = (C.between(C.running(x[text]), start, start + length) for x in (C._BYTE, C.mix(C._BYTE ^ C.ODD)))
+        one = C.between(C.running(C._BYTE[text]), start, start + length)
+        two = C.between(C.running(C.mix(C._BYTE ^ C.ODD)[text], C.OTHER_BASE), start, start + length, C.OTHER_INVERSE)
         owner = np.repeat(np.arange(i, j), strings[i:j])
         own, at, again = row[owner], begin[owner] + C.ranges(np.zeros(j - i, np.int64), strings[i:j]), twice[owner]
         which, many = same_windows(one, two, again)
@@ -173,7 +174,7 @@ def _packed(cuts: np.ndarray, buckets: int, hot: np.ndarray, length: int):
             if found is None:
                 continue
             data, row, place, begin, size, strings, before, lead, gram, whole = found
-            _, first, same, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            first, same, count = C.exact_groups(whole, lambda i: data[place[i] : place[i] + size[i]].tobytes())
             again = count[same] > 1
             out = [(int(row[0] % (len(cuts) + 1)), C.pack(row=row[again], start=begin[again], end=(begin + size)[again]))]
             alone = np.isin((gram[first] % parts).astype(np.int64), hot)
