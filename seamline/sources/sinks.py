@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamline.functions.nested import merge_maps
 from seamline.operators.relational import first_per_key
@@ -49,16 +50,22 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str)
     return first_per_key(table.unionByName(changes), keys, [F.col(version)])
 
 
-def insert_new(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Append only the rows whose key is not there yet."""
-    fresh = rows.join(table.select(*keys), keys, "left_anti").dropDuplicates(keys)
+def last_change(changes: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
+    """One change per key: the last by ``order``, or by the values themselves where nothing says which came last."""
+    by = order or [c for c in changes.columns if c not in keys and not isinstance(changes.schema[c].dataType, T.MapType)]
+    return first_per_key(changes, keys, [F.col(c) for c in by]) if by else changes.dropDuplicates(keys)
+
+
+def insert_new(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Append only the rows whose key is not there yet; of several with one key, the last."""
+    fresh = last_change(rows, keys, order).join(table.select(*keys), keys, "left_anti").select(*rows.columns)
     return table.unionByName(fresh, allowMissingColumns=True)
 
 
-def update_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Columns present and non-null in a change replace the stored value."""
-    fields = [c for c in changes.columns if c != key]
-    patch = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
+def update_rows(table: DataFrame, changes: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Columns present and non-null in a key's last change replace the stored value."""
+    fields = [c for c in changes.columns if c != key and c in table.columns]
+    patch = last_change(changes, [key], order).select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
     joined = table.join(patch, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in fields}).select(*table.columns)
 
@@ -77,9 +84,16 @@ def activate_version(registry: DataFrame, model_type: str, version: str) -> Data
     )
 
 
-def merge_context(sessions: DataFrame, updates: DataFrame, key: str, context: str) -> DataFrame:
-    """Merge context maps, the update winning key by key."""
-    new = updates.select(key, F.col(context).alias("_new"))
+def merge_context(sessions: DataFrame, updates: DataFrame, key: str, context: str, order: list[str] | None = None) -> DataFrame:
+    """Merge context maps, the update winning entry by entry; a later update wins over an earlier one.
+
+    Updates are reduced entry by entry before the join, so a session keeps one row
+    however often it is updated.
+    """
+    by = F.struct(*[F.col(c) for c in order or []], F.col("_value"))
+    entries = updates.select(key, *(order or []), F.explode(context).alias("_name", "_value"))
+    last = entries.groupBy(key, "_name").agg(F.max_by("_value", by).alias("_value"))
+    new = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("_new"))
     empty = F.create_map().cast("map<string,string>")
     merged = merge_maps(F.coalesce(context, empty), F.coalesce("_new", empty))
     return sessions.join(new, key, "left").withColumn(context, merged).drop("_new")

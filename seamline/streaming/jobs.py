@@ -13,7 +13,9 @@ from seamline.operators.relational import first_per_key
 from seamline.operators.segments import nearest_rank, range_segments
 from seamline.plans import weights
 from seamline.sources import feeds
+from seamline.sources.keyed_table import KeyedTable, create
 from seamline.streaming import runner
+from seamline.streaming.changes import detect_changes  # noqa: F401 - one of the jobs
 
 
 def ingest_feeds(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
@@ -64,37 +66,6 @@ def slow_windows(counts: DataFrame, percent: int = 95) -> DataFrame:
     return requests.join(ranked, "window_start", "left").select("window_start", "p95", "requests")
 
 
-def _changes_of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps a key's last snapshot and content hash; emits a row each time the hash changes."""
-    rows = pd.concat(frames).sort_values(["snapshot", "content_hash"], ignore_index=True)
-    seen, last = state.get if state.exists else (None, None)
-    if seen is not None:
-        rows = rows[rows["snapshot"] >= seen]  # a snapshot that lands after a newer one says nothing new
-    if rows.empty:
-        return
-    before = rows["content_hash"].shift(fill_value=last)
-    changed = rows[rows["content_hash"] != before]
-    state.update((int(rows["snapshot"].iloc[-1]), rows["content_hash"].iloc[-1]))
-    if len(changed):
-        status = ["updated"] * len(changed)
-        if last is None:
-            status[0] = "new"
-        yield pd.DataFrame({"site": key[0], "status": status, "content_hash": changed["content_hash"].to_numpy()})
-
-
-def detect_changes(crawl: DataFrame, key: str) -> DataFrame:
-    """New and updated keys of a stream of crawled records.
-
-    ``snapshot`` numbers the crawls. Rows of a key are taken in that order, so a
-    backlog of crawls gives what a run after each of them gives. A key has one
-    row per crawl, which bounds its group.
-    """
-    return crawl.select(key, "snapshot", "content_hash").groupBy(key).applyInPandasWithState(
-        _changes_of_key, outputStructType="site string, status string, content_hash string",
-        stateStructType="snapshot long, content_hash string", outputMode="update", timeoutConf="NoTimeout",
-    )
-
-
 def _spaced(keys: list[str], ts: str, tie: str, columns: list[str], gap: pd.Timedelta):
     """Rows of a key that come more than ``gap`` after the last kept one, in order of time."""
 
@@ -138,20 +109,25 @@ def suppress_repeats(requests: DataFrame, keys: list[str], ts: str, tie: str, wi
 def keep_latest(features: DataFrame, key: str, order: list[str], days: int, out: str, checkpoint: str) -> None:
     """Newest row per entity, dropped once it is older than the time to live.
 
-    Each micro-batch is reduced, merged with the generation before it and
-    written as its own generation. Expired entities leave the table, so it is
-    as large as the set of live entities, and a replayed batch gives the same
-    generation again. A replay needs the generation before; older ones go.
+    A micro-batch touches the buckets of its own entities only, in a keyed table with
+    versions; a replayed batch finds its tag committed and does nothing. The newest time
+    seen is noted with each version. Expired rows are hidden by it at once and leave the
+    files when their bucket is next rewritten.
     """
-    spark = features.sparkSession
-    ts = order[0]
+    spark, ts = features.sparkSession, order[0]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if batch_id == 0 else batch.unionByName(spark.read.parquet(f"{out}/batch_id={batch_id - 1}"))
-        newest = first_per_key(rows, [key], [F.col(c) for c in order])
-        alive = unexpired(newest, ts, rows.agg(F.max(ts)).scalar(), days)
-        alive.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        runner.forget(spark, f"{out}/batch_id={batch_id - 2}")
+        table = KeyedTable(spark, out)
+        if not table.versions():
+            create(batch.limit(0), out, [key], order)
+        seen = table.commit()["note"].get("newest")
+        newest = batch.agg(F.max(F.greatest(ts, F.lit(seen).cast(batch.schema[ts].dataType))).cast("string")).first()[0] or seen
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            latest = first_per_key(old.unionByName(new), [key], [F.col(c) for c in order])
+            return unexpired(latest, ts, F.lit(newest).cast(batch.schema[ts].dataType), days)
+
+        table.change(batch, merge, f"{checkpoint}#{batch_id}", {"newest": newest, "ts": ts, "days": days}).forget()
 
     runner.run_available(features, checkpoint, step)
 
@@ -185,8 +161,10 @@ def smoothed_by_step(sums: DataFrame, step: str) -> DataFrame:
 
 
 def newest_generation(spark: SparkSession, out: str) -> DataFrame:
-    table = spark.read.parquet(out)
-    return table.where(F.col("batch_id") == table.agg(F.max("batch_id")).scalar()).drop("batch_id")
+    """Live rows of the table that ``keep_latest`` maintains."""
+    table = KeyedTable(spark, out)
+    rows, note = table.read(), table.commit()["note"]
+    return unexpired(rows, note["ts"], F.lit(note["newest"]).cast(rows.schema[note["ts"]].dataType), note["days"]) if note.get("newest") else rows
 
 
 def daily_counts(events: DataFrame, ttl: str = "7 days") -> DataFrame:
@@ -197,6 +175,14 @@ def daily_counts(events: DataFrame, ttl: str = "7 days") -> DataFrame:
     )
 
 
+def fresh_rows(events: DataFrame, ttl: str = "7 days") -> DataFrame:
+    """Each event once, unless it is older than the time to live.
+
+    Rows reach the state one by one, so the query's progress counts each late row.
+    """
+    return runner.timed(events, "ts", ttl).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def dimension_scores(scores: DataFrame) -> DataFrame:
     """Latest score, spread of durations and error count per dimension."""
     return scores.groupBy("dimension").agg(

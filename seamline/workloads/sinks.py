@@ -9,7 +9,7 @@ from seamline.functions import text as tx
 from seamline.operators import relational as rel
 from seamline.plans import weights
 from seamline.session import scratch
-from seamline.sources import sinks
+from seamline.sources import keyed_table, sinks
 from seamline.workloads import standins as st
 from seamline.workloads.joins import DIFF_SQL, _diff
 from seamline.workloads.registry import query
@@ -69,7 +69,8 @@ def upserted_rows(spark, sf):
     added = docs.where("lang = 'de'").select(
         (-F.col("doc_id") - 1).alias("doc_id"), F.lit("added").alias("source"), F.lit(2).cast("bigint").alias("version")
     )
-    return sinks.upsert(stored, updated.unionByName(added), ["doc_id"], "version")
+    table = keyed_table.create(stored, scratch(spark, "documents"), ["doc_id"], ["version"])
+    return table.upsert(updated.unionByName(added), ["version"]).read()
 
 
 @query("k06_inserted_if_new", """
@@ -128,7 +129,8 @@ def updated_and_deleted(spark, sf):
         F.col("s_suppkey").alias("source_id"), F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("balance")
     )
     gone = sites.where("s_nationkey = 3").select(F.col("s_suppkey").alias("source_id"))
-    return sinks.delete_rows(sinks.update_rows(table, changes, "source_id"), gone, "source_id")
+    stored = keyed_table.create(table, scratch(spark, "sources"), ["source_id"], ["name"])
+    return stored.update(changes, ["balance"]).delete(gone).read()
 
 
 N12_SQL = """(coalesce(structured_availability, 0) + coalesce(country_level_availability, 0) + coalesce(sub_industry_availability, 0)

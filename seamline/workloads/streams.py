@@ -209,6 +209,23 @@ def late_rows_ignored(spark, sf):
     return runner.read_latest(spark, run.out, ["day"])
 
 
+@query("r10_dropped_row_counter", """
+WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 7 DAY AS mark FROM events WHERE event_type <> 'error')
+SELECT 0::BIGINT AS landing, count(*) AS read_rows, 0::BIGINT AS late_rows FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 1, count(*), count(*) FILTER (ts <= (SELECT mark FROM m)) FROM events WHERE event_type = 'error'
+""")
+def dropped_row_counter(spark, sf):
+    """Rows read and rows dropped as late, by landing, from what the queries reported of their batches."""
+    run = _Run(spark, "counter")
+    events = st.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    for landing, part in enumerate((events.where("event_type <> 'error'"), events.where("event_type = 'error'"))):
+        _land(part, run.landing)
+        done = runner.append_all(jobs.fresh_rows(runner.stream_files(spark, run.landing, events.schema)), run.out, run.checkpoint)
+        runner.keep_progress(spark, done, f"{run.out}-progress/landing={landing}")
+    reports = runner.progress(spark, f"{run.out}-progress", ["landing"])
+    return reports.groupBy("landing").agg(F.sum("read_rows").alias("read_rows"), F.sum("late_rows").alias("late_rows"))
+
+
 @query("r11_dimension_scores", """
 SELECT event_type AS dimension, round(max_by(value, (ts, event_id)), 6) AS latest_score, max(ts) AS measured_at, count(*) AS measurements FROM events GROUP BY 1
 """)

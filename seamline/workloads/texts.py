@@ -11,10 +11,11 @@ from seamline.functions import text as tx
 from seamline.operators import relational as rel
 from seamline.operators import vectors
 from seamline.operators import windows as win
-from seamline.plans import conversations, retrieval
-from seamline.session import scratch
+from seamline.plans import conversations, retrieval, text_index, vector_index
+from seamline.session import cut_lineage, scratch
 from seamline.sources import feeds
-from seamline.sources.landed import LandedFeed
+from seamline.sources.landed import FILTERS, LandedFeed
+from seamline.streaming import runner
 from seamline.workloads import standins as st
 from seamline.workloads.aggregations import DELTAS
 from seamline.workloads.registry import query
@@ -93,11 +94,30 @@ def filtered_similarity_search(spark, sf):
     return _search(spark, sf).select("doc_id", "source", "lang", "similarity")
 
 
+def _indexed_neighbours(spark, sf):
+    """An index over all embeddings, its queries (every row whose id is divisible by 100) and what it finds."""
+    vecs = st.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    index = vector_index.build(vecs, "vec_id", "embedding", scratch(spark, "vectors"))
+    asked = vecs.where(F.col("vec_id") % 100 == 0)
+    return vecs, asked, index.search(asked, "vec_id", "embedding", 10)
+
+
 @query("t06_approximate_nearest")
 def approximate_nearest(spark, sf):
-    vecs = st.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    found = retrieval.approximate_nearest(vecs, "embedding", vectors.overall_centre(vecs, "embedding"), 10)
-    return found.select("vec_id", "distance")
+    return _indexed_neighbours(spark, sf)[2]
+
+
+@query("t06_index_distances", """
+SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings)) AS found, 0.0::DOUBLE AS nearest, 0.0::DOUBLE AS largest_error FROM embeddings WHERE vec_id % 100 = 0
+""")
+def index_distances(spark, sf):
+    """The distances an index reports, measured again from the vectors: each query finds itself first, and none is off."""
+    vecs, asked, found = _indexed_neighbours(spark, sf)
+    pairs = found.join(vecs, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
+    gap = F.aggregate(F.zip_with("embedding", "_q", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda a, x: a + x)
+    return pairs.groupBy("query_id").agg(
+        F.count("*").alias("found"), F.min("distance").alias("nearest"), F.max(F.abs(F.sqrt(gap) - F.col("distance"))).alias("largest_error")
+    )
 
 
 @query("t07_batch_nearest", """
@@ -157,7 +177,20 @@ WITH t AS (SELECT doc_id, list_filter(list_filter(regexp_split_to_array(lower(te
 SELECT doc_id, len(hits)::BIGINT AS hits FROM t WHERE len(list_distinct(hits)) = 3
 """)
 def full_text_match(spark, sf):
-    return retrieval.full_text(st.documents(spark, sf).select("doc_id", "text"), "text", ["the", "and", "of"]).drop("text")
+    return _text_index(spark, sf).match_all(["the", "and", "of"])
+
+
+def _text_index(spark, sf):
+    return text_index.build(st.documents(spark, sf).select("doc_id", "text"), "doc_id", "text", scratch(spark, "terms"))
+
+
+@query("t10_phrase_match", """
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))::BIGINT AS hits FROM t)
+SELECT doc_id, hits FROM h WHERE hits > 0
+""")
+def phrase_match(spark, sf):
+    return _text_index(spark, sf).match_phrase(["of", "the"])
 
 
 @query("t11_conversation_report", f"""
@@ -193,6 +226,30 @@ def pluggable_source(spark, sf):
     return spark.read.format("landed_feed").option("path", path).load()
 
 
+@query("u03_pruned_source", "SELECT source, country, year, data FROM feed_payloads WHERE source IN ('IEA', 'IMF') AND country IS NOT NULL")
+def pruned_source(spark, sf):
+    path = scratch(spark, "feeds")
+    feeds.land(st.feed_payloads(spark, sf), path)
+    spark.dataSource.register(LandedFeed)
+    with runner.options(spark, FILTERS):
+        rows = spark.read.format("landed_feed").option("path", path).option("prune", "true").load()
+        return cut_lineage(rows.where(F.col("source").isin("IEA", "IMF") & F.col("country").isNotNull()))
+
+
+@query("u03_streamed_source", "SELECT source, country, year, data FROM feed_payloads")
+def streamed_source(spark, sf):
+    """Responses of two sources land, then those of the others; a run of the stream after each."""
+    base = scratch(spark, "feeds")
+    spark.dataSource.register(LandedFeed)
+    payloads = st.feed_payloads(spark, sf)
+    first = F.col("source").isin("IEA", "EIA")
+    for part in (payloads.where(first), payloads.where(~first)):
+        part.write.mode("append").partitionBy("source").json(f"{base}/landing")
+        stream = spark.readStream.format("landed_feed").option("path", f"{base}/landing").load()
+        runner.append_all(stream, f"{base}/out", f"{base}/checkpoint")
+    return runner.read_appended(spark, f"{base}/out")
+
+
 @query("u04_table_valued_chunker", f"""
 WITH w AS (SELECT conv_id, turn, {WORDS_SQL.format('text')} AS w FROM conversations),
 c AS (SELECT conv_id, turn, list_transform(range(0, len(w), 30), lambda i: array_to_string(w[i + 1:i + 40], ' ')) AS chunks FROM w)
