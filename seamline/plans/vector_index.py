@@ -164,7 +164,7 @@ def _closest(k: int):
     return run
 
 
-def build(vectors: DataFrame, key: str, vector: str, path: str, cells: int | None = None, k: int = 10, recall: float = 0.95, seed: int = 42) -> VectorIndex:
+def build(vectors: DataFrame, key: str, vector: str, path: str, cells: int | None = None, k: int = 10, recall: float = 0.98, seed: int = 42) -> VectorIndex:
     """Learn cells, write all rows below them, and measure how many cells to probe for ``recall`` of the k nearest.
 
     By default there are as many cells as the square root of the rows. They are learned

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,17 +97,60 @@ def indicator_points(responses: DataFrame) -> DataFrame:
     )
 
 
+RECORD = "array<struct<key:string,period:string,value:double,unit:string>>"
+INDICATORS = "map<string,map<string,array<struct<year:bigint,value:double>>>>"
+#: Of each array-shaped feed: where its records lie, their type, and what is wrong when they aren't there.
+ROUTES = {
+    "IEA": ("$.data", POINTS, "No data in response"), "EIA": ("$.response.data", SERIES_POINTS, "No data in response"),
+    "WorldBank": ("$[1]", BANK_POINTS, "Invalid data format"), "UNComtrade": ("$.data", TRADE_POINTS, "No data in response"),
+}
+
+
+def _record(key: Column, period: Column, value: Column, unit: Column) -> Column:
+    return F.struct(*_uniform(key, period, value, unit))
+
+
+RECORDS: dict[str, Callable[[Column], Column]] = {
+    "IEA": lambda item: _record(item["country"], item["year"], item["value"], item["unit"]),
+    "EIA": lambda item: _record(item["seriesId"], item["period"], item["value"], item["units"]),
+    "WorldBank": lambda item: _record(item["country"]["id"], item["date"], item["value"], item["unit"]),
+    "UNComtrade": lambda item: _record(item["reporterCode"], item["period"], item["tradeValue"], item["flowCode"]),
+}
+
+
+def parsed(responses: DataFrame) -> DataFrame:
+    """Each response parsed once, as a variant; null where its text isn't JSON."""
+    return responses.withColumn("_v", F.try_parse_json("data"))
+
+
+def routed(responses: DataFrame) -> DataFrame:
+    """(source, key, period, value, unit, error) of all feeds, in one pass over the responses.
+
+    Every response is parsed once; its source says which records are taken out of it.
+    A response without them gives one error row, an empty list none.
+    """
+    by_indicator = F.flatten(F.transform(
+        F.map_entries(F.try_variant_get("_v", "$.values", INDICATORS)),
+        lambda i: F.flatten(F.transform(F.map_entries(i["value"]), lambda c: F.transform(c["value"], lambda p: _record(c["key"], p["year"], p["value"], i["key"])))),
+    ))
+    items, missing = F.when(F.col("source") == "IMF", by_indicator.cast(RECORD)), F.when(F.lit(False), "")
+    for source, (path, kind, error) in ROUTES.items():
+        found = F.transform(F.try_variant_get("_v", path, kind), RECORDS[source])
+        items, missing = items.when(F.col("source") == source, found.cast(RECORD)), missing.when(F.col("source") == source, error)
+    rows = parsed(responses).select("source", items.alias("_items"), missing.alias("_missing"))
+    flat = rows.select("source", F.explode_outer("_items").alias("r"), F.when(F.col("_items").isNull(), F.col("_missing")).alias("error"))
+    return flat.where(F.col("r").isNotNull() | F.col("error").isNotNull()).select("source", "r.*", "error")
+
+
+def quarantined(responses: DataFrame) -> DataFrame:
+    """Responses whose text isn't JSON, as they came, with the reason."""
+    bad = parsed(responses).where(F.col("_v").isNull()).drop("_v")
+    return bad.withColumn("reason", F.when(F.col("data").isNull(), "no text").otherwise("not JSON"))
+
+
 def merged_records(responses: DataFrame) -> DataFrame:
     """Records of all sources; a source that fails contributes only its error rows."""
-    frames = [uniform_records(responses, s) for s in ("IEA", "EIA", "WorldBank", "UNComtrade")]
-    imf = indicator_points(responses).select(
-        "source", *_uniform(F.col("country"), F.col("year"), F.col("value"), F.col("indicator")),
-        F.lit(None).cast("string").alias("error"),
-    )
-    out = imf
-    for frame in frames:
-        out = out.unionByName(frame)
-    return out
+    return routed(responses)
 
 
 def request_plan(countries: DataFrame, years: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from seamline import fixed
@@ -11,7 +12,7 @@ from seamline.functions import numeric
 from seamline.operators import aggregates as agg
 from seamline.operators import relational as rel
 from seamline.operators import windows as win
-from seamline.plans import features, models, scenarios
+from seamline.plans import attribution, features, models, scenarios, tree_search
 from seamline.workloads import standins as st
 from seamline.workloads.aggregations import WEIGHTED_SQL
 from seamline.workloads.registry import query
@@ -73,6 +74,15 @@ def hold_out_and_folds(spark, sf):
 
 @query("m05_parameter_search")
 def parameter_search(spark, sf):
+    """Forests of each number of trees, depth and leaf size, in expanding folds of the ship dates."""
+    data = _learning(spark, sf)
+    return tree_search.forest_search(
+        data, INPUTS, "label", ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"], trees=[5, 10, 20], depths=[4, 6, 8], leaf_sizes=[1, 4, 16], splits=3
+    )
+
+
+@query("m05_linear_search")
+def linear_search(spark, sf):
     data = _learning(spark, sf).select("l_shipdate", "l_orderkey", "l_linenumber", "features", "label")
     found = models.time_ordered_search(
         lambda: models.linear("label"), {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 1.0]}, data,
@@ -149,7 +159,39 @@ def feature_attribution(spark, sf):
 def tree_attribution(spark, sf):
     data = _learning(spark, sf)
     model = models.forest("label", trees=TREES, depth=DEPTH).fit(data.where("NOT is_validation"))
-    return models.tree_attribution(model, data.where("is_validation"), ["l_orderkey", "l_linenumber"], INPUTS)
+    return attribution.shapley_values(model, data.where("is_validation"), ["l_orderkey", "l_linenumber"], INPUTS)
+
+
+@query("m09_shapley_additivity", """
+SELECT l_orderkey, l_linenumber, 4::BIGINT AS features, 0.0::DOUBLE AS gap FROM lineitem WHERE l_orderkey % 5 = 0
+GROUP BY l_orderkey, l_linenumber, l_quantity, l_discount, l_tax
+""", digits=9)
+def shapley_additivity(spark, sf):
+    """Base value and contributions of each row, against what the model itself predicts."""
+    data = _learning(spark, sf)
+    model = models.forest("label", trees=TREES, depth=DEPTH).fit(data.where("l_orderkey % 5 <> 0"))
+    rows = data.where("l_orderkey % 5 = 0").withColumn("row", F.xxhash64(*INPUTS)).dropDuplicates(["l_orderkey", "l_linenumber", "row"])
+    keys = ["l_orderkey", "l_linenumber", "row"]
+    added = attribution.shapley_values(model, rows, keys, INPUTS).groupBy(*keys).agg(
+        F.count("*").alias("features"), (F.sum("contribution") + F.first("base_value")).alias("total")
+    )
+    gap = F.abs(F.col("total") - F.col("prediction"))
+    return added.join(model.transform(rows).select(*keys, "prediction"), keys).select("l_orderkey", "l_linenumber", "features", gap.alias("gap"))
+
+
+@query("m09_stump_attribution", """
+WITH d AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS label, CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS large FROM lineitem),
+m AS (SELECT large, avg(label) AS mean FROM d GROUP BY large), b AS (SELECT avg(label) AS base FROM d)
+SELECT l_orderkey, l_linenumber, 'large' AS feature, round(mean - base, 6) AS contribution, round(base, 6) AS base_value, round(mean, 6) AS prediction FROM d JOIN m USING (large), b
+""")
+def stump_attribution(spark, sf):
+    """One split on a flag: its contribution is the group's mean less the overall mean."""
+    flagged = st.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("label"), (F.col("l_quantity") > 25).cast("double").alias("large")
+    )
+    data = models.assembled(flagged, ["large"])
+    model = DecisionTreeRegressor(labelCol="label", maxDepth=1, seed=1).fit(data)
+    return attribution.shapley_values(model, data, ["l_orderkey", "l_linenumber"], ["large"])
 
 
 @query("m10_partial_pooling", """

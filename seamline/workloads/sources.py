@@ -38,9 +38,14 @@ UNION ALL SELECT 'IMF', country, CAST(y AS VARCHAR), n, 'ENDA', NULL FROM p)
 
 @query("a02_flattened_payloads", FLAT_SQL + "SELECT * FROM flat WHERE source IN ('IEA', 'EIA', 'WorldBank')")
 def flattened_payloads(spark, sf):
-    responses = st.feed_payloads(spark, sf)
-    iea, eia, bank = (feeds.uniform_records(responses, s) for s in ("IEA", "EIA", "WorldBank"))
-    return iea.unionByName(eia).unionByName(bank)
+    return feeds.routed(_landed(spark, sf).where(F.col("source").isin("IEA", "EIA", "WorldBank")))
+
+
+def _landed(spark, sf):
+    """The responses, landed once and read back."""
+    path = scratch(spark, "responses")
+    feeds.land(st.feed_payloads(spark, sf), path)
+    return feeds.read_landed(spark, path)
 
 
 @query("a03_nested_map_payload", FLAT_SQL + """SELECT source, unit AS indicator, key AS country, CAST(period AS BIGINT) AS year, value
@@ -52,10 +57,21 @@ def nested_map_payload(spark, sf):
 @query("a04_merged_sources", FLAT_SQL + """SELECT source, count(*) FILTER (error IS NULL) AS records,
   count(error) AS failures FROM flat GROUP BY source""")
 def merged_sources(spark, sf):
-    merged = feeds.merged_records(st.feed_payloads(spark, sf))
+    merged = feeds.merged_records(_landed(spark, sf))
     return merged.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("records"), F.count("error").alias("failures"))
 
 
+@query("a04_quarantined_responses", """
+WITH broken AS (SELECT source, country, year, CASE WHEN length(data) % 3 = 0 THEN data[1:length(data) - 2] WHEN length(data) % 7 = 0 THEN NULL ELSE data END AS data FROM feed_payloads)
+SELECT source, country, year, data, CASE WHEN data IS NULL THEN 'no text' ELSE 'not JSON' END AS reason FROM broken WHERE data IS NULL OR NOT json_valid(data)
+""")
+def quarantined_responses(spark, sf):
+    """Responses of which some arrive cut off or without a text."""
+    size = F.length("data")
+    broken = F.when(size % 3 == 0, F.substring(F.col("data"), F.lit(1), size - 2)).when(size % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("data"))
+    return feeds.quarantined(st.feed_payloads(spark, sf).select("source", "country", "year", broken.alias("data")))
+
+
 def _values(items):
     return ", ".join(f"('{i}')" for i in items)
 

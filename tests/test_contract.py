@@ -12,7 +12,7 @@ ROOT = Path(entry.__file__).parent
 
 # Estimators, sketches, and the error function have no SQL form.
 WITHOUT_TWIN = {
-    "m02_boosted_regression", "m03_forest_and_linear", "m04_hold_out_and_folds", "m05_parameter_search", "m06_fitted_ensemble",
+    "m02_boosted_regression", "m03_forest_and_linear", "m04_hold_out_and_folds", "m05_parameter_search", "m05_linear_search", "m06_fitted_ensemble",
     "m08_tree_spread", "m09_tree_attribution", "t06_approximate_nearest",
 }
 
