@@ -25,6 +25,14 @@ def bronze(responses: DataFrame, source: str, ingested_at: Column, version: str)
     )
 
 
+def bronze_of_all(responses: DataFrame, ingested_at: Column, version: str, folder: str) -> DataFrame:
+    """Records of all sources with load metadata, stored by source in one pass; error rows are left out."""
+    records = feeds.routed(responses).where("error IS NULL").drop("error")
+    stamped = records.select("*", F.lower("source").alias("source_name"), ingested_at.alias("ingest_date"), F.lit(version).alias("data_version"))
+    stamped.write.mode("overwrite").partitionBy("source_name").parquet(folder)
+    return records.sparkSession.read.schema(stamped.schema).parquet(folder)
+
+
 def silver(table: DataFrame, factors: dict[str, float]) -> DataFrame:
     """Duplicates dropped, types enforced by suffix, units converted by column."""
     return rel.scale_columns(rel.type_by_suffix(table.dropDuplicates()), factors)

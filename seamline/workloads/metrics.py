@@ -111,13 +111,10 @@ def user_formula(spark, sf):
 
 
 @query("p04_raw_to_bronze", FLAT_SQL + """SELECT source, key, period, value, unit, lower(source) AS source_name,
-  TIMESTAMP '2024-01-31 06:00:00' AS ingest_date, 'v1' AS data_version FROM flat WHERE source IN ('IEA', 'EIA') AND error IS NULL""")
+  TIMESTAMP '2024-01-31 06:00:00' AS ingest_date, 'v1' AS data_version FROM flat WHERE error IS NULL""")
 def raw_to_bronze(spark, sf):
-    responses = st.feed_payloads(spark, sf)
-    folder = scratch(spark, "bronze")
     at = dates.stamp("2024-01-31 06:00:00")
-    stored = [medallion.store(medallion.bronze(responses, s, at, "v1"), folder, f"raw_{s.lower()}_raw_data") for s in ("IEA", "EIA")]
-    return stored[0].unionByName(stored[1])
+    return medallion.bronze_of_all(st.feed_payloads(spark, sf), at, "v1", scratch(spark, "bronze"))
 
 
 def _bronze_orders(spark, sf):
