@@ -13,7 +13,7 @@ once, Spark sums them by pair and takes the highest of each B id, and joins the
 to the slices. What crosses the network grows with the slices and their different pairs,
 not with the links, and a pair that all documents hold comes once a slice.
 
-Encoding is done once and its result written to the shared folder. A task holds an Arrow
+Encoding is done once; slices are written to the shared folder. A task holds an Arrow
 batch and one slice; the largest text a task can take is the one whose token lists fit its
 memory (about 60 bytes a byte of text while it is encoded).
 
@@ -26,11 +26,13 @@ ordinary text. Other columns are never read. An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +41,19 @@ from seamline.llm import common as C
 from seamline.llm.tokens import byte_bpe, piece_bpe
 from seamline.session import scratch
 
-LINKS = 2_000_000
+#: Links of a slice; text bytes that are encoded in one step. A longer text is taken alone.
+LINKS, ENCODED = 500_000, 1 << 18
 
 
-def sliced(a_lengths, b_lengths) -> tuple[list[int], list[int]]:
-    """Sizes in tokens of the groups that common byte ends cut, from the byte lengths of both lists."""
-    a_at = {end: k for k, end in enumerate(accumulate(a_lengths), 1)}
-    b_at = {end: k for k, end in enumerate(accumulate(b_lengths), 1)}
+def sliced(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes in tokens of the groups that common byte ends cut."""
+    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
     common = sorted(a_at.keys() & b_at.keys())
-    a_cuts, b_cuts = [a_at[e] for e in common], [b_at[e] for e in common]
-    return [y - x for x, y in zip([0, *a_cuts], a_cuts)], [y - x for x, y in zip([0, *b_cuts], b_cuts)]
+    if len(common) < 2:  # the end of the text is always common
+        return np.array([len(a_ends)], np.int32), np.array([len(b_ends)], np.int32)
+    taken = itemgetter(*common)
+    a_cuts, b_cuts = (np.frombuffer(array("i", taken(at)), np.int32) for at in (a_at, b_at))
+    return np.diff(a_cuts, prepend=np.int32(0)), np.diff(b_cuts, prepend=np.int32(0))
 
 
 class Aligner:
@@ -58,21 +63,29 @@ class Aligner:
         self.a, self.b = byte_bpe(a_path), piece_bpe(b_path)
         if not all(self.a.bytes) or not all(self.b.bytes):
             raise ValueError("a vocabulary has an empty token")
-        self.a_length, self.b_length = list(map(len, self.a.bytes)), list(map(len, self.b.bytes))
+        self.a_length, self.b_length = (np.array(list(map(len, t.bytes))) for t in (self.a, self.b))
 
-    def align(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-        none: tuple = ([], [], [], [])
-        if not text:
-            return none
-        a, b, whole = self.a.encode(" " + text), self.b.encode(text), b" " + text.encode()
-        if any(b"".join(map(t.bytes.__getitem__, ids)) != whole for t, ids in ((self.a, a), (self.b, b))):
-            return none
-        return a, b, *sliced(map(self.a_length.__getitem__, a), map(self.b_length.__getitem__, b))
+    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and B and the groups' sizes in both, all empty for a text without tokens."""
+        if text:
+            a, b, whole = self.a.encode(" " + text), self.b.encode(text), b" " + text.encode()
+            a_ids, b_ids = (np.frombuffer(array("i", ids), np.int32) for ids in (a, b))
+            a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
+            # A byte-level vocabulary always spells the text; pieces may not.
+            if a_ends[-1] == b_ends[-1] == len(whole) and (self.b.spells(text) or b"".join(map(self.b.bytes.__getitem__, b)) == whole):
+                return a_ids, b_ids, *sliced(a_ends.tolist(), b_ends.tolist())
+        return (np.zeros(0, np.int32),) * 4
 
 
-def _lists(lists: list[list[int]]) -> pa.Array:
-    flat = np.fromiter((x for part in lists for x in part), np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32()), pa.array(flat, pa.int32()))
+    def steps(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple]]]:
+        """Ranges of a text column of about ``ENCODED`` bytes each, with what ``align`` gives for their texts."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for i, j in C.slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), ENCODED):
+            yield i, j, [self.align(t) for t in texts.slice(i, j - i).to_pylist()]
+
+
+def _lists(lists: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
 
 
 LISTS = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
@@ -82,9 +95,7 @@ def _aligned(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_path, b_path)
         for batch in batches:
-            at = C.text_buffer(batch.column(1))[1]
-            for i, j in C.slices(at):
-                done = [aligner.align(t) for t in batch.column(1).slice(i, j - i).to_pylist()]
+            for i, j, done in aligner.steps(batch.column(1)):
                 yield pa.record_batch([batch.column(0).slice(i, j - i), *map(_lists, zip(*done))], names=["_id", *LISTS])
 
     return run
@@ -97,61 +108,76 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id") -> Dat
     return docs.select(F.col(key).alias("_id"), "text").mapInArrow(_aligned(a_path, b_path), f"_id {kind}, {fields}").withColumnRenamed("_id", key)
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column and where each row starts."""
-    at = column.offsets.to_numpy()
-    return column.values.to_numpy()[at[0] : at[-1]], (at - at[0]).astype(np.int64)
+def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each id below ``most`` followed by ``,``, ``|``, ``;`` and nothing, and how many they are."""
+    names = [b"%d%s" % (k, end) for k in range(most) for end in (b",", b"|", b";", b"")]
+    return np.array(names).view(np.uint8).reshape(len(names), -1), np.array(list(map(len, names)))
 
 
-def spelled(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, group_at: np.ndarray, names: list[bytes]) -> list[str]:
-    """Hash of ``a1,a2|b1;a3|b2,b3`` of each row. ``names`` has each id followed by ``,``, ``|``, ``;`` and nothing."""
-    groups = np.arange(len(a_sizes))
+def spelled(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, group_at: np.ndarray, names: tuple[np.ndarray, np.ndarray]) -> list[str]:
+    """Hash of ``a1,a2|b1;a3|b2,b3`` of each row; ``names`` as ``decimals`` gives them."""
     a_end, b_end = np.cumsum(a_sizes), np.cumsum(b_sizes)
     a_mark, b_mark = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     a_mark[a_end - 1], b_mark[b_end - 1] = 1, 2
     rows = np.flatnonzero(np.diff(group_at))
     b_mark[b_end[group_at[rows + 1] - 1] - 1] = 3
     order = np.empty(len(a) + len(b), np.int64)
-    order[np.arange(len(a)) + np.repeat((b_end - b_sizes)[groups], a_sizes)] = a * 4 + a_mark
-    order[np.arange(len(b)) + np.repeat(a_end[groups], b_sizes)] = b * 4 + b_mark
-    cut = np.concatenate([[0], a_end + b_end])[group_at]
-    return [hashlib.sha256(b"".join(map(names.__getitem__, order[x:y].tolist()))).hexdigest() if y > x else "" for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    order[np.arange(len(a)) + np.repeat(b_end - b_sizes, a_sizes)] = a.astype(np.int64) * 4 + a_mark
+    order[np.arange(len(b)) + np.repeat(a_end, b_sizes)] = b.astype(np.int64) * 4 + b_mark
+    letters, length = names[0], names[1][order]
+    text = letters[order][np.arange(letters.shape[1]) < length[:, None]]
+    cut = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], a_end + b_end])[group_at]]
+    return [hashlib.sha256(text[x:y]).hexdigest() if y > x else "" for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 PAIR = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-def _parts(links: int):
+def _one(values: pa.Array) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _part(number: int, ids: list[pa.Array], done: list[tuple], names: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """One slice: its documents' numbers, its different pairs, and which pair each link is."""
+    (a, b, a_sizes, b_sizes), (n_a, n_b, n_groups, _) = ([f(x) for x in zip(*done)] for f in (np.concatenate, lambda x: np.array(list(map(len, x)), np.int64)))
+    last_a, last_b = a[np.cumsum(a_sizes) - 1].astype(np.int64), b[np.cumsum(b_sizes) - 1].astype(np.int64)
+    pairs, which, n = np.unique(last_a << 32 | last_b, return_inverse=True, return_counts=True)
+    pair = pa.StructArray.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], fields=list(PAIR))
+    hashes = pa.array(spelled(a, b, a_sizes, b_sizes, np.concatenate([[0], np.cumsum(n_groups)]), names), pa.string())
+    docs = pa.StructArray.from_arrays([pa.concat_arrays(ids), *map(pa.array, (n_a, n_b, n_groups, n_groups)), hashes], names=["id", *NUMBERS, "groups"])
+    return pa.record_batch([pa.array([number], pa.int64()), _one(docs), _one(pair), pa.array([which.astype("<u4").tobytes()], pa.binary())], names=["slice", "docs", "pairs", "which"])
+
+
+def _parts(a_path: str, b_path: str, links: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, names = TaskContext.get().partitionId() << 33, []
+        aligner, number = Aligner(a_path, b_path), TaskContext.get().partitionId() << 33
+        names = decimals(max(len(aligner.a.bytes), len(aligner.b.bytes)))
+        ids, done, held = [], [], 0
         for batch in batches:
-            ids, flat = batch.column(0), [_flat(batch.column(c)) for c in LISTS]
-            for i, j in C.slices(flat[2][1], links):
-                (a, a_at), (b, b_at), (a_sizes, group_at), (b_sizes, _) = [(v[at[i] : at[j]].astype(np.int64), at[i : j + 1] - at[i]) for v, at in flat]
-                most = int(max(a.max(initial=-1), b.max(initial=-1))) + 1
-                names.extend(b"%d%s" % (k, end) for k in range(len(names) // 4, most) for end in (b",", b"|", b";", b""))
-                pairs, which, n = np.unique(a[np.cumsum(a_sizes) - 1] << 32 | b[np.cumsum(b_sizes) - 1], return_inverse=True, return_counts=True)
-                pair = pa.StructArray.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], fields=list(PAIR))
-                counts = [np.diff(a_at), np.diff(b_at), np.diff(group_at), np.diff(group_at)]
-                own = [ids.slice(i, j - i), *map(pa.array, counts), pa.array(spelled(a, b, a_sizes, b_sizes, group_at, names), pa.string())]
-                docs = pa.StructArray.from_arrays(own, names=["id", *NUMBERS, "groups"])
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.record_batch([pa.array([number], pa.int64()), one(docs), one(pair), pa.array([which.astype("<u4").tobytes()], pa.binary())], names=["slice", "docs", "pairs", "which"])
-                number += 1
+            for i, j, part in aligner.steps(batch.column(1)):
+                ids.append(batch.column(0).slice(i, j - i))
+                done += part
+                held += sum(len(x[2]) for x in part)
+                if held >= links:
+                    yield _part(number, ids, done, names)
+                    ids, done, held, number = [], [], 0, number + 1
+        if done:
+            yield _part(number, ids, done, names)
 
     return run
 
 
-def slices(aligned: DataFrame, key: str = "doc_id", links: int = LINKS) -> DataFrame:
+def slices(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", links: int = LINKS) -> DataFrame:
     """Slices of documents: their numbers, their different pairs with counts, and which pair each link is.
 
     The numbering belongs to the run, so the result is written once and read again.
     """
-    spark, kind = aligned.sparkSession, aligned.schema[key].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     schema = f"slice long, docs array<struct<id: {kind}, {', '.join(f'{c}: long' for c in NUMBERS)}, `groups`: string>>, pairs array<struct<a: int, b: int, n: long>>, which binary"
     path = scratch(spark, "slices")
-    aligned.select(key, *LISTS).mapInArrow(_parts(links), schema).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col(key).alias("_id"), "text").mapInArrow(_parts(a_path, b_path, links), schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -180,7 +206,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(docs: DataFrame, a_path: str, b_path: str, links: int = LINKS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = slices(align(docs, a_path, b_path), links=links)
+    parts = slices(docs, a_path, b_path, links=links)
     rows = parts.select("slice", F.posexplode("pairs").alias("place", "p")).select("slice", "place", "p.a", "p.b")
     known = rows.join(pair_counts(parts), ["a", "b"]).groupBy("slice").agg(F.collect_list(F.struct("place", "n", "best")).alias("counts"))
     whole = parts.select("slice", "docs", "which").join(known, "slice", "left")

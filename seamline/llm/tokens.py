@@ -54,6 +54,24 @@ class PieceBPE:
             bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())
         ]
         self.encode = lambda text: model.encode(text, num_threads=1)
+        self.exact = not any(model.is_unused(i) for i in range(model.get_piece_size())) and all(bytes([b]) in self.bytes for b in range(256)) and _keeps_text(path)
+
+    def spells(self, text: str) -> bool:
+        """Whether the pieces of a text are sure to spell it: nothing is rewritten but U+2581, which stands for a space."""
+        return self.exact and "\u2581" not in text
+
+
+def _keeps_text(path: str) -> bool:
+    """Whether the model says that it rewrites nothing and spells unknown characters byte by byte."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2 as pb
+    except Exception:  # noqa: BLE001 - without the message type nothing is known, and texts are compared
+        return False
+    spec = pb.ModelProto()
+    with open(path, "rb") as f:
+        spec.ParseFromString(f.read())
+    rule = spec.normalizer_spec
+    return rule.name == "identity" and not rule.precompiled_charsmap and not rule.remove_extra_whitespaces and spec.trainer_spec.byte_fallback
 
 
 @lru_cache(maxsize=4)
