@@ -36,6 +36,15 @@ def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("_row"), *columns)
 
 
+def quoted(name: str) -> Column:
+    """A column by its very name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_struct(columns: list[str]) -> Column:
+    return F.struct(*map(quoted, columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -208,6 +208,6 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold an item."""
     found = hits(docs, benchmark).select("_row").distinct()
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), C.as_struct(docs.columns).alias("_doc"))
     left = numbered.join(found.hint("shuffle_hash"), "_row", "left_anti")
     return left.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

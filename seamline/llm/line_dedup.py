@@ -121,7 +121,7 @@ def applied(rows: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = L
 
 def trimmed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with the lines kept; ``n_chars``, where there is one, follows a changed text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), C.quoted(key).alias("_id"), "text", C.as_struct(docs.columns).alias("_rest"))
     own = {c: F.col("_rest").getField(c) for c in docs.columns} | {"text": F.col("kept")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])

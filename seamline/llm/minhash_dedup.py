@@ -244,6 +244,6 @@ def digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group: the one with the smallest id."""
     first = groups(docs, percent).where("first").select("_row")
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), C.as_struct(docs.columns).alias("_doc"))
     kept = numbered.join(first.hint("shuffle_hash"), "_row", "left_semi")
     return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamline.llm import common as C
 
@@ -321,7 +322,10 @@ def trimmed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     ``n_chars``, where there is one, follows a changed text.
     """
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "text", F.struct(F.lit(0).alias("_none"), *others).alias("_rest"))
+    filler = "_none"  # a struct needs a field
+    while filler in others:
+        filler += "_"
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "text", F.struct(F.lit(0).alias(filler), *map(C.quoted, others)).alias("_rest"))
 
     def run(batches):
         for batch in batches:
@@ -330,7 +334,7 @@ def trimmed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             yield pa.record_batch([pa.array([o[2] for o in out], pa.string()), pa.array([o[1] > 0 for o in out], pa.bool_()), batch.column("_rest")], names=["text", "_cut", "_rest"])
 
     joined = joined_spans(rows, repeated_spans(rows.select("_row", "text"), window, gram)).select("text", "_spans", "_rest")
-    done = joined.mapInArrow(run, f"text string, _cut boolean, _rest {joined.schema['_rest'].dataType.simpleString()}")
+    done = joined.mapInArrow(run, T.StructType().add("text", "string").add("_cut", "boolean").add("_rest", joined.schema["_rest"].dataType))
     own = {c: F.col("_rest").getField(c) for c in others} | {"text": F.col("text")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])

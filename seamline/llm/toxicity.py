@@ -276,6 +276,6 @@ NAMES = tuple(k.replace(" ", "_") for k in KINDS)
 def remove(docs: DataFrame, labels: DataFrame, usable: Column, least: float = 0.5) -> DataFrame:
     """``docs`` without those that score ``least`` or more."""
     bad = score(docs, labels, usable).where(F.col("score") >= least).select("_row")
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), C.as_struct(docs.columns).alias("_doc"))
     left = numbered.join(bad.hint("shuffle_hash"), "_row", "left_anti")
     return left.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
