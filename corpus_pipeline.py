@@ -52,7 +52,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: Learned scores and tokens have no SQL twin; tests hold each stage against brute force.
+#: Learned scores and tokens have no SQL twin. Tests hold the operators against brute force, and
+#: the stages against them by rows and columns.
 ORACLE_SQL = None
 
 
