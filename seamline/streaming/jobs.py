@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from seamline.operators.relational import first_per_key
 from seamline.operators.segments import nearest_rank, range_segments
@@ -66,44 +68,75 @@ def slow_windows(counts: DataFrame, percent: int = 95) -> DataFrame:
     return requests.join(ranked, "window_start", "left").select("window_start", "p95", "requests")
 
 
-def _spaced(keys: list[str], ts: str, tie: str, columns: list[str], gap: pd.Timedelta):
-    """Rows of a key that come more than ``gap`` after the last kept one, in order of time."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(frames).sort_values([ts, tie], ignore_index=True)
-        times = rows[ts].to_numpy("datetime64[us]").astype("int64")
-        width = gap // pd.Timedelta(microseconds=1)
-        at = times.searchsorted(state.get[0] + width, "right") if state.exists else 0
-        kept = []
-        while at < len(times):
-            kept.append(at)
-            at = times.searchsorted(times[at] + width, "right")
-        if kept:
-            last = int(times[kept[-1]])
-            state.update((last,))
-        else:
-            last = state.get[0]
-        state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield rows.loc[kept, columns]
+def _spaced(keys: list[str], ts: str, columns: list[str], gap: int):
+    """Rows of sorted Arrow batches that come more than ``gap`` microseconds after the last kept one of their key.
+
+    A task goes through its rows once: a batch and the last kept time are all it holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, None  # key and last kept time of the row before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            named = [batch[k] for k in keys]
+            same = np.ones(batch.num_rows, bool)
+            for values in named:
+                earlier, later = values[:-1], values[1:]
+                none = pc.and_(pc.is_null(earlier), pc.is_null(later))
+                same[1:] &= pc.or_(pc.fill_null(pc.equal(earlier, later), False), none).to_numpy(zero_copy_only=False)
+            same[0] = tuple(v[0].as_py() for v in named) == before
+            times = batch[ts].cast(pa.timestamp("us")).to_numpy(zero_copy_only=False).astype("int64").tolist()
+            kept = []
+            for i, (goes_on, asked, t) in enumerate(zip(same.tolist(), batch["_asked"].to_pylist(), times)):
+                if not goes_on:
+                    last = None
+                if not asked:
+                    last = t
+                elif last is None or t > last + gap:
+                    last = t
+                    kept.append(i)
+            before = tuple(v[-1].as_py() for v in named)
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
 
     return run
 
 
-def suppress_repeats(requests: DataFrame, keys: list[str], ts: str, tie: str, within: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+def suppress_repeats(
+    requests: DataFrame, keys: list[str], ts: str, tie: str, out: str, checkpoint: str, within: str = "5 minutes", late: str = "10 minutes"
+) -> None:
     """Drop a request that comes within a span of the last kept one of its key.
 
-    The state of a key is the time of its last kept request; it is dropped once
-    the watermark is past that span, so state holds live keys only.
+    The state is a table of the last kept time by key, a generation a micro-batch. Its rows go
+    first among those of their key, and the rows of a task are gone through in order. A batch
+    reads the generation before its own, so a replay comes to the same. Rows older than the
+    newest time of earlier batches by more than ``late`` are dropped, and a key leaves the
+    state once no row that is still let in could repeat its last one.
     """
-    columns = requests.columns
-    timed = runner.timed(requests, ts, late)
-    return timed.groupBy(*keys).applyInPandasWithState(
-        _spaced(keys, ts, tie, columns, pd.Timedelta(within)), outputStructType=timed.schema, stateStructType="kept long",
-        outputMode="append", timeoutConf="EventTimeTimeout",
-    )
+    spark, state = requests.sparkSession, f"{out}-state"
+    gap, wait = pd.Timedelta(within) // pd.Timedelta(microseconds=1), F.expr(f"INTERVAL {late}")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull())
+        columns, kind = rows.columns, rows.schema
+        newest, asked = rows.agg(F.max(ts)), rows.withColumn("_asked", F.lit(True))
+        held = None
+        if batch_id:
+            held = spark.read.parquet(f"{state}/batch_id={batch_id - 1}")
+            seen = held.agg(F.max("_newest")).scalar()
+            newest = newest.unionByName(held.agg(F.max("_newest").alias(newest.columns[0])))
+            asked = asked.where(F.coalesce(F.col(ts) > seen - wait, F.lit(True)))
+            asked = asked.unionByName(held.select(*keys, ts, F.lit(False).alias("_asked")), allowMissingColumns=True)
+        ordered = asked.repartition(*keys).sortWithinPartitions(*keys, "_asked", ts, tie)
+        ordered.mapInArrow(_spaced(keys, ts, columns, gap), kind).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        kept = spark.read.schema(kind).parquet(f"{out}/batch_id={batch_id}").select(*keys, ts)
+        newest = newest.agg(F.max(newest.columns[0])).scalar()
+        latest = (kept if held is None else kept.unionByName(held.select(*keys, ts))).groupBy(*keys).agg(F.max(ts).alias(ts))
+        live = latest.withColumn("_newest", newest).where(F.col(ts) + F.expr(f"INTERVAL {within}") > F.col("_newest") - wait)
+        live.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        runner.forget(spark, f"{state}/batch_id={batch_id - 2}")
+
+    runner.run_available(requests, checkpoint, step)
 
 
 def keep_latest(features: DataFrame, key: str, order: list[str], days: int, out: str, checkpoint: str) -> None:

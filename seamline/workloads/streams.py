@@ -133,7 +133,7 @@ def suppressed(spark, events, cuts):
         part = events if since is None else events.where(F.col("ts") >= since)
         _land(part if until is None else part.where(F.col("ts") < until), run.landing)
         stream = runner.stream_files(spark, run.landing, events.schema)
-        runner.append_all(jobs.suppress_repeats(stream, ["user_id", "event_type"], "ts", "event_id"), run.out, run.checkpoint)
+        jobs.suppress_repeats(stream, ["user_id", "event_type"], "ts", "event_id", run.out, run.checkpoint)
     return runner.read_appended(spark, run.out)
 
 

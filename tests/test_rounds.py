@@ -12,6 +12,7 @@ from seamline.functions import dates
 from seamline.operators import windows as win
 from seamline.operators.relational import first_per_key
 from seamline.sources.landed import LandedFeed
+from seamline.streaming import jobs, runner
 from seamline.workloads import standins as st
 from seamline.workloads.registry import QUERIES, canonical
 from seamline.plans import weights
@@ -41,6 +42,22 @@ def test_suppressed_requests_do_not_depend_on_batches(spark, sf):
         assert {r.event_id for r in suppressed(spark, events, cuts).collect()} == want, parts
 
 
+def test_suppression_keeps_its_state_in_a_table_of_live_keys(spark, tmp_path):
+    """Null keys are a key, late rows repeat nothing, and state holds live keys only."""
+    base, out = dates.stamp("2024-01-01"), str(tmp_path / "out")
+    landings = [[(0, 0, "a"), (1, 0, None), (2, 299, None), (3, 301, None), (4, 5000, "b")], [(5, 5000, "a"), (6, 4999, "b"), (7, 10, "c"), (8, 5301, "b")]]
+    for rows in landings:
+        events = spark.createDataFrame(rows, "event_id long, s long, user_id string").select(
+            "event_id", (base + F.make_dt_interval(secs=F.col("s"))).cast("timestamp").alias("ts"), "user_id"
+        )
+        events.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = runner.stream_files(spark, str(tmp_path / "in"), events.schema)
+        jobs.suppress_repeats(stream, ["user_id"], "ts", "event_id", out, str(tmp_path / "checkpoint"))
+        live = {r.user_id for r in spark.read.parquet(f"{out}-state").where("batch_id = 0").collect()}
+        assert live == {"b"}
+    assert {r.event_id for r in runner.read_appended(spark, out).collect()} == {0, 1, 3, 4, 5, 8}
+
+
 @pytest.mark.parametrize("name", ["b03_date_range_and_freshness", "p09_historical_features", "p10_online_features"])
 def test_dates_reach_the_scan(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
