@@ -110,27 +110,27 @@ def percent_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     return join_null_safe(df, ranked, [*keys, value])
 
 
-def expanding_folds(df: DataFrame, order: list[str], n_splits: int) -> DataFrame:
-    """Time-ordered folds: each row once per fold, as train or test.
+def time_blocks(df: DataFrame, order: list[str], n_splits: int) -> DataFrame:
+    """Each row once with its ``block`` of expanding folds.
 
-    Test blocks have n // (k + 1) rows and sit at the end; everything earlier
-    trains. Rows after a fold's test block are not part of that fold.
+    Fold f (from 0) tests block f + 1 and trains on all blocks before. Test blocks have
+    n // (k + 1) rows and sit at the end; block 0 is what lies before them.
     """
     numbered = global_row_number(df, order, "_n")
     n = df.agg(F.count("*")).scalar()
     size = F.floor(n / (n_splits + 1))
-    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
-    first_test = n - (n_splits - F.col("fold")) * size
-    position = F.col("_n") - 1
-    return (
-        numbered.withColumn("fold", folds)
-        .withColumn(
-            "part",
-            F.when(position < first_test, "train").when(position < first_test + size, "test"),
-        )
-        .where("part IS NOT NULL")
-        .drop("_n")
-    )
+    past = F.col("_n") - 1 - (n - n_splits * size)
+    return numbered.withColumn("block", F.when(past < 0, 0).otherwise(F.floor(F.try_divide(past, size)) + 1).cast("int")).drop("_n")
+
+
+def expanding_folds(df: DataFrame, order: list[str], n_splits: int) -> DataFrame:
+    """Time-ordered folds: each row once per fold, as train or test.
+
+    Rows after a fold's test block are not part of that fold.
+    """
+    blocks = time_blocks(df, order, n_splits).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    part = F.when(F.col("block") <= F.col("fold"), "train").when(F.col("block") == F.col("fold") + 1, "test")
+    return blocks.withColumn("part", part).where("part IS NOT NULL").drop("block")
 
 
 def label_codes(df: DataFrame, column: str, name: str) -> DataFrame:

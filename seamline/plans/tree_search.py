@@ -1,14 +1,18 @@
 """Search over forest parameters on expanding time folds, all parameter sets in shared passes.
 
-Inputs are cut into bins once. All forests of all folds and leaf sizes then grow together,
-one pass over the rows a level: a row finds its node in every tree, each partition adds up
-counts and label sums by node, input and bin, and Spark sums these vectors by node, combining
-before the shuffle. Where to split is decided for each node by the task that holds its sums.
-A forest of fewer trees or levels is the beginning of a larger one, so numbers of trees and
-depths cost no further passes: one last pass scores the test rows of each fold for all.
-
+Inputs are cut into bins once. What a tree is grown from are counts and label sums of equal bins,
+so rows come together first: one pass draws each row's place in every tree's sample and adds up
+draws and labels by block of time and bins (a cell). All forests of all folds and leaf sizes then
+grow together, one pass over the cells a level: a cell finds its node in every tree, each partition
+adds up its sums by node, input and bin, and Spark sums these vectors by node. Where to split is
+decided for each node by the task that holds its sums. A forest of fewer trees or levels is the
+beginning of a larger one, so numbers of trees and depths cost no further passes: one last pass
+scores the test cells of each fold for all, from their counts, means and squared deviations.
+
+There are never more cells than rows, and at most as many as combinations of bins in a block.
 What the driver holds is the splits: folds x leaf sizes x trees x nodes, set by the grid and
-not by the rows. Rows with a null in the label or an input are left out.
+not by the rows; a task holds the sums of as many nodes. Rows with a null in the label or an
+input are left out.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.operators import windows as win
 from seamline.session import cut_lineage
 
 BINS = 32
+#: Rows that a task brings together at once; cells for which a task is worth its sums, and its most.
+CHUNK, LEAST_CELLS, MOST_CELLS, TASKS = 1 << 19, 1 << 13, 1 << 20, 32
 
 
 def thresholds(data: DataFrame, inputs: list[str], bins: int = BINS) -> dict[str, np.ndarray]:
@@ -85,31 +91,63 @@ class Forests:
         return np.where((node >= 0) & (f >= 0), 2 * node + 1 + right, -1)
 
 
-def _level_sums(state: dict, level: int, width: int, inputs: int):
-    """Rows (model, node, sums) of an Arrow batch: counts, then label sums, by input and bin."""
+def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Arrow batches put together until they have ``size`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= size:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _drawn_sums(trees: int, bootstrap: bool):
+    """Rows (block, _bins, sums): draws by tree, then drawn labels by tree, of the rows of a cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _chunks(batches, CHUNK):
+            places = pd.DataFrame(np.stack(rows["_bins"].to_numpy())).assign(block=rows["block"])
+            own = places.groupby(list(places.columns), sort=False).ngroup().to_numpy()
+            first = np.unique(own, return_index=True)[1]
+            y, keys, sums = rows["_y"].to_numpy(), rows["_key"].to_numpy(), np.zeros((len(first), 2 * trees))
+            for t in range(trees):
+                w = draws(keys, t) if bootstrap else np.ones(len(y), np.int64)
+                sums[:, t], sums[:, trees + t] = np.bincount(own, w), np.bincount(own, w * y)
+            yield pd.DataFrame({"block": rows["block"].to_numpy()[first], "_bins": rows["_bins"].to_numpy()[first], "sums": list(sums)})
+
+    return run
+
+
+def _level_sums(state: dict, level: int, width: int, inputs: int, last: bool):
+    """Rows (model, node, sums) of a partition: counts, then label sums, by input and bin; only whole sums at the last level."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forests = Forests.__new__(Forests)
         forests.__dict__.update(state)
-        for rows in batches:
-            for fold, part in rows.groupby("fold"):
-                bins = np.stack(part["_bins"].to_numpy()).astype(np.int64)
-                y, keys = part["_y"].to_numpy(), part["_key"].to_numpy()
-                drawn = [draws(keys, t) if forests.bootstrap else np.ones(len(y), np.int64) for t in range(forests.trees)]
-                place = bins + np.arange(inputs) * width
+        added, slots = {}, 1 if last else inputs * width
+        for cells in batches:
+            for fold, part in cells.groupby("fold"):
+                bins, drawn = np.stack(part["_bins"].to_numpy()).astype(np.int64), np.stack(part["sums"].to_numpy())
+                place = np.zeros((len(bins), 1), np.int64) if last else bins + np.arange(inputs) * width
                 for model in forests.models(fold):
-                    w, node = drawn[model % forests.trees], np.zeros(len(y), np.int64)
+                    w, s = drawn[:, model % forests.trees], drawn[:, forests.trees + model % forests.trees]
+                    node = np.zeros(len(w), np.int64)
                     for _ in range(level):
                         node = forests.step(model, node, bins)
                     there = np.flatnonzero((node >= 0) & (w > 0))
                     if not len(there):
                         continue
-                    nodes, own = np.unique(node[there], return_inverse=True)
-                    at = (own[:, None] * (inputs * width) + place[there]).ravel()
-                    size = len(nodes) * inputs * width
-                    n = np.bincount(at, np.repeat(w[there], inputs), size).reshape(len(nodes), -1)
-                    s = np.bincount(at, np.repeat(w[there] * y[there], inputs), size).reshape(len(nodes), -1)
-                    yield pd.DataFrame({"model": model, "node": nodes, "sums": list(np.hstack([n, s]))})
+                    at = ((node[there] - (1 << level) + 1)[:, None] * slots + place[there]).ravel()
+                    sums = added.setdefault(model, np.zeros((2, (1 << level) * slots)))
+                    for k, weights in enumerate((w, s)):
+                        sums[k] += np.bincount(at, np.repeat(weights[there], place.shape[1]), sums.shape[1])
+        for model, sums in added.items():
+            by_node = sums.reshape(2, 1 << level, slots)
+            nodes = np.flatnonzero(by_node[0].any(axis=1))
+            yield pd.DataFrame({"model": model, "node": nodes + (1 << level) - 1, "sums": list(np.hstack([by_node[0][nodes], by_node[1][nodes]]))})
 
     return run
 
@@ -137,13 +175,13 @@ def _splits(leaf_sizes: list[int], trees: int, width: int, inputs: int, last: bo
 
 
 def grown(train: DataFrame, inputs: list[str], forests: Forests, width: int) -> Forests:
-    """Grow all forests on rows (fold, _key, _bins, _y), one pass a level."""
-    spark = train.sparkSession
+    """Grow all forests on cells (fold, _bins, sums), one pass a level."""
     for level in range(forests.depth + 1):
-        held = dict(vars(forests))
-        parts = train.mapInPandas(_level_sums(held, level, width, len(inputs)), "model int, node int, sums array<double>")
-        summed = parts.groupBy("model", "node").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-        decided = summed.mapInPandas(_splits(forests.leaf_sizes, forests.trees, width, len(inputs), level == forests.depth), "model int, node int, value double, feature int, cut int")
+        held, last = dict(vars(forests)), level == forests.depth
+        parts = train.mapInPandas(_level_sums(held, level, width, len(inputs), last), "model int, node int, sums array<double>")
+        summed = parts.groupBy("model", "node").agg(_added("sums"))
+        shape = (1, 1) if last else (width, len(inputs))
+        decided = summed.mapInPandas(_splits(forests.leaf_sizes, forests.trees, *shape, last), "model int, node int, value double, feature int, cut int")
         found = decided.toPandas()
         model, node = found["model"].to_numpy(), found["node"].to_numpy()
         forests.value[model, node], forests.feature[model, node], forests.cut[model, node] = found["value"], found["feature"], found["cut"]
@@ -152,28 +190,44 @@ def grown(train: DataFrame, inputs: list[str], forests: Forests, width: int) ->
     return forests
 
 
+def _added(sums: str) -> Column:
+    return vector_to_array(Summarizer.sum(array_to_vector(sums))).alias(sums)
+
+
+def training_cells(rows: DataFrame, forests: Forests) -> DataFrame:
+    """(fold, _bins, sums) from rows (block, _key, _bins, _y): what each fold trains on."""
+    drawn = rows.where(F.col("block") < forests.folds).mapInPandas(_drawn_sums(forests.trees, forests.bootstrap), "block int, _bins array<int>, sums array<double>")
+    by_block = drawn.groupBy("block", "_bins").agg(_added("sums"))
+    folds = by_block.withColumn("fold", F.explode(F.sequence(F.col("block"), F.lit(forests.folds - 1))))
+    cells = cut_lineage(folds.groupBy("fold", "_bins").agg(_added("sums")))
+    n = cells.count()
+    tasks = max(-(-n // MOST_CELLS), min(-(-n // LEAST_CELLS), TASKS), 1)
+    return cut_lineage(cells.repartition(tasks, "fold", "_bins"))
+
+
 def _errors(state: dict, trees: list[int], depths: list[int]):
-    """Squared errors of each fold, leaf size, number of trees and depth over the rows of a partition."""
+    """Squared errors of each fold, leaf size, number of trees and depth over the cells (fold, _bins, n, mean, spread) of a partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forests = Forests.__new__(Forests)
         forests.__dict__.update(state)
         for batch in batches:
             for fold, part in batch.groupby("fold"):
-                bins, y = np.stack(part["_bins"].to_numpy()).astype(np.int64), part["_y"].to_numpy()
+                bins, mean = np.stack(part["_bins"].to_numpy()).astype(np.int64), part["mean"].to_numpy()
+                n, spread = part["n"].to_numpy(), part["spread"].sum()
                 for k, leaf in enumerate(forests.leaf_sizes):
-                    total = np.zeros((forests.depth + 1, len(y)))
+                    total = np.zeros((forests.depth + 1, len(n)))
                     for t in range(forests.trees):
                         model = (fold * len(forests.leaf_sizes) + k) * forests.trees + t
-                        node, value = np.zeros(len(y), np.int64), forests.value[model, 0] * np.ones(len(y))
+                        node, value = np.zeros(len(n), np.int64), forests.value[model, 0] * np.ones(len(n))
                         for level in range(forests.depth + 1):
                             value = np.where(node >= 0, forests.value[model, np.maximum(node, 0)], value)
                             total[level] += value
                             node = forests.step(model, node, bins)
                         if t + 1 in trees:
                             yield pd.DataFrame({
-                                "fold": fold, "leaf_size": leaf, "trees": t + 1, "depth": depths, "n": len(y),
-                                "squares": [((total[d] / (t + 1) - y) ** 2).sum() for d in depths],
+                                "fold": fold, "leaf_size": leaf, "trees": t + 1, "depth": depths, "n": n.sum(),
+                                "squares": [(n * (total[d] / (t + 1) - mean) ** 2).sum() + spread for d in depths],
                             })
 
     return run
@@ -187,10 +241,14 @@ def forest_search(
     rows = data.dropna(subset=[label, *inputs]).select(*dict.fromkeys([*order, label, *inputs]))
     bounds = thresholds(rows, inputs, bins)
     width = max(len(b) for b in bounds.values()) + 1
-    placed = win.expanding_folds(binned(rows, inputs, bounds), order, splits)
-    folds = cut_lineage(placed.select("fold", "part", F.xxhash64(*order).alias("_key"), "_bins", F.col(label).cast("double").alias("_y")))
-    forests = grown(folds.where("part = 'train'"), inputs, Forests(splits, list(leaf_sizes), max(trees), max(depths), bootstrap), width)
-    errors = folds.where("part = 'test'").mapInPandas(
+    places = binned(rows, inputs, bounds).select(*order, "_bins", F.col(label).cast("double").alias("_y"))
+    blocks = win.time_blocks(places, order, splits).select("block", F.xxhash64(*order).alias("_key"), "_bins", "_y")
+    forests = Forests(splits, list(leaf_sizes), max(trees), max(depths), bootstrap)
+    forests = grown(training_cells(blocks, forests), inputs, forests, width)
+    tested = blocks.where("block > 0").groupBy((F.col("block") - 1).alias("fold"), "_bins").agg(
+        F.count("*").alias("n"), F.avg("_y").alias("mean"), (F.var_pop("_y") * F.count("*")).alias("spread")
+    )
+    errors = tested.mapInPandas(
         _errors(dict(vars(forests)), list(trees), list(depths)), "fold int, leaf_size int, trees int, depth int, n long, squares double"
     )
     each = errors.groupBy("fold", "trees", "depth", "leaf_size").agg(F.sqrt(F.sum("squares") / F.sum("n")).alias("rmse"))

@@ -317,6 +317,24 @@ def test_search_grows_the_trees_of_a_plain_recursion(spark):
         assert r.rmse == pytest.approx(np.mean(errors)), (r.depth, r.leaf_size)
 
 
+def test_search_grows_from_cells_and_not_from_rows(spark):
+    """Sums that go to a level's shuffle are as many however many rows share their bins; results are those of the rows."""
+    rows = spark.range(6000).select((F.col("id") % 2000).alias("at"), "id", *[(F.col("id") * k % 5).cast("double").alias(c) for k, c in ((1, "a"), (3, "b"))])
+    data = rows.withColumn("y", F.col("a") * 2 + F.col("b") + (F.col("id") % 7)).withColumn("_y", F.col("y"))
+    bounds = tree_search.thresholds(data, ["a", "b"])
+    blocks = tree_search.binned(data, ["a", "b"], bounds).select((F.col("id") % 4).cast("int").alias("block"), F.xxhash64("id").alias("_key"), "_bins", "_y")
+    forests = tree_search.Forests(3, [1], 4, 2, True)
+    cells = tree_search.training_cells(blocks.repartition(5), forests).collect()
+    assert len(cells) == len({(r.fold, tuple(r["_bins"])) for r in cells}) <= 3 * 25
+    held = blocks.toPandas()
+    for t in range(4):
+        w = tree_search.draws(held["_key"].to_numpy(), t)
+        for fold in range(3):
+            own = held["block"] <= fold
+            assert sum(r.sums[t] for r in cells if r.fold == fold) == w[own].sum()
+            assert sum(r.sums[4 + t] for r in cells if r.fold == fold) == pytest.approx((w * held["_y"])[own].sum())
+
+
 def test_samples_of_trees_are_poisson_and_repeatable():
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000)
     drawn = tree_search.draws(keys, 3)
