@@ -4,6 +4,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from seamline import fixed
@@ -291,3 +292,24 @@ def test_change_stream_ignores_repeats(spark):
         runner.update_all(stream, f"{base}/out", f"{base}/checkpoint")
     got = sorted((r.site, r.status) for r in runner.read_appended(spark, f"{base}/out").collect())
     assert got == [("s1", "new"), ("s1", "updated"), ("s2", "new"), ("s3", "new")]
+
+
+def test_linear_search_reads_the_blocks_it_needs(spark, monkeypatch):
+    """Errors are those of a fit of each expanding fold, and no fit or measure reads rows it doesn't use."""
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 2 + F.col("id") / 100).alias("y"))
+    data = models.assembled(df, ["x"])
+    read = []
+    fit = LinearRegression.fit
+    monkeypatch.setattr(LinearRegression, "fit", lambda self, rows, params=None: (read.append(rows), fit(self, rows, params))[1])
+    found = models.time_ordered_search(lambda: models.linear("y"), {"regParam": [0.0, 5.0]}, data, ["id"], "y", splits=3)
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in read]
+    assert len(read) == 6 and all("PartitionFilters: [isnotnull(block" in p for p in plans)
+    monkeypatch.undo()
+    for r in found:
+        errors = []
+        for fold in range(3):
+            first = 400 - (3 - fold) * 100
+            model = models.linear("y").setRegParam(r["regParam"]).fit(data.where(f"id < {first}"))
+            rows = model.transform(data.where(f"id >= {first} AND id < {first + 100}")).select("prediction", "y").collect()
+            errors.append((sum((q.prediction - q.y) ** 2 for q in rows) / 100) ** 0.5)
+        assert r["rmse"] == pytest.approx(sum(errors) / 3)
