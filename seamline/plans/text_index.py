@@ -3,7 +3,8 @@
 A posting says which document holds a term, and where. Documents are dealt by the hash of
 their key into blocks of about ``BLOCK_DOCS``, so the list of a term that all texts hold comes
 in as many pieces as there are blocks, and a term's pieces meet those of other terms by block
-number. The table is laid out in folders by the hash of the term and sorted by term inside: a
+number. Texts travel to the task of their block whole; postings arise there and travel once
+more, as two arrays a list (documents, places), to the folder of their term. The table is laid out in folders by the hash of the term and sorted by term inside: a
 search reads the folders of its terms only and, inside them, the row groups that may hold the
 terms. Blocks in which a term is missing are skipped before their lists are opened.
 
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FOLDERS, BLOCK_DOCS, FILES = 64, 1024, 16
+FOLDERS, BLOCK_DOCS, FILES, MOST_TASKS = 64, 1024, 16, 4096
 
 
 def terms_of(text: Column) -> Column:
@@ -47,10 +48,13 @@ class TextIndex:
         """Index more documents under a new generation."""
         blocks = max(1, -(-docs.count() // BLOCK_DOCS))
         block = F.pmod(F.xxhash64(self.key), F.lit(blocks)).cast("int").alias("block")
-        found = docs.select(block, F.col(self.key).alias("doc"), F.posexplode(terms_of(F.col(text))).alias("place", "term"))
+        dealt = docs.select(block, F.col(self.key).alias("doc"), F.col(text).alias("text")).repartition(min(blocks, MOST_TASKS), "block")
+        found = dealt.select("block", "doc", F.posexplode(terms_of(F.col("text"))).alias("place", "term"))
         lists = found.groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("doc", "place"))).alias("list"))
-        laid = lists.select(F.lit(generation).alias("generation"), "block", "term", "list", folder(F.col("term")).alias("folder"))
-        laid.repartition("folder", F.col("block") % FILES).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").mode("append").parquet(self.path)
+        laid = lists.select(
+            F.lit(generation).alias("generation"), "block", "term", F.col("list.doc").alias("docs"), F.col("list.place").alias("places"), folder(F.col("term")).alias("folder")
+        )
+        laid.repartition(min(blocks, FOLDERS * FILES), "folder", F.col("block") % FILES).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").mode("append").parquet(self.path)
         return self
 
     def lists(self, terms: list[str]) -> DataFrame:
@@ -63,7 +67,7 @@ class TextIndex:
     def match_all(self, terms: list[str]) -> DataFrame:
         """(key, hits): documents that hold every term, with the number of occurrences."""
         wanted = sorted(set(terms))
-        places = self.lists(wanted).select("generation", "block", _bits(wanted).alias("_bit"), F.explode("list").alias("p"))
+        places = self.lists(wanted).select("generation", "block", _bits(wanted).alias("_bit"), F.explode(F.arrays_zip(F.col("docs").alias("doc"), F.col("places").alias("place"))).alias("p"))
         hits = places.groupBy("generation", "block", F.col("p.doc").alias(self.key)).agg(F.count("*").alias("hits"), F.bit_or("_bit").alias("_all"))
         return hits.where(F.col("_all") == (1 << len(wanted)) - 1).select(self.key, "hits")
 
@@ -71,7 +75,7 @@ class TextIndex:
         """(key, hits): documents that hold the terms one after the other, with the number of places where they do."""
         steps = F.filter(F.array(*[F.when(F.col("term") == t, F.lit(k)) for k, t in enumerate(terms)]), lambda s: s.isNotNull())
         begins = self.lists(sorted(set(terms))).withColumn("_step", F.explode(steps))
-        places = begins.select("generation", "block", "_step", F.explode("list").alias("p"))
+        places = begins.select("generation", "block", "_step", F.explode(F.arrays_zip(F.col("docs").alias("doc"), F.col("places").alias("place"))).alias("p"))
         starts = places.groupBy("generation", "block", F.col("p.doc").alias(self.key), (F.col("p.place") - F.col("_step")).alias("_start")).agg(
             F.bit_or(F.expr("shiftleft(1L, _step)")).alias("_all")
         )
