@@ -135,6 +135,20 @@ def test_text_search_reads_the_folders_of_its_terms(spark):
     assert filters and all("PartitionFilters: [folder" in line and "In(term" in line for line in filters)
 
 
+def test_texts_travel_whole_and_lists_as_two_arrays(spark, monkeypatch):
+    """What crosses the first shuffle of a build is a row a text, not a row a word."""
+    monkeypatch.setattr(text_index, "BLOCK_DOCS", 16)
+    df = spark.createDataFrame(list(TEXTS.items()), "id bigint, text string")
+    planned, grouped = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *cols: (planned.append((self, cols)), grouped(self, *cols))[1])
+    index = text_index.build(df, "id", "text", scratch(spark, "terms"))
+    monkeypatch.undo()
+    found, cols = planned[0]
+    plan = grouped(found, *cols).count()._jdf.queryExecution().executedPlan().toString()
+    assert cols == ("block", "term") and plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert dict(index.postings.dtypes)["docs"] == "array<bigint>" and dict(index.postings.dtypes)["places"] == "array<int>"
+
+
 # --- keyed table ------------------------------------------------------------------------
 
 SCHEMA = "id bigint, name string, v int"
