@@ -9,7 +9,9 @@ is taken that reaches the wanted share of them.
 
 A cell may hold any share of all rows. It is kept in blocks of about ``BLOCK`` rows, and
 a task holds one block and at most ``QUERY_BLOCK`` queries. The driver and each task hold
-the centres, at most ``MOST_CELLS`` of them.
+the centres, at most ``MOST_CELLS`` of them. Queries are given their cells, and rows theirs, in
+slices: a slice has about ``PROBED`` rows with their vectors, or as many as one query probes,
+and ``COMPARED`` distances, however many cells there are.
 
 Rows with a null vector, or one that holds a null or non-finite number or has another
 length than most, are not indexed and find nothing. Rows that repeat
@@ -35,6 +37,7 @@ from seamline.operators.relational import top_per_key
 from seamline.session import cut_lineage
 
 MOST_CELLS, SAMPLE_PER_CELL, BLOCK, QUERY_BLOCK, CALIBRATED = 1 << 16, 64, 20_000, 1024, 200
+PROBED, COMPARED = 1 << 13, 1 << 20
 
 
 def usable(vector: Column, size: int | None = None) -> Column:
@@ -75,9 +78,10 @@ class VectorIndex:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centres = held.value
+            step = max(1, min(256, PROBED // max(1, min(probes, len(centres))), COMPARED // len(centres)))
             for batch in batches:
-                for i in range(0, len(batch), 256):
-                    part = batch.iloc[i : i + 256]
+                for i in range(0, len(batch), step):
+                    part = batch.iloc[i : i + step]
                     gaps = distances(np.stack(part["_v"].to_numpy()), centres)
                     order = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
                     out = part.loc[part.index.repeat(order.shape[1])]
@@ -119,9 +123,10 @@ class VectorIndex:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centres = held.value
+            step = max(1, min(1024, COMPARED // len(centres)))
             for batch in batches:
-                for i in range(0, len(batch), 1024):
-                    part = batch.iloc[i : i + 1024]
+                for i in range(0, len(batch), step):
+                    part = batch.iloc[i : i + step]
                     yield part.assign(cell=distances(np.stack(part["_v"].to_numpy()), centres).argmin(axis=1).astype(np.int32))
 
         rows = vectors.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where(usable(F.col("_v"), self.meta["dimensions"]))

@@ -110,6 +110,23 @@ TEXTS = {
 }
 
 
+def test_queries_get_their_cells_in_bounded_slices(spark, monkeypatch):
+    """A slice that Python hands on has a bounded number of rows, however many cells a query probes."""
+    index = vector_index.VectorIndex(spark, "nowhere")
+    index.__dict__["centres"] = np.random.default_rng(3).normal(size=(300, 4))
+    monkeypatch.setattr(vector_index, "PROBED", 700)
+    queries = [(i, np.random.default_rng(i).normal(size=4)) for i in range(100)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in queries], "_q long, _v array<double>").coalesce(1)
+    seen, real = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: (seen.append(run), real(self, run, schema))[1])
+    got = index.nearest_cells(df, 300)
+    assert got.count() == 100 * 300
+    for r in got.where("nth = 0").collect():
+        assert r.cell == ((index.centres - queries[r["_q"]][1]) ** 2).sum(axis=1).argmin()
+    slices = [len(part) for part in seen[0](iter([df.toPandas()]))]
+    assert sum(slices) == 100 * 300 and max(slices) <= 700
+
+
 def tokens(text):
     return [t for t in "".join(c if "a" <= c <= "z" else " " for c in (text or "").lower()).split(" ") if t]
 
