@@ -313,3 +313,23 @@ def test_linear_search_reads_the_blocks_it_needs(spark, monkeypatch):
             rows = model.transform(data.where(f"id >= {first} AND id < {first + 100}")).select("prediction", "y").collect()
             errors.append((sum((q.prediction - q.y) ** 2 for q in rows) / 100) ** 0.5)
         assert r["rmse"] == pytest.approx(sum(errors) / 3)
+
+
+def test_fits_read_files_in_small_parts(spark, tmp_path):
+    """A fit's tasks hold a bounded part of a file; the session's own option is back afterwards."""
+    rows = spark.range(3_000_000).select(F.rand(1).alias("x"), F.rand(2).alias("y"), (F.col("id") % 5 == 0).alias("is_validation"))
+    rows.coalesce(1).write.option("parquet.block.size", 4 << 20).parquet(str(tmp_path / "rows"))
+    data, option = spark.read.parquet(str(tmp_path / "rows")), "spark.sql.files.maxPartitionBytes"
+    before, parts = spark.conf.get(option), []
+
+    class Stub:
+        def fit(self, train):
+            parts.append((spark.conf.get(option), train.rdd.getNumPartitions()))
+
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        wide = data.where("NOT is_validation").rdd.getNumPartitions()
+        models.fit_on(Stub(), data)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert parts[0][0] == str(16 << 20) and parts[0][1] > wide == 1 and spark.conf.get(option) == before
