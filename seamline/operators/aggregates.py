@@ -13,18 +13,21 @@ from seamline.operators.relational import join_null_safe
 from seamline.operators.segments import percentiles_of, value_segments
 
 
-def metric_summary(definitions: DataFrame, values: DataFrame, sources: DataFrame, approximate: bool = False) -> DataFrame:
+def metric_summary(definitions: DataFrame, values: DataFrame, sources: DataFrame, approximate: bool = False, tasks: int | None = None) -> DataFrame:
     """Counts, distinct industries and countries, year span and mean per metric.
 
     Values are reduced per (metric, industry, country) before the distinct
-    counts, and per metric before the joins.
+    counts, and per metric before the joins. ``tasks`` is how many tasks share
+    the values, so that the cells one holds need not grow with the input.
     """
-    cells = values.groupBy("definition_id", "sub_industry", "country").agg(
+    cell = ["definition_id", "sub_industry", "country"]
+    cells = (values.repartition(tasks, *cell) if tasks else values).groupBy(*cell).agg(
         F.count("*").alias("n"), F.min("year").alias("y0"), F.max("year").alias("y1"),
         F.sum("normalized_value").alias("s"), F.count("normalized_value").alias("k"),
     )
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    per_metric = cells.groupBy("definition_id").agg(
+    # A set a metric is as small as the list of industries or countries; count_distinct would copy and shuffle the cells again.
+    distinct = F.approx_count_distinct if approximate else lambda c: F.size(F.collect_set(c)).cast("long")
+    per_metric = (cells.repartition(tasks, "definition_id") if tasks else cells).groupBy("definition_id").agg(
         F.sum("n").alias("value_count"),
         distinct("sub_industry").alias("industry_count"),
         distinct("country").alias("country_count"),

@@ -15,6 +15,8 @@ from seamline.plans import features, retrieval
 from seamline.workloads import standins as st
 from seamline.workloads.registry import query
 
+#: Rows of the largest table that one task joins and groups.
+TASK_ROWS = 500_000
 SUMMARY = ["definition_id", "sheet_name", "title", "readiness_status", "data_source_name", "value_count",
            "industry_count", "country_count", "earliest_year", "latest_year", "avg_normalized_value"]
 
@@ -28,7 +30,8 @@ FROM metric_definitions md LEFT JOIN metric_values mv ON md.definition_id = mv.d
 LEFT JOIN data_sources ds ON md.source_id = ds.source_id GROUP BY 1, 2, 3, 4, 5
 """)
 def metric_summary(spark, sf):
-    summary = agg.metric_summary(st.metric_definitions(spark, sf), st.metric_values(spark, sf), st.data_sources(spark, sf))
+    tasks = max(1, -(-st.table(spark, sf, "lineitem").count() // TASK_ROWS))
+    summary = agg.metric_summary(st.metric_definitions(spark, sf), st.metric_values(spark, sf, tasks), st.data_sources(spark, sf), tasks=tasks)
     return summary.select(*SUMMARY)
 
 

@@ -87,12 +87,22 @@ def metric_definitions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def metric_values(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+def metric_values(spark: SparkSession, sf: str, tasks: int | None = None) -> DataFrame:
+    """Line items with what their order and its customer say; orders are joined first, being fewer.
+
+    ``tasks`` is how many tasks share the line items and orders.
+    """
+    dealt = lambda df, key: df.repartition(tasks, key) if tasks else df
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_suppkey")
+    orders = (
+        table(spark, sf, "orders")
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(nations(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", "c_mktsegment", "n_name", "o_orderdate")
+    )
+    return (
+        dealt(lines, "l_orderkey")
+        .join(dealt(orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_partkey").alias("definition_id"),
             F.col("c_mktsegment").alias("sub_industry"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions import dates
+from seamline.operators import aggregates
 from seamline.operators import relational as rel
 from seamline.operators import vectors
 from seamline.plans import features, formulas, models, retrieval, scenarios, weights
@@ -333,3 +334,19 @@ def test_fits_read_files_in_small_parts(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert parts[0][0] == str(16 << 20) and parts[0][1] > wide == 1 and spark.conf.get(option) == before
+
+
+def test_summary_groups_in_as_many_tasks_as_it_is_told(spark):
+    """Joins aside, all grouping happens in parts dealt by number, and distinct counts copy no cells."""
+    values = spark.createDataFrame(
+        [(1, "a", "x", 2000, 1.0), (1, "a", "y", 2001, None), (1, None, "x", 1999, 3.0), (2, "b", None, 2000, 0.5)],
+        "definition_id long, sub_industry string, country string, year long, normalized_value double",
+    )
+    definitions = spark.createDataFrame([(i, 7) for i in range(4)], "definition_id long, source_id long")
+    sources = spark.createDataFrame([(7, "s")], "source_id long, name string")
+    for tasks in (None, 13):
+        summary = aggregates.metric_summary(definitions, values, sources, tasks=tasks)
+        rows = {r.definition_id: (r.value_count, r.industry_count, r.country_count, r.earliest_year, r.latest_year, r.avg_normalized_value) for r in summary.collect()}
+        assert rows == {0: (0, 0, 0, None, None, None), 1: (3, 1, 2, 1999, 2001, 2.0), 2: (1, 1, 0, 2000, 2000, 0.5), 3: (0, 0, 0, None, None, None)}
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count(", 13), REPARTITION_BY_NUM") >= 2
