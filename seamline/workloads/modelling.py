@@ -111,7 +111,7 @@ def ensemble(spark, sf):
 @query("m06_fitted_ensemble")
 def fitted_ensemble(spark, sf):
     kinds = {"forest": models.forest("label", trees=TREES, depth=DEPTH), "boosted": models.boosted("label", **BOOSTED), "linear": models.linear("label")}
-    rows = models.fitted_ensemble(kinds, _learning(spark, sf), "label")
+    rows = models.fitted_ensemble(kinds, _learning(spark, sf), "label", INPUTS, ["l_orderkey", "l_linenumber", "l_quantity"])
     return rows.select("l_orderkey", "l_linenumber", "label", *kinds, "prediction")
 
 
