@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,27 @@ def test_token_alignment_is_brute_force(spark, sf):
     assert token_alignment.digest(docs.limit(0), A, B).count() == 0
 
 
+def test_slices_are_bounded_however_much_a_task_reads(spark):
+    empty = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).coalesce(1)
+    parts = token_alignment.slices(empty, A, B)  # texts without links end a slice, too
+    assert parts.agg(F.sum(F.size("docs")), F.max(F.size("docs")) <= 20_000).first() == (40_000, True)
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 8)))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(2000))) for i in range(400)], SCHEMA).coalesce(1)
+    parts = token_alignment.slices(docs, A, B, links=40_000)
+    assert parts.agg(F.sum(F.size("docs"))).first()[0] == 400
+    assert parts.where(F.octet_length("which") > 3 * F.expr("aggregate(docs, 0L, (s, d) -> s + d.n_links)")).count() == 0  # packed
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in parts.inputFiles()]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) <= token_alignment.ROW_GROUP
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_sums_meet_a_slice_in_sorted_rows(spark, sf):
+    plan = QUERIES["op13_token_alignment"](spark, sf)._jdf.queryExecution().toString()
+    assert "CoGroups" in plan and "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_groups_cover_the_same_bytes(spark):
     text = "Aligned tokens of naïve \U0001f600 texts,\n\n  twice."
     row = token_alignment.align(spark.createDataFrame([(1, text)], SCHEMA), A, B).first()
